@@ -18,13 +18,8 @@ def leaf_hash(value: Column) -> Column:
     return F.unhex(leaf_hash_hex(value))
 
 
-def node_hash_hex(children: Column) -> Column:
-    """Hash of an inner node; `children` is the left hash followed by the right one."""
-    return F.sha2(F.concat(_tag(NODE_TAG), children), 256)
-
-
 def node_hash(left: Column, right: Column) -> Column:
-    return F.unhex(node_hash_hex(F.concat(left, right)))
+    return F.unhex(F.sha2(F.concat(_tag(NODE_TAG), left, right), 256))
 
 
 def empty_root() -> Column:
@@ -32,12 +27,19 @@ def empty_root() -> Column:
     return F.unhex(F.sha2(F.lit(bytearray(b"")), 256))
 
 
-def nth_hash(packed: Column, position: Column) -> Column:
-    """The hash at a zero-based position of concatenated hashes; null past the end."""
-    start = position * DIGEST_BYTES
+def pack_hashes(hashes: Column) -> Column:
+    """Hashes one after the other, the bytes of a stored tile."""
+    return F.unhex(F.array_join(F.transform(hashes, F.hex), ""))
+
+
+def unpack_hashes(packed: Column) -> Column:
+    """Hashes of a stored tile; null when its length is no multiple of a digest."""
+    last = F.call_function("div", F.length(packed), F.lit(DIGEST_BYTES)).cast("int") - 1
     return F.when(
-        F.length(packed) >= start + DIGEST_BYTES,
-        F.substring(packed, (start + 1).cast("int"), F.lit(DIGEST_BYTES)),
+        (F.length(packed) > 0) & (F.length(packed) % DIGEST_BYTES == 0),
+        F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.substring(packed, i * DIGEST_BYTES + 1, F.lit(DIGEST_BYTES))
+        ),
     )
 
 

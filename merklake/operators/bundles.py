@@ -39,9 +39,9 @@ def encode(leaves: DataFrame) -> DataFrame:
     )
     fits = length <= MAX_ENTRY_BYTES
     grouped = leaves.groupBy("log_id", bundle_of(F.col("leaf_index")).alias("bundle_index")).agg(
-        F.array_sort(F.collect_set(F.when(fits, entry))).alias("entries"),
+        F.sort_array(F.collect_set(F.when(fits, entry))).alias("entries"),
         F.count_if(~fits).alias("oversize"),
-        F.array_sort(
+        F.sort_array(
             F.collect_set(timestamps.pair(slot, F.col("queue_ts_nanos"), F.col("integrate_ts_nanos")))
         ).alias("pairs"),
     )
@@ -61,7 +61,7 @@ def timestamp_pairs(leaves: DataFrame) -> DataFrame:
     return (
         leaves.groupBy("log_id", bundle_of(F.col("leaf_index")).alias("bundle_index"))
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_set(
                     timestamps.pair(
                         slot_of(F.col("leaf_index")), F.col("queue_ts_nanos"), F.col("integrate_ts_nanos")

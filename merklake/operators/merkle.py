@@ -1,7 +1,7 @@
 """Merkle trees over whole logs, 256 nodes to a tile and one shuffle per tile level.
 
-A tile row keeps its nine in-tile levels as packed hashes: `levels[0]` is the stored hash tile,
-`levels[8]` its single root, which is a node of the tile level above. A node without a right
+A tile row keeps its nine in-tile levels as arrays of hashes: `levels[0]` is the stored hash tile,
+`levels[8]` holds the single root, which is a node of the tile level above. A node without a right
 neighbour moves up unchanged, so every prefix length works the same way.
 """
 
@@ -11,30 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merklake.constants import DIGEST_BYTES, TILE_HEIGHT, TILE_WIDTH
-from merklake.functions.hashing import node_hash_hex, nth_hash
+from merklake.functions.hashing import node_hash, pack_hashes, unpack_hashes
 from merklake.functions.paths import bundle_of, leaf_index, slot_of
 from merklake.sources.scratch import materialize
 
 CHAIN_TYPE = "array<struct<level:int,own:binary,sib:binary>>"
-_PAIR_BYTES = 2 * DIGEST_BYTES
 
 
-def _pair_up(packed: Column) -> Column:
-    """The next level of packed hashes: pairs hashed, an odd last one kept."""
-    n_pairs = F.ceil(F.length(packed) / _PAIR_BYTES).cast("int")
+def _pair_up(nodes: Column) -> Column:
+    """The next level: pairs hashed, an odd last node kept."""
 
     def parent(i: Column) -> Column:
-        pair = F.substring(packed, i * _PAIR_BYTES + 1, F.lit(_PAIR_BYTES))
-        return F.when(F.length(pair) == _PAIR_BYTES, node_hash_hex(pair)).otherwise(F.hex(pair))
+        left = F.element_at(nodes, i * 2 + 1)
+        return F.when(
+            F.size(nodes) > i * 2 + 1, node_hash(left, F.element_at(nodes, i * 2 + 2))
+        ).otherwise(left)
 
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n_pairs - 1), parent), ""))
+    last = F.call_function("div", F.size(nodes) - 1, F.lit(2)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), parent)
 
 
-def in_tile_levels(packed: Column) -> Column:
+def in_tile_levels(nodes: Column) -> Column:
     # aggregate() carries each level along; nested lambdas would compute lower levels again and again.
     return F.aggregate(
         F.array(*[F.lit(k) for k in range(TILE_HEIGHT)]),
-        F.array(packed),
+        F.array(nodes),
         lambda levels, _: F.concat(levels, F.array(_pair_up(F.element_at(levels, -1)))),
     )
 
@@ -46,13 +47,11 @@ def tile_level(nodes: DataFrame) -> DataFrame:
     a node fall together before the shuffle, which bounds a group by the tile width.
     """
     slot = F.unhex(F.lpad(F.hex(slot_of(F.col("index"))), 2, "0"))
-    packed = F.unhex(
-        F.array_join(F.transform(F.col("entries"), lambda e: F.hex(F.substring(e, 2, DIGEST_BYTES))), "")
-    )
+    hashes = F.transform(F.col("entries"), lambda e: F.substring(e, 2, DIGEST_BYTES))
     return (
         nodes.groupBy("log_id", bundle_of(F.col("index")).alias("tile_index"))
         .agg(
-            F.array_sort(F.collect_set(F.concat(slot, F.col("hash")))).alias("entries"),
+            F.sort_array(F.collect_set(F.concat(slot, F.col("hash")))).alias("entries"),
             F.sum("covered").alias("covered"),
         )
         .select(
@@ -60,13 +59,13 @@ def tile_level(nodes: DataFrame) -> DataFrame:
             "tile_index",
             F.size("entries").alias("width"),
             "covered",
-            in_tile_levels(packed).alias("levels"),
+            in_tile_levels(hashes).alias("levels"),
         )
     )
 
 
 def tile_root(levels: Column) -> Column:
-    return F.element_at(levels, TILE_HEIGHT + 1)
+    return F.element_at(F.element_at(levels, TILE_HEIGHT + 1), 1)
 
 
 def levels_needed(max_tree_size: int) -> int:
@@ -100,7 +99,7 @@ class Tree:
                 F.lit(level).alias("tile_level"),
                 "tile_index",
                 width.alias("width"),
-                F.substring(F.element_at("levels", 1), F.lit(1), width * DIGEST_BYTES).alias("hashes"),
+                pack_hashes(F.slice(F.element_at("levels", 1), F.lit(1), width)).alias("hashes"),
             ).where("width > 0")
             out = stored if out is None else out.unionByName(stored)
         return out
@@ -155,7 +154,7 @@ def tree_from_tiles(stored: DataFrame) -> Tree:
         "tile_index",
         F.call_function("div", F.length("hashes"), F.lit(DIGEST_BYTES)).cast("int").alias("width"),
         F.call_function("div", F.length("hashes"), F.lit(DIGEST_BYTES)).cast("bigint").alias("covered"),
-        in_tile_levels(F.col("hashes")).alias("levels"),
+        in_tile_levels(unpack_hashes(F.col("hashes"))).alias("levels"),
     )
     written = materialize(lowest, "tiles", ["log_id", "tile_index"])
     last = written.agg(F.max("tile_index").alias("last")).first()["last"]
@@ -177,18 +176,17 @@ def _roll_up(lowest: DataFrame, max_tree_size: int) -> Tree:
 
 def in_tile_chain(levels: Column, slot: Column, base_level: int) -> Column:
     """The eight nodes from a slot to the tile root, each with its sibling if there is one."""
-    steps = []
-    for k in range(TILE_HEIGHT):
-        packed = F.element_at(levels, k + 1)
-        position = F.shiftright(slot, k)
-        steps.append(
-            F.struct(
-                F.lit(base_level + k).alias("level"),
-                nth_hash(packed, position).alias("own"),
-                nth_hash(packed, position.bitwiseXOR(F.lit(1))).alias("sib"),
-            )
+
+    def step(k: Column) -> Column:
+        nodes = F.element_at(levels, k + 1)
+        position = F.call_function("shiftright", slot, k)
+        return F.struct(
+            (k + base_level).alias("level"),
+            F.get(nodes, position).alias("own"),
+            F.get(nodes, position.bitwiseXOR(F.lit(1))).alias("sib"),
         )
-    return F.array(*steps)
+
+    return F.transform(F.array(*[F.lit(k) for k in range(TILE_HEIGHT)]), step)
 
 
 def leaf_chain(index: Column, levels: Column, upper: Column) -> Column:

@@ -7,7 +7,7 @@ first leaf past that size: its left siblings are the perfect subtrees the older
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merklake.functions.hashing import node_hash, nth_hash
+from merklake.functions.hashing import node_hash
 from merklake.functions.paths import bundle_of, leaf_index
 from merklake.operators.joins import HOT_ROWS, lookup_join
 from merklake.operators.merkle import CHAIN_TYPE, leaf_chain
@@ -157,13 +157,14 @@ def with_chain(rows: DataFrame, paths: DataFrame, index: Column, name: str, hot_
 
 def all_inclusion_proofs(paths: DataFrame) -> DataFrame:
     """Proof of every leaf (log_id, leaf_index, leaf_hash, hashes), straight from the tiles, without a join."""
-    return (
-        paths.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-        .select(
-            "log_id",
-            leaf_index(F.col("tile_index"), F.col("slot")).alias("leaf_index"),
-            nth_hash(F.element_at("levels", 1), F.col("slot")).alias("leaf_hash"),
-            inclusion(leaf_chain(F.col("slot"), F.col("levels"), F.col("upper"))).alias("hashes"),
+
+    def leaf(slot: Column) -> Column:
+        return F.struct(
+            leaf_index(F.col("tile_index"), slot).alias("leaf_index"),
+            F.get(F.element_at("levels", 1), slot).alias("leaf_hash"),
+            inclusion(leaf_chain(slot, F.col("levels"), F.col("upper"))).alias("hashes"),
         )
-    )
 
+    # Proofs are made inside the tile and then unrolled, so a tile is not copied once per leaf.
+    leaves = F.transform(F.sequence(F.lit(0), F.col("width") - 1), leaf)
+    return paths.select("log_id", F.explode(leaves).alias("leaf")).select("log_id", "leaf.*")

@@ -44,7 +44,7 @@ TILES = _struct(
     ("tile_index", _LONG),
     ("width", _INT),
     ("covered", _LONG),
-    ("levels", T.ArrayType(_BIN)),
+    ("levels", T.ArrayType(T.ArrayType(_BIN))),
 )
 
 HASH_INDEX = _struct(("log_id", _LONG), ("prefix", _STR), ("suffix", _BIN), ("leaf_index", _LONG))

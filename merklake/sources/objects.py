@@ -139,13 +139,3 @@ def list_objects(spark: SparkSession, base: str, prefix: str, suffix: str) -> Da
     )
     return found.select(name.alias("name")).where("name <> ''").distinct()
 
-
-def unpack_tile(data: Column) -> Column:
-    """Hashes of a stored tile; null when its length is no multiple of a digest."""
-    return F.when(
-        (F.length(data) > 0) & (F.length(data) % 32 == 0),
-        F.transform(
-            F.sequence(F.lit(0), F.call_function("div", F.length(data), F.lit(32)).cast("int") - 1),
-            lambda i: F.substring(data, i * 32 + 1, F.lit(32)),
-        ),
-    )
