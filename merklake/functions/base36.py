@@ -17,14 +17,11 @@ def decode(text: Column) -> Column:
     conv() stops silently at a bad digit and fails the job on overflow, so only text
     already known to be good reaches it.
     """
+    width = len(INT64_MAX_BASE36)
     negative = F.startswith(text, F.lit("-"))
-    digits = F.regexp_replace(F.lower(text), r"^[+-]?0*(?=[0-9a-z])", "")
+    digits = F.ltrim(F.lower(text), F.lit("+-0"))
+    padded = F.lpad(digits, width, "0")
     limit = F.when(negative, F.lit(INT64_MIN_BASE36)).otherwise(F.lit(INT64_MAX_BASE36))
-    width = len(INT64_MAX_BASE36)
-    good = (
-        text.rlike(r"^[+-]?[0-9a-zA-Z]+$")
-        & (F.length(digits) <= width)
-        & (F.lpad(digits, width, "0") <= limit)
-    )
-    signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
-    return F.when(good, F.conv(signed, 36, -10).cast("bigint"))
+    good = text.rlike(r"^[+-]?[0-9a-zA-Z]+$") & (F.length(digits) <= width) & (padded <= limit)
+    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
+    return F.when(good, F.conv(F.concat(sign, padded), 36, -10).cast("bigint"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from merklake.functions import base36
+from merklake.functions.binding import let
 
 MISSING = "TIMESTAMP_MISSING"
 BAD_FORMAT = "TIMESTAMP_BAD_FORMAT"
@@ -36,25 +37,36 @@ def build(pairs: Column) -> Column:
 
 def parse(metadata: Column, slot: Column) -> Column:
     """STRUCT<queue_ts_nanos, integrate_ts_nanos, error_code> of one slot."""
-    return parse_value(F.try_element_at(metadata, base36.encode(slot)))
+    return let(F.try_element_at(metadata, base36.encode(slot)), parse_value)
 
 
 def parse_value(value: Column) -> Column:
-    parts = F.split(value, " ", 2)
-    queue = base36.decode(F.get(parts, F.lit(0)))
-    offset = base36.decode(F.get(parts, F.lit(1)))
-    error = (
-        F.when(value.isNull(), F.lit(MISSING))
-        .when(F.size(parts) < 2, F.lit(BAD_FORMAT))
-        .when(queue.isNull(), F.lit(BAD_QUEUE))
-        .when(offset.isNull(), F.lit(BAD_OFFSET))
-    )
-    return F.struct(
-        F.when(error.isNull(), queue).alias("queue_ts_nanos"),
-        F.when(error.isNull(), F.try_add(queue, offset)).alias("integrate_ts_nanos"),
-        error.alias("error_code"),
+    """As `parse`, from the value of a slot."""
+    parts = let(
+        F.split(value, " ", 2),
+        lambda p: F.struct(
+            (F.size(p) == 2).alias("spaced"),
+            let(F.get(p, F.lit(0)), base36.decode).alias("queue"),
+            let(F.get(p, F.lit(1)), base36.decode).alias("offset"),
+        ),
     )
 
+    def times(read: Column) -> Column:
+        error = (
+            F.when(value.isNull(), F.lit(MISSING))
+            .when(~read["spaced"], F.lit(BAD_FORMAT))
+            .when(read["queue"].isNull(), F.lit(BAD_QUEUE))
+            .when(read["offset"].isNull(), F.lit(BAD_OFFSET))
+        )
+        both = F.when(read["offset"].isNotNull(), read["queue"])
+        return F.struct(
+            both.alias("queue_ts_nanos"),
+            F.try_add(both, read["offset"]).alias("integrate_ts_nanos"),
+            error.alias("error_code"),
+        )
+
+    return let(parts, times)
+
 
 def byte_size(metadata: Column) -> Column:
     """Bytes of all keys and values, the quantity the object metadata limit is about."""

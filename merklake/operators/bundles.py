@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from merklake.constants import ENTRIES_DIR, MAX_ENTRY_BYTES, TILE_HEIGHT, TILE_WIDTH
 from merklake.functions import timestamps
+from merklake.functions.binding import let
 from merklake.functions.hashing import leaf_hash
 from merklake.functions.paths import bundle_of, leaf_index, parse_entries_path, slot_of
 
@@ -81,7 +82,7 @@ def timestamp_pairs(leaves: DataFrame) -> DataFrame:
 def entry_starts(data: Column) -> Column:
     """Zero-based start of each entry's length field, and one past the last; null when the bytes are cut short.
 
-    Walks the lengths, so a bundle is taken apart once, however many requests read from it.
+    `data` should be bound by let(): every step reads it.
     """
 
     def step(acc: Column, _: Column) -> Column:
@@ -105,38 +106,36 @@ def entry_at(data: Column, starts: Column, slot: Column) -> Column:
 def decode(bundles: DataFrame) -> DataFrame:
     """Leaves of bundles, with hashes computed again and timestamps from the metadata.
 
-    A bundle that cannot be read gives one row with `error_code` and no slot.
+    A bundle that cannot be read gives one row with `error_code` and no leaf.
     """
-    opened = bundles.withColumn("starts", entry_starts(F.col("bytes")))
-    slots = F.sequence(F.lit(0), F.size("starts") - 2)
-    leaves = opened.withColumn(
-        "slot",
-        F.explode(
-            F.when(F.col("starts").isNotNull() & (F.size("starts") > 1), slots).otherwise(
-                F.array(F.lit(None).cast("int"))
-            )
-        ),
-    )
-    return leaves.select("*", entry_at(F.col("bytes"), F.col("starts"), F.col("slot")).alias("leaf_value")).select(
+
+    def leaf(data: Column, starts: Column, slot: Column) -> Column:
+        return F.struct(
+            slot.alias("slot"),
+            entry_at(data, starts, slot).alias("value"),
+            timestamps.parse(F.col("metadata"), slot).alias("times"),
+        )
+
+    def leaves(data: Column, starts: Column) -> Column:
+        slots = F.sequence(F.lit(0), F.size(starts) - 2)
+        return F.when(F.size(starts) > 1, F.transform(slots, lambda slot: leaf(data, starts, slot)))
+
+    # Entries are cut out inside the bundle and then unrolled, so its bytes are not copied once per leaf.
+    opened = let(F.col("bytes"), lambda data: let(entry_starts(data), lambda starts: leaves(data, starts)))
+    unrolled = bundles.select("log_id", "bundle_index", F.explode_outer(opened).alias("leaf"))
+    return unrolled.select(
         "log_id",
-        leaf_index(F.col("bundle_index"), F.col("slot")).alias("leaf_index"),
-        "leaf_value",
-        leaf_hash(F.col("leaf_value")).alias("merkle_leaf_hash"),
-        *leaf_times(F.col("metadata"), F.col("slot")),
-        F.when(F.col("slot").isNull(), F.lit("BUNDLE_CORRUPT"))
-        .otherwise(timestamps.parse(F.col("metadata"), F.col("slot"))["error_code"])
+        leaf_index(F.col("bundle_index"), F.col("leaf.slot")).alias("leaf_index"),
+        F.col("leaf.value").alias("leaf_value"),
+        leaf_hash(F.col("leaf.value")).alias("merkle_leaf_hash"),
+        F.col("leaf.times.queue_ts_nanos").alias("queue_ts_nanos"),
+        F.col("leaf.times.integrate_ts_nanos").alias("integrate_ts_nanos"),
+        F.when(F.col("leaf").isNull(), F.lit("BUNDLE_CORRUPT"))
+        .otherwise(F.col("leaf.times.error_code"))
         .alias("error_code"),
     )
 
 
-def leaf_times(metadata: Column, slot: Column) -> list[Column]:
-    times = timestamps.parse(metadata, slot)
-    return [
-        times["queue_ts_nanos"].alias("queue_ts_nanos"),
-        times["integrate_ts_nanos"].alias("integrate_ts_nanos"),
-    ]
-
-
 def attach_metadata(objects: DataFrame, pairs: DataFrame) -> DataFrame:
     """Metadata by object path: rows (log_id, path) joined with the timestamps of the bundle they name.
 

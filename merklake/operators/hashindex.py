@@ -54,8 +54,11 @@ def lookup(requests: DataFrame, index: DataFrame, digest: Column, hot_rows: int
         # The directory is part of the key, so the scan reads only directories asked for.
         keyed = keyed.withColumn("prefix_byte", F.substring("prefix", 1, 2))
         keys.append("prefix_byte")
-    one = smallest(index).withColumnRenamed("leaf_index", "found_index")
-    return lookup_join(keyed, one, keys, "left", hot_rows=hot_rows).drop("prefix", "suffix", "prefix_byte")
+
+    def answers(wanted: DataFrame) -> DataFrame:
+        return smallest(wanted).withColumnRenamed("leaf_index", "found_index")
+
+    return lookup_join(keyed, index, keys, hot_rows=hot_rows, prepare=answers).drop("prefix", "suffix", "prefix_byte")
 
 
 def prefixes(index: DataFrame) -> DataFrame:
@@ -66,10 +69,10 @@ def prefixes(index: DataFrame) -> DataFrame:
 def prefix_exists(requests: DataFrame, index: DataFrame, digest: Column) -> DataFrame:
     """Add `prefix_found`: whether the log has any leaf under the prefix of the hash asked for."""
     keyed = requests.withColumn("prefix", digests.prefix(digest))
-    known = prefixes(index).withColumn("_known", F.lit(True))
-    return lookup_join(keyed, known, ["log_id", "prefix"]).withColumn(
-        "prefix_found", F.coalesce(F.col("_known"), F.lit(False))
-    ).drop("_known")
+    joined = lookup_join(
+        keyed, index, ["log_id", "prefix"], prepare=lambda wanted: prefixes(wanted).withColumn("_known", F.lit(True))
+    )
+    return joined.withColumn("prefix_found", F.coalesce(F.col("_known"), F.lit(False))).drop("_known")
 
 
 def membership(requests: DataFrame, index: DataFrame, digest: Column) -> DataFrame:

@@ -1,54 +1,81 @@
 """Lookup joins that hold when one key carries a large share of the rows."""
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merklake.sources.scratch import materialize
+
 # Keys with more rows than this are split, this many rows to a piece.
 HOT_ROWS = 1_000_000
 # Only the heaviest keys are split. Any key after the first k has at most 1/(k+1) of the rows,
 # so the list is short whatever the data, and the rest needs no splitting.
 HOT_KEYS = 1024
 MAX_PIECES = 4096
+# Bound on the distinct keys that are broadcast to cut down the other side of a lookup.
+BROADCAST_KEYS = 1_000_000
 # Row bound under which a one-row-per-log table is broadcast.
 SMALL_ROWS = 100_000
 
 
+def wanted_keys(rows: DataFrame, on: list[str]) -> tuple[DataFrame, int, int]:
+    """Distinct non-null keys with their row counts, the number of keys, and the largest count."""
+    present = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in on])
+    keys = materialize(rows.where(present).groupBy(*on).agg(F.count("*").alias("_rows")), "keys")
+    stats = keys.agg(F.count("*").alias("n"), F.coalesce(F.max("_rows"), F.lit(0)).alias("heaviest")).first()
+    return keys, stats["n"], stats["heaviest"]
+
+
+def keep_wanted(one: DataFrame, keys: DataFrame, n_keys: int, on: list[str]) -> DataFrame:
+    """Rows of `one` that are asked for. Few keys are broadcast, so a small batch never shuffles a whole log."""
+    if n_keys <= BROADCAST_KEYS:
+        return one.join(F.broadcast(keys.select(*on)), on, "left_semi")
+    return one
+
+
 def lookup_join(
     many: DataFrame,
     one: DataFrame,
     on: list[str],
-    how: str = "left",
     spread: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Join `many` (any number of rows per key) with `one` (at most one row per key).
+    """Left join of `many` (any number of rows per key) with `one` (at most one row per key).
 
-    Rows of a hot key are dealt over several pieces by `spread`, which must differ between rows
-    (by default the request id, or else all plain columns), and the single row of `one` is repeated once per piece. The split
-    depends on row values only, so a task that runs again deals its rows the same way.
+    The keys are counted first, from `keys_from` where `many` is costly to compute. With that:
+    `one` is cut down to the keys asked for, then completed by `prepare`; and rows of hot keys are
+    dealt over several pieces by `spread`, which must differ between rows (by default the request id,
+    or else all plain columns), the single row of `one` repeated once per piece. The split depends on
+    row values only, so a task that runs again deals its rows the same way.
     """
+    keys, n_keys, heaviest = wanted_keys(many if keys_from is None else keys_from, on)
+    one = keep_wanted(one, keys, n_keys, on)
+    one = one if prepare is None else prepare(one)
+    keyless = reduce(or_, [F.col(key).isNull() for key in on])
     spread = _row_hash(many) if spread is None else spread
+    if heaviest <= hot_rows:
+        # Rows without a key match nothing; dealt out so that they do not meet in one task.
+        dealt = many.withColumn("_piece", F.when(keyless, F.pmod(F.xxhash64(spread), F.lit(MAX_PIECES))).otherwise(F.lit(0)))
+        return dealt.join(one.withColumn("_piece", F.lit(0).cast("bigint")), [*on, "_piece"], "left").drop("_piece")
     hot = (
-        many.groupBy(*on)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.col("count").desc())
+        keys.where(F.col("_rows") > hot_rows)
+        .orderBy(F.col("_rows").desc())
         .limit(HOT_KEYS)
-        .select(*on, F.least(F.ceil(F.col("count") / hot_rows), F.lit(MAX_PIECES)).alias("_pieces"))
+        .select(*on, F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_PIECES)).alias("_pieces"))
     )
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    # Rows without a key match nothing and go to any piece.
-    keyless = reduce(or_, [F.col(key).isNull() for key in on])
     dealt = many.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.pmod(F.xxhash64(spread), F.when(keyless, F.lit(MAX_PIECES)).otherwise(pieces))
     )
     repeated = one.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), (pieces - 1).cast("bigint")))
     )
-    return dealt.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_piece"], how).drop("_piece")
+    return dealt.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_piece"], "left").drop("_piece")
 
 
 def _row_hash(rows: DataFrame) -> Column:
@@ -58,10 +85,11 @@ def _row_hash(rows: DataFrame) -> Column:
 
 
 def small_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join with a table of one row per log: broadcast when counted small, else split by hot key."""
+    """Join with a table of one row per log: broadcast when counted small, else by hot key."""
     if one.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return many.join(F.broadcast(one), on, how)
-    return lookup_join(many, one, on, how)
+    marked = lookup_join(many, one.withColumn("_here", F.lit(True)), on)
+    return (marked if how == "left" else marked.where("_here")).drop("_here")
 
 
 def explode_range(df: DataFrame, first: Column, last: Column, name: str, chunk_bits: int = 14) -> DataFrame:
@@ -79,9 +107,7 @@ def explode_range(df: DataFrame, first: Column, last: Column, name: str, chunk_b
         .where(F.col("_first") <= F.col("_last"))
         .withColumn(
             chunk,
-            F.explode(
-                F.sequence(F.shiftright("_first", chunk_bits), F.shiftright("_last", chunk_bits))
-            ),
+            F.explode(F.sequence(F.shiftright("_first", chunk_bits), F.shiftright("_last", chunk_bits))),
         )
         .repartition(partitions, *[c for c in df.columns if not c.startswith("_")], chunk)
         .withColumn(

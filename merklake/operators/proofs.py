@@ -7,10 +7,11 @@ first leaf past that size: its left siblings are the perfect subtrees the older
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merklake.functions.binding import let
 from merklake.functions.hashing import node_hash
-from merklake.functions.paths import bundle_of, leaf_index
+from merklake.functions.paths import bundle_of, leaf_index, slot_of
 from merklake.operators.joins import HOT_ROWS, lookup_join
-from merklake.operators.merkle import CHAIN_TYPE, leaf_chain
+from merklake.operators.merkle import leaf_chain
 
 
 def _shift(number: Column, bits: Column) -> Column:
@@ -40,9 +41,13 @@ def consistency(first: Column, chain: Column) -> Column:
     """Proof that the tree of size `first` is a prefix; `chain` is that of leaf first-1 in the larger tree."""
     zeros = trailing_zeros(first)
     power_of_two = first.bitwiseAND(first - 1) == 0
-    start = F.transform(F.filter(chain, lambda s: s["level"] == zeros), lambda s: s["own"])
-    rest = siblings(chain, zeros)
-    return F.when(power_of_two, rest).otherwise(F.concat(start, rest))
+
+    def from_chain(nodes: Column) -> Column:
+        start = F.transform(F.filter(nodes, lambda s: s["level"] == zeros), lambda s: s["own"])
+        rest = siblings(nodes, zeros)
+        return F.when(power_of_two, rest).otherwise(F.concat(start, rest))
+
+    return let(chain, from_chain)
 
 
 def older_edge(size: Column, next_chain: Column) -> Column:
@@ -65,26 +70,28 @@ def older_edge(size: Column, next_chain: Column) -> Column:
     return F.aggregate(next_chain, empty, add_level)
 
 
-def older_chain(index: Column, size: Column, chain: Column, edge: Column) -> Column:
+def older_chain(index: Column, size: Column, chain: Column, next_chain: Column) -> Column:
     """The chain of a leaf as it was when the tree had `size` leaves."""
 
-    def node_then(level: Column, position: Column, node: Column) -> Column:
+    def node_then(edge: Column, level: Column, position: Column, node: Column) -> Column:
         first_leaf = F.call_function("shiftleft", position, level)
         past_leaf = F.call_function("shiftleft", position + 1, level)
         return F.when(first_leaf >= size, F.lit(None)).when(past_leaf <= size, node).otherwise(
             F.element_at(edge, level + 1)
         )
 
-    def step_then(step: Column) -> Column:
+    def step_then(edge: Column, step: Column) -> Column:
         level = step["level"]
         position = _shift(index, level)
         return F.struct(
             level.alias("level"),
-            node_then(level, position, step["own"]).alias("own"),
-            node_then(level, position.bitwiseXOR(F.lit(1).cast("bigint")), step["sib"]).alias("sib"),
+            node_then(edge, level, position, step["own"]).alias("own"),
+            node_then(edge, level, position.bitwiseXOR(F.lit(1).cast("bigint")), step["sib"]).alias("sib"),
         )
 
-    return F.transform(chain, step_then)
+    return let(
+        older_edge(size, next_chain), lambda edge: F.transform(chain, lambda step: step_then(edge, step))
+    )
 
 
 def root_from_inclusion(index: Column, size: Column, leaf_hash: Column, hashes: Column) -> Column:
@@ -140,18 +147,38 @@ def roots_from_consistency(first: Column, second: Column, first_root: Column, ha
     )
 
 
-def with_chain(rows: DataFrame, paths: DataFrame, index: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_chain(
+    rows: DataFrame,
+    paths: DataFrame,
+    index: Column,
+    name: str,
+    hot_rows: int = HOT_ROWS,
+    keys_from: DataFrame | None = None,
+) -> DataFrame:
     """Add the chain of a leaf to each row; null where the index is null or outside the log."""
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_index", index).withColumn("_tile", bundle_of(F.col("_index")))
+
     tiles = paths.select(
-        "log_id", F.col("tile_index").alias("_tile"), F.col("levels").alias("_levels"), F.col("upper").alias("_upper")
+        "log_id",
+        F.col("tile_index").alias("_tile"),
+        F.col("width").alias("_width"),
+        F.col("levels").alias("_levels"),
+        F.col("upper").alias("_upper"),
     )
-    keyed = rows.withColumn("_index", index).withColumn("_tile", bundle_of(F.col("_index")))
+    found = F.col("_upper").isNotNull() & (slot_of(F.col("_index")) < F.col("_width"))
     chain = leaf_chain(F.col("_index"), F.col("_levels"), F.col("_upper"))
-    found = F.element_at(chain, 1)["own"].isNotNull()
     return (
-        lookup_join(keyed, tiles, ["log_id", "_tile"], "left", hot_rows=hot_rows)
-        .withColumn(name, F.when(F.col("_upper").isNotNull() & found, chain).otherwise(F.lit(None).cast(CHAIN_TYPE)))
-        .drop("_index", "_tile", "_levels", "_upper")
+        lookup_join(
+            keyed(rows),
+            tiles,
+            ["log_id", "_tile"],
+            hot_rows=hot_rows,
+            keys_from=None if keys_from is None else keyed(keys_from),
+        )
+        .withColumn(name, F.when(found, chain))
+        .drop("_index", "_tile", "_width", "_levels", "_upper")
     )
 
 

@@ -238,14 +238,16 @@ def metadata_size(spark, sf_dir):
 @query
 def ts_metadata_parse(spark, sf_dir):
     built = bundles.timestamp_pairs(logs.both_logs(spark, sf_dir))
-    slots = built.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    times = timestamps.parse(F.col("metadata"), F.col("slot"))
-    return slots.select(
+    slots = F.sequence(F.lit(0), F.col("width") - 1)
+    parsed = F.transform(
+        slots, lambda slot: F.struct(slot.alias("slot"), timestamps.parse(F.col("metadata"), slot).alias("times"))
+    )
+    return built.select("log_id", "bundle_index", F.explode(parsed).alias("leaf")).select(
         "log_id",
-        paths.leaf_index(F.col("bundle_index"), F.col("slot")).alias("leaf_index"),
-        times["queue_ts_nanos"].alias("queue_ts_nanos"),
-        times["integrate_ts_nanos"].alias("integrate_ts_nanos"),
-        times["error_code"].alias("error_code"),
+        paths.leaf_index(F.col("bundle_index"), F.col("leaf.slot")).alias("leaf_index"),
+        "leaf.times.queue_ts_nanos",
+        "leaf.times.integrate_ts_nanos",
+        "leaf.times.error_code",
     )
 
 
