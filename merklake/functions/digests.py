@@ -15,10 +15,5 @@ def prefix(digest: Column) -> Column:
     return hex_lower(F.substring(digest, 1, PREFIX_BYTES))
 
 
-def prefix_byte(digest: Column) -> Column:
-    """First byte as hex: the directory of the stored index, 256 in all."""
-    return hex_lower(F.substring(digest, 1, 1))
-
-
 def suffix(digest: Column) -> Column:
     return F.substring(digest, PREFIX_BYTES + 1, SUFFIX_BYTES)

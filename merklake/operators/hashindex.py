@@ -1,13 +1,15 @@
 """Leaf hash to leaf index: one row per leaf, addressed by the first four hex digits."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merklake.constants import PREFIX_HEX, SUFFIX_BYTES
 from merklake.functions import digests
 from merklake.operators.joins import HOT_ROWS, lookup_join, small_join
+from merklake.schemas import STORED_INDEX
 
 KEYS = ["log_id", "prefix", "suffix"]
+LARGE_LOG_ROWS = 50_000_000
 
 
 def build(leaves: DataFrame) -> DataFrame:
@@ -21,23 +23,33 @@ def build(leaves: DataFrame) -> DataFrame:
     )
 
 
-def write(index: DataFrame, location: str) -> None:
-    """Store the index in 256 directories per log, sorted by key.
+def directory_digits(rows: int) -> int:
+    """Prefix digits that name a directory: 256 directories for large logs, 16 for small ones."""
+    return 2 if rows >= LARGE_LOG_ROWS else 1
+
+
+def write(index: DataFrame, location: str, digits: int = 2) -> None:
+    """Store the index in one directory per log and leading digits, sorted by key.
 
     The rebalance splits a directory that many copies of one leaf make heavy, and merges light ones.
     """
     (
-        index.withColumn("prefix_byte", F.substring("prefix", 1, 2))
-        .hint("rebalance", "log_id", "prefix_byte")
-        .sortWithinPartitions("log_id", "prefix_byte", "prefix", "suffix")
-        .write.partitionBy("log_id", "prefix_byte")
+        index.withColumn("prefix_dir", F.substring("prefix", 1, digits))
+        .hint("rebalance", "log_id", "prefix_dir")
+        .sortWithinPartitions("log_id", "prefix_dir", "prefix", "suffix")
+        .write.partitionBy("log_id", "prefix_dir")
         .parquet(location)
     )
 
 
+def read(spark: SparkSession, location: str) -> DataFrame:
+    """A stored index. The schema is given: digits in a directory name must stay text."""
+    return spark.read.schema(STORED_INDEX).parquet(location)
+
+
 def smallest(index: DataFrame) -> DataFrame:
     """One row per hash: equal leaves answer with their first index. Copies are combined before the shuffle."""
-    return index.groupBy(*[c for c in [*KEYS, "prefix_byte"] if c in index.columns]).agg(
+    return index.groupBy(*[c for c in [*KEYS, "prefix_dir"] if c in index.columns]).agg(
         F.min("leaf_index").alias("leaf_index")
     )
 
@@ -50,15 +62,16 @@ def lookup(requests: DataFrame, index: DataFrame, digest: Column, hot_rows: int
     """Add `found_index` to requests (request_id, log_id, …); null where the hash is not in the log."""
     keyed = split_key(requests, digest)
     keys = list(KEYS)
-    if "prefix_byte" in index.columns:
+    if "prefix_dir" in index.columns:
         # The directory is part of the key, so the scan reads only directories asked for.
-        keyed = keyed.withColumn("prefix_byte", F.substring("prefix", 1, 2))
-        keys.append("prefix_byte")
+        row = index.select(F.length("prefix_dir").alias("digits")).first()
+        keyed = keyed.withColumn("prefix_dir", F.substring("prefix", 1, row["digits"] if row else 1))
+        keys.append("prefix_dir")
 
     def answers(wanted: DataFrame) -> DataFrame:
         return smallest(wanted).withColumnRenamed("leaf_index", "found_index")
 
-    return lookup_join(keyed, index, keys, hot_rows=hot_rows, prepare=answers).drop("prefix", "suffix", "prefix_byte")
+    return lookup_join(keyed, index, keys, hot_rows=hot_rows, prepare=answers).drop("prefix", "suffix", "prefix_dir")
 
 
 def prefixes(index: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ first leaf past that size: its left siblings are the perfect subtrees the older
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merklake.constants import TILE_HEIGHT
 from merklake.functions.binding import let
 from merklake.functions.hashing import node_hash
 from merklake.functions.paths import bundle_of, leaf_index, slot_of
@@ -185,13 +186,20 @@ def with_chain(
 def all_inclusion_proofs(paths: DataFrame) -> DataFrame:
     """Proof of every leaf (log_id, leaf_index, leaf_hash, hashes), straight from the tiles, without a join."""
 
-    def leaf(slot: Column) -> Column:
+    def leaf(slot: Column, above: Column) -> Column:
+        within = F.transform(
+            F.array(*[F.lit(k) for k in range(TILE_HEIGHT)]),
+            lambda k: F.get(
+                F.element_at("levels", k + 1), F.call_function("shiftright", slot, k).bitwiseXOR(F.lit(1))
+            ),
+        )
         return F.struct(
             leaf_index(F.col("tile_index"), slot).alias("leaf_index"),
             F.get(F.element_at("levels", 1), slot).alias("leaf_hash"),
-            inclusion(leaf_chain(slot, F.col("levels"), F.col("upper"))).alias("hashes"),
+            F.concat(F.array_compact(within), above).alias("hashes"),
         )
 
     # Proofs are made inside the tile and then unrolled, so a tile is not copied once per leaf.
-    leaves = F.transform(F.sequence(F.lit(0), F.col("width") - 1), leaf)
+    slots = F.sequence(F.lit(0), F.col("width") - 1)
+    leaves = let(siblings(F.col("upper")), lambda above: F.transform(slots, lambda slot: leaf(slot, above)))
     return paths.select("log_id", F.explode(leaves).alias("leaf")).select("log_id", "leaf.*")

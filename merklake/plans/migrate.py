@@ -75,7 +75,8 @@ def migrate(leaves: DataFrame, sources: DataFrame, location: str, origin: str =
     bundle_ops.encode(chosen).sortWithinPartitions("log_id", "bundle_index").write.parquet(f"{location}/bundles")
     tree.hash_tiles().write.partitionBy("tile_level").parquet(f"{location}/tiles")
     tree.paths().sortWithinPartitions("log_id", "tile_index").write.parquet(f"{location}/paths")
-    hashindex.write(hashindex.build(facts), f"{location}/hash_index")
+    largest = bounds.agg(F.max("migrate_size").alias("n")).first()["n"] or 0
+    hashindex.write(hashindex.build(facts), f"{location}/hash_index", hashindex.directory_digits(largest))
 
     empty = bounds.where("migrate_size = 0").select(
         "log_id", F.lit(0).cast("bigint").alias("tree_size"), empty_root().alias("root_hash")

@@ -9,7 +9,7 @@ from merklake.functions import checkpoints, paths
 from merklake.operators import bundles as bundle_ops
 from merklake.operators import hashindex, merkle
 from merklake.operators.joins import explode_range, small_join
-from merklake.schemas import BUNDLES, CHECKPOINTS
+from merklake.schemas import BUNDLES, CHECKPOINTS, HASH_TILES, OBJECT_METADATA, PATHS
 from merklake.sources import objects
 from merklake.sources.logs import with_leaf_hash
 from merklake.sources.scratch import materialize
@@ -75,9 +75,9 @@ def open_store(spark: SparkSession, location: str, registry: DataFrame) -> LogSt
     stored = spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints")
     return LogStore(
         logs=materialize(registered_logs(registry, stored), "logs"),
-        paths=spark.read.parquet(f"{location}/paths"),
+        paths=spark.read.schema(PATHS).parquet(f"{location}/paths"),
         bundles=spark.read.schema(BUNDLES).parquet(f"{location}/bundles"),
-        index=spark.read.parquet(f"{location}/hash_index"),
+        index=hashindex.read(spark, f"{location}/hash_index"),
     )
 
 
@@ -95,7 +95,7 @@ def export_objects(location: str, base: str, spark: SparkSession) -> None:
     objects.write_objects(entries, base)
     objects.write_metadata(entries, base, lambda _: F.col("metadata"))
 
-    tiles = spark.read.parquet(f"{location}/tiles")
+    tiles = spark.read.schema(HASH_TILES).parquet(f"{location}/tiles")
     width = F.when(F.col("width") == 256, F.lit(0)).otherwise(F.col("width"))
     objects.write_objects(
         tiles.select(
@@ -119,7 +119,7 @@ def read_checkpoints(spark: SparkSession, base: str, registry: DataFrame) -> Dat
     wanted = registry.select(
         "log_id", F.concat(F.col("log_id").cast("string"), F.lit("/checkpoint")).alias("path")
     )
-    metadata = spark.read.parquet(f"{base}/_object_metadata")
+    metadata = spark.read.schema(OBJECT_METADATA).parquet(f"{base}/_object_metadata")
     read = objects.with_metadata(objects.fetch_objects(wanted, base), metadata)
     parsed = checkpoints.parse(F.col("bytes").cast("string"))
     return read.withColumn("_p", parsed).select(
@@ -144,7 +144,7 @@ def read_bundles(spark: SparkSession, base: str, logs: DataFrame) -> DataFrame:
             "path"
         ),
     )
-    metadata = spark.read.parquet(f"{base}/_object_metadata")
+    metadata = spark.read.schema(OBJECT_METADATA).parquet(f"{base}/_object_metadata")
     read = objects.with_metadata(objects.fetch_objects(wanted, base), metadata)
     return read.select(
         "log_id",

@@ -10,6 +10,7 @@ from merklake.operators import bundles, checks, compare, hashindex, joins, merkl
 from merklake.plans import migrate, store, validate
 from merklake.plans.answer import answer
 from merklake.queries import inputs
+from merklake.schemas import OBJECT_METADATA
 from merklake.sources import logs, objects, registry
 from merklake.sources.scratch import materialize, new_location
 
@@ -60,8 +61,8 @@ def _sha(value: Column) -> Column:
 @query
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry from configuration entries; the first registration of a log wins; bad entries have a code."""
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    suppliers = logs.read_table(spark, sf_dir, "supplier")
+    customers = logs.read_table(spark, sf_dir, "customer")
 
     def entries(df, key, name, order):
         frozen = F.col(key) * 1000003
@@ -77,7 +78,7 @@ def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         entries(suppliers, "s_suppkey", "s_name", 1).unionByName(entries(customers, "c_custkey", "c_name", 2))
     )
     known = registry.first_registered(parsed.where("error_code is null").drop("key", "error_code"), "position")
-    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    asked = logs.read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey").alias("log_id")
     )
     return joins.small_join(asked, known, ["log_id"]).select(
@@ -93,7 +94,7 @@ def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def registry_errors(spark, sf_dir):
     """Configuration entries with keys that are no log id or values that are no configuration."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = logs.read_table(spark, sf_dir, "customer")
     key = (
         F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("+"), F.col("c_custkey").cast("string")))
         .when(F.col("c_nationkey") % 5 == 1, F.col("c_name"))
@@ -134,7 +135,7 @@ def bundle_offsets(spark, sf_dir):
 @query
 def object_paths(spark, sf_dir):
     """Names of bundles and tiles for indices up to many groups of digits, with full and partial widths."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = logs.read_table(spark, sf_dir, "orders")
     index = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")
     size = index + F.col("o_custkey") % 300 + 1
     bundle = paths.bundle_of(index)
@@ -146,7 +147,7 @@ def object_paths(spark, sf_dir):
 
 
 def _some_paths(spark, sf_dir) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = logs.read_table(spark, sf_dir, "orders")
     key, kind = F.col("o_orderkey"), F.col("o_custkey") % 8
     good = paths.index_path(key * 977, F.lit(0))
     text = (
@@ -185,7 +186,7 @@ def base36_roundtrip(spark, sf_dir):
 @query
 def base36_decode(spark, sf_dir):
     """Text that is base 36, text that is not, signs, leading zeros, and numbers past 64 bits."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = logs.read_table(spark, sf_dir, "documents")
     kind, key = F.col("doc_id") % 7, F.col("doc_id").cast("string")
     text = (
         F.when(kind == 0, F.concat("lang", key))
@@ -254,7 +255,7 @@ def ts_metadata_parse(spark, sf_dir):
 @query
 def ts_metadata_errors(spark, sf_dir):
     """Good and bad metadata values; slot 10 is asked for, key "a"."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = logs.read_table(spark, sf_dir, "orders")
     kind, number = F.col("o_custkey") % 6, base36.encode(F.col("o_orderkey"))
     key = F.when(kind == 0, F.lit("b")).otherwise(F.lit("a"))
     value = (
@@ -391,7 +392,7 @@ def signed_log_root(spark, sf_dir):
 @query
 def checkpoint_parse(spark, sf_dir):
     """Checkpoint texts made from customers, good and bad."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = logs.read_table(spark, sf_dir, "customer")
     kind, key = F.col("c_nationkey") % 6, F.col("c_custkey").cast("string")
     root = F.unhex(F.sha2("c_name", 256))
     text = (
@@ -474,8 +475,9 @@ def membership(spark, sf_dir):
 def stored_index_lookup(spark, sf_dir):
     """The same lookup against the stored, partitioned index."""
     location = new_location(spark, "hash_index")
-    hashindex.write(hashindex.build(_hashed(spark, sf_dir)), location)
-    stored = spark.read.parquet(location)
+    index = hashindex.build(_hashed(spark, sf_dir))
+    hashindex.write(index, location, hashindex.directory_digits(index.count()))
+    stored = hashindex.read(spark, location)
     found = hashindex.lookup(inputs.by_hash(spark, sf_dir), stored, F.col("leaf_hash"))
     return found.select("request_id", "log_id", "found_index")
 
@@ -570,7 +572,7 @@ def proof_verify(spark, sf_dir):
 
 @query
 def migration_bounds(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = logs.read_table(spark, sf_dir, "orders")
     sources = orders.select(
         F.col("o_orderkey").alias("log_id"),
         F.col("o_custkey").alias("tree_size"),
@@ -582,7 +584,7 @@ def migration_bounds(spark, sf_dir):
 @query
 def leaf_quarantine(spark, sf_dir):
     """Leaves made from conversations, with missing, short and long hashes and missing values."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = logs.read_table(spark, sf_dir, "conversations")
     kind = (F.col("conv_id") + F.col("turn")) % 6
     digest = leaf_hash(F.col("text").cast("binary"))
     leaves = turns.select(
@@ -601,14 +603,14 @@ def leaf_quarantine(spark, sf_dir):
 
 def _sparse_log(spark, sf_dir) -> DataFrame:
     """Lineitem keyed by order as a log: with gaps, and indices that occur many times."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    return logs.read_table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 2).alias("log_id"), F.col("l_orderkey").alias("leaf_index")
     )
 
 
 @query
 def completeness(spark, sf_dir):
-    sizes = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy((F.col("o_custkey") % 3).alias("log_id")).agg(
+    sizes = logs.read_table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 3).alias("log_id")).agg(
         (F.max("o_orderkey") + 1).alias("tree_size")
     )
     return checks.completeness(_sparse_log(spark, sf_dir), sizes)
@@ -617,7 +619,7 @@ def completeness(spark, sf_dir):
 @query
 def completeness_gaps(spark, sf_dir):
     """Every missing index; log 2 has no leaf at all."""
-    sizes = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy((F.col("o_custkey") % 3).alias("log_id")).agg(
+    sizes = logs.read_table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 3).alias("log_id")).agg(
         (F.max("o_orderkey") + 1).alias("tree_size")
     )
     found = checks.gaps(_sparse_log(spark, sf_dir), sizes)
@@ -763,7 +765,7 @@ def object_listing(spark, sf_dir):
 @query
 def object_read_metadata(spark, sf_dir):
     """Objects made from pages with metadata, read back by name; names never written are not found."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = logs.read_table(spark, sf_dir, "pages")
     base = new_location(spark, "pages")
     key = F.lpad(F.col("page_id").cast("string"), 9, "0")
     named = pages.select(
@@ -777,7 +779,7 @@ def object_read_metadata(spark, sf_dir):
     )
     asked = named.select("path").unionByName(pages.select(F.concat(F.lit("missing/"), key).alias("path")))
     read = objects.with_metadata(
-        objects.fetch_objects(asked, base), spark.read.parquet(f"{base}/_object_metadata")
+        objects.fetch_objects(asked, base), spark.read.schema(OBJECT_METADATA).parquet(f"{base}/_object_metadata")
     )
     return read.select(
         "path",

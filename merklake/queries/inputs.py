@@ -11,7 +11,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a source of requests: log 3 is unknown, and log 2 is a twelfth as long as the others."""
     log_id = 1 + F.col("o_custkey") % 3
     base = F.when(log_id == 2, F.call_function("div", F.col("o_orderkey"), F.lit(12))).otherwise(F.col("o_orderkey"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    return logs.read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("request_id"), log_id.alias("log_id"), base.alias("base"), F.col("o_custkey").alias("c")
     )
 
@@ -57,13 +57,13 @@ def by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         leaf_hash(F.col("leaf_value")).alias("leaf_hash"),
         F.when(F.col("log_id") == 1, index + 1 + (index % 5 - 2) * 3).otherwise(index + 50).alias("tree_size"),
     )
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    pages = logs.read_table(spark, sf_dir, "pages").select(
         (F.col("page_id") * 4 + 2).alias("request_id"),
         (F.col("page_id") % 3 + 1).alias("log_id"),
         leaf_hash(F.col("html").cast("binary")).alias("leaf_hash"),
         F.col("page_id").alias("tree_size"),
     )
-    short = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+    short = logs.read_table(spark, sf_dir, "conversations").select(
         ((F.col("conv_id") * 1000 + F.col("turn")) * 4 + 3).alias("request_id"),
         F.lit(1).cast("bigint").alias("log_id"),
         F.unhex(F.md5("text")).alias("leaf_hash"),

@@ -39,15 +39,23 @@ BUNDLES = _struct(
     ("metadata", METADATA),
 )
 
-TILES = _struct(
+HASH_TILES = _struct(
+    ("log_id", _LONG), ("tile_index", _LONG), ("width", _INT), ("hashes", _BIN), ("tile_level", _INT)
+)
+
+_CHAIN = T.ArrayType(_struct(("level", _INT), ("own", _BIN), ("sib", _BIN)))
+PATHS = _struct(
     ("log_id", _LONG),
     ("tile_index", _LONG),
     ("width", _INT),
-    ("covered", _LONG),
     ("levels", T.ArrayType(T.ArrayType(_BIN))),
+    ("upper", _CHAIN),
 )
 
 HASH_INDEX = _struct(("log_id", _LONG), ("prefix", _STR), ("suffix", _BIN), ("leaf_index", _LONG))
+STORED_INDEX = _struct(
+    ("prefix", _STR), ("suffix", _BIN), ("leaf_index", _LONG), ("log_id", _LONG), ("prefix_dir", _STR)
+)
 
 OBJECTS = _struct(("path", _STR), ("bytes", _BIN))
 OBJECT_METADATA = _struct(("path", _STR), ("metadata", METADATA))
