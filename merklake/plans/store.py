@@ -9,7 +9,7 @@ from merklake.functions import checkpoints, paths
 from merklake.operators import bundles as bundle_ops
 from merklake.operators import hashindex, merkle
 from merklake.operators.joins import explode_range, small_join
-from merklake.schemas import BUNDLES, CHECKPOINTS, HASH_TILES, OBJECT_METADATA, PATHS
+from merklake.schemas import BUNDLES, CHECKPOINTS, HASH_TILES, PATHS
 from merklake.sources import objects
 from merklake.sources.logs import with_leaf_hash
 from merklake.sources.scratch import materialize
@@ -119,8 +119,7 @@ def read_checkpoints(spark: SparkSession, base: str, registry: DataFrame) -> Dat
     wanted = registry.select(
         "log_id", F.concat(F.col("log_id").cast("string"), F.lit("/checkpoint")).alias("path")
     )
-    metadata = spark.read.schema(OBJECT_METADATA).parquet(f"{base}/_object_metadata")
-    read = objects.with_metadata(objects.fetch_objects(wanted, base), metadata)
+    read = objects.fetch_objects(wanted, base).join(objects.read_metadata(spark, base), "path", "left")
     parsed = checkpoints.parse(F.col("bytes").cast("string"))
     return read.withColumn("_p", parsed).select(
         "log_id",
@@ -144,8 +143,7 @@ def read_bundles(spark: SparkSession, base: str, logs: DataFrame) -> DataFrame:
             "path"
         ),
     )
-    metadata = spark.read.schema(OBJECT_METADATA).parquet(f"{base}/_object_metadata")
-    read = objects.with_metadata(objects.fetch_objects(wanted, base), metadata)
+    read = objects.fetch_objects(wanted, base).join(objects.read_metadata(spark, base), "path", "left")
     return read.select(
         "log_id",
         "bundle_index",

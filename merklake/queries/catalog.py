@@ -10,7 +10,6 @@ from merklake.operators import bundles, checks, compare, hashindex, joins, merkl
 from merklake.plans import migrate, store, validate
 from merklake.plans.answer import answer
 from merklake.queries import inputs
-from merklake.schemas import OBJECT_METADATA
 from merklake.sources import logs, objects, registry
 from merklake.sources.scratch import materialize, new_location
 
@@ -778,9 +777,7 @@ def object_read_metadata(spark, sf_dir):
         named, base, lambda path: F.when(~F.endswith(path, F.lit("5")), given), existing
     )
     asked = named.select("path").unionByName(pages.select(F.concat(F.lit("missing/"), key).alias("path")))
-    read = objects.with_metadata(
-        objects.fetch_objects(asked, base), spark.read.schema(OBJECT_METADATA).parquet(f"{base}/_object_metadata")
-    )
+    read = objects.fetch_objects(asked, base).join(objects.read_metadata(spark, base), "path", "left")
     return read.select(
         "path",
         "found",

@@ -58,7 +58,7 @@ STORED_INDEX = _struct(
 )
 
 OBJECTS = _struct(("path", _STR), ("bytes", _BIN))
-OBJECT_METADATA = _struct(("path", _STR), ("metadata", METADATA))
+OBJECT_METADATA = _struct(("path", _STR), ("metadata", METADATA), ("version", _LONG))
 
 # Request tables, one per call. request_id must be unique within a batch.
 REQUESTS = {

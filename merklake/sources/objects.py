@@ -4,6 +4,7 @@ Paths follow the public tile layout, which a partitioned table cannot produce, s
 source writes them. Object names can be computed from a checkpoint, so reading needs no listing.
 """
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from merklake.schemas import OBJECTS
+from merklake.schemas import OBJECT_METADATA, OBJECTS
 
 SINK = "tile_objects"
+METADATA_DIR = "_object_metadata"
 
 
 def _open(base: str):
@@ -72,12 +74,21 @@ def write_metadata(
 ) -> None:
     """Store the metadata of each path. `provider` maps the path column to a map column; null means none.
 
-    Entries of the provider win over existing ones with the same key.
+    Entries of the provider win over existing ones with the same key. An object written again has a
+    later version, which readers take.
     """
     given = provider(F.col("path"))
     merged = given if existing is None else merge_metadata(existing, given)
-    objects.select("path", merged.alias("metadata")).where("metadata is not null").write.mode("append").parquet(
-        f"{base.rstrip('/')}/_object_metadata"
+    rows = objects.select("path", merged.alias("metadata"), F.lit(time.time_ns()).alias("version"))
+    rows.where("metadata is not null").write.mode("append").parquet(f"{base.rstrip('/')}/{METADATA_DIR}")
+
+
+def read_metadata(spark: SparkSession, base: str) -> DataFrame:
+    """The latest metadata of each path, keys in lower case."""
+    stored = spark.read.schema(OBJECT_METADATA).parquet(f"{base.rstrip('/')}/{METADATA_DIR}")
+    lowered = F.transform_keys("metadata", lambda k, _: F.lower(k))
+    return stored.groupBy("path").agg(F.max_by("metadata", "version").alias("metadata")).select(
+        "path", lowered.alias("metadata")
     )
 
 
@@ -119,12 +130,6 @@ def fetch_objects(paths: DataFrame, base: str) -> DataFrame:
     return paths.mapInArrow(read, schema)
 
 
-def with_metadata(objects: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Add the metadata of each object, keys in lower case."""
-    lowered = metadata.select("path", F.transform_keys("metadata", lambda k, _: F.lower(k)).alias("metadata"))
-    return objects.join(lowered, "path", "left")
-
-
 def list_objects(spark: SparkSession, base: str, prefix: str, suffix: str) -> DataFrame:
     """Distinct non-empty names between prefix and suffix, from a listing that reads no content."""
     found = (
