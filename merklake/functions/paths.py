@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from merklake.constants import ENTRIES_DIR, TILE_DIR, TILE_HEIGHT, TILE_WIDTH
 
+PART_BITS = 12
+
 # Three-digit groups, an x before all but the last, and the width of a partial object.
 INDEX_PATTERN = r"^((?:x[0-9]{3}/)*[0-9]{3})(?:\.p/([0-9]{1,3}))?$"
 
@@ -13,6 +15,11 @@ def bundle_of(index: Column) -> Column:
     return F.shiftright(index, TILE_HEIGHT)
 
 
+def part_of(bundle: Column) -> Column:
+    """Directory of a stored bundle or tile: one per 4,096 of them, about a million leaves."""
+    return F.shiftright(bundle, PART_BITS)
+
+
 def slot_of(index: Column) -> Column:
     return index.bitwiseAND(F.lit(TILE_WIDTH - 1)).cast("bigint")
 

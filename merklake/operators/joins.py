@@ -30,9 +30,13 @@ def wanted_keys(rows: DataFrame, on: list[str]) -> tuple[DataFrame, int, int]:
 
 
 def keep_wanted(one: DataFrame, keys: DataFrame, n_keys: int, on: list[str]) -> DataFrame:
-    """Rows of `one` that are asked for. Few keys are broadcast, so a small batch never shuffles a whole log."""
+    """Rows of `one` that are asked for. Few keys are broadcast, so a small batch never shuffles a whole log.
+
+    Where `one` is stored in directories by a key, only those asked for are read; Spark prunes them only
+    for a filtered key table, hence the filter that all keys pass.
+    """
     if n_keys <= BROADCAST_KEYS:
-        return one.join(F.broadcast(keys.select(*on)), on, "left_semi")
+        return one.join(F.broadcast(keys.where("_rows > 0").select(*on)), on, "left_semi")
     return one
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from merklake.constants import TILE_HEIGHT
 from merklake.functions.binding import let
 from merklake.functions.hashing import node_hash
-from merklake.functions.paths import bundle_of, leaf_index, slot_of
+from merklake.functions.paths import bundle_of, leaf_index, part_of, slot_of
 from merklake.operators.joins import HOT_ROWS, lookup_join
 from merklake.operators.merkle import leaf_chain
 
@@ -158,11 +158,16 @@ def with_chain(
 ) -> DataFrame:
     """Add the chain of a leaf to each row; null where the index is null or outside the log."""
 
+    on = ["log_id", "_tile"]
+    if "part" in paths.columns:
+        on.append("part")
+
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_index", index).withColumn("_tile", bundle_of(F.col("_index")))
+        out = df.withColumn("_index", index).withColumn("_tile", bundle_of(F.col("_index")))
+        return out.withColumn("part", part_of(F.col("_tile"))) if "part" in on else out
 
     tiles = paths.select(
-        "log_id",
+        *[c for c in on if c != "_tile"],
         F.col("tile_index").alias("_tile"),
         F.col("width").alias("_width"),
         F.col("levels").alias("_levels"),
@@ -174,12 +179,12 @@ def with_chain(
         lookup_join(
             keyed(rows),
             tiles,
-            ["log_id", "_tile"],
+            on,
             hot_rows=hot_rows,
             keys_from=None if keys_from is None else keyed(keys_from),
         )
         .withColumn(name, F.when(found, chain))
-        .drop("_index", "_tile", "_width", "_levels", "_upper")
+        .drop("_index", "_tile", "part", "_width", "_levels", "_upper")
     )
 
 

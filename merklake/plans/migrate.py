@@ -12,6 +12,7 @@ from merklake.functions.hashing import empty_root, leaf_hash
 from merklake.operators import bundles as bundle_ops
 from merklake.operators import checks, compare, hashindex, merkle
 from merklake.operators.joins import small_join
+from merklake.plans.store import write_by_part
 from merklake.sources.scratch import materialize
 
 
@@ -72,9 +73,9 @@ def migrate(leaves: DataFrame, sources: DataFrame, location: str, origin: str =
     verified = compare.verify_roots(roots.join(whole.select("log_id"), "log_id", "left_semi"), whole)
     _stop_on(verified.where(~F.col("ok")), "roots differ")
 
-    bundle_ops.encode(chosen).sortWithinPartitions("log_id", "bundle_index").write.parquet(f"{location}/bundles")
+    write_by_part(bundle_ops.encode(chosen), "bundle_index", f"{location}/bundles")
     tree.hash_tiles().write.partitionBy("tile_level").parquet(f"{location}/tiles")
-    tree.paths().sortWithinPartitions("log_id", "tile_index").write.parquet(f"{location}/paths")
+    write_by_part(tree.paths(), "tile_index", f"{location}/paths")
     largest = bounds.agg(F.max("migrate_size").alias("n")).first()["n"] or 0
     hashindex.write(hashindex.build(facts), f"{location}/hash_index", hashindex.directory_digits(largest))
 

@@ -9,7 +9,7 @@ from merklake.functions import checkpoints, paths
 from merklake.operators import bundles as bundle_ops
 from merklake.operators import hashindex, merkle
 from merklake.operators.joins import explode_range, small_join
-from merklake.schemas import BUNDLES, CHECKPOINTS, HASH_TILES, PATHS
+from merklake.schemas import CHECKPOINTS, HASH_TILES, STORED_BUNDLES, STORED_PATHS
 from merklake.sources import objects
 from merklake.sources.logs import with_leaf_hash
 from merklake.sources.scratch import materialize
@@ -70,13 +70,24 @@ def store_from_leaves(leaves: DataFrame, parts: tuple[str, ...] = ("paths", "bun
     )
 
 
+def write_by_part(df: DataFrame, index: str, location: str) -> None:
+    """Store bundles or tiles in directories by log and part, sorted, big parts in several files."""
+    (
+        df.withColumn("part", paths.part_of(F.col(index)))
+        .hint("rebalance", "log_id", "part")
+        .sortWithinPartitions("log_id", "part", index)
+        .write.partitionBy("log_id", "part")
+        .parquet(location)
+    )
+
+
 def open_store(spark: SparkSession, location: str, registry: DataFrame) -> LogStore:
     """The store a migration wrote, for the logs in the registry."""
     stored = spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints")
     return LogStore(
         logs=materialize(registered_logs(registry, stored), "logs"),
-        paths=spark.read.schema(PATHS).parquet(f"{location}/paths"),
-        bundles=spark.read.schema(BUNDLES).parquet(f"{location}/bundles"),
+        paths=spark.read.schema(STORED_PATHS).parquet(f"{location}/paths"),
+        bundles=spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"),
         index=hashindex.read(spark, f"{location}/hash_index"),
     )
 
@@ -87,7 +98,7 @@ def export_objects(location: str, base: str, spark: SparkSession) -> None:
     sizes = logs.select("log_id", "tree_size")
     folder = F.concat(F.col("log_id").cast("string"), F.lit("/"))
 
-    stored = small_join(spark.read.schema(BUNDLES).parquet(f"{location}/bundles"), sizes, ["log_id"], "inner")
+    stored = small_join(spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"), sizes, ["log_id"], "inner")
     partial = paths.partial_width(F.col("bundle_index"), F.col("tree_size"))
     entries = stored.select(
         F.concat(folder, paths.entries_path(F.col("bundle_index"), partial)).alias("path"), "bytes", "metadata"

@@ -39,6 +39,9 @@ BUNDLES = _struct(
     ("metadata", METADATA),
 )
 
+# Bundles and path tiles are stored in directories by log and part.
+STORED_BUNDLES = T.StructType([*BUNDLES.fields, T.StructField("part", _LONG)])
+
 HASH_TILES = _struct(
     ("log_id", _LONG), ("tile_index", _LONG), ("width", _INT), ("hashes", _BIN), ("tile_level", _INT)
 )
@@ -60,6 +63,8 @@ STORED_INDEX = _struct(
 OBJECTS = _struct(("path", _STR), ("bytes", _BIN))
 OBJECT_METADATA = _struct(("path", _STR), ("metadata", METADATA), ("version", _LONG))
 
+STORED_PATHS = T.StructType([*PATHS.fields, T.StructField("part", _LONG)])
+
 # Request tables, one per call. request_id must be unique within a batch.
 REQUESTS = {
     "inclusion_proof": _struct(

@@ -265,3 +265,12 @@ def test_many_logs_fall_back_from_broadcast(spark, monkeypatch):
     one = spark.range(10).select(F.col("id").alias("log_id"), (F.col("id") * 3).alias("v"))
     assert all(r.v == (r.log_id * 3 if r.log_id < 10 else None) for r in joins.small_join(many, one, ["log_id"]).collect())
     assert joins.small_join(many, one, ["log_id"], "inner").count() == sum(1 for i in range(100) if i % 12 < 10)
+
+
+def test_only_directories_asked_for_are_read(spark, served):
+    requests = spark.createDataFrame([(1, 2, 3, 5)], REQUESTS["inclusion_proof"])
+    plan = answer(requests, "inclusion_proof", served)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("dynamicpruning") >= 1 and "Cartesian" not in plan and "NestedLoop" not in plan
+    asked = spark.createDataFrame([(1, 2, bytearray(32))], "request_id long, log_id long, leaf_hash binary")
+    found = hashindex.lookup(asked, served.index, F.col("leaf_hash"))
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
