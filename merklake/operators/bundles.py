@@ -7,7 +7,7 @@ from merklake.constants import ENTRIES_DIR, MAX_ENTRY_BYTES, TILE_HEIGHT, TILE_W
 from merklake.functions import timestamps
 from merklake.functions.binding import let
 from merklake.functions.hashing import leaf_hash
-from merklake.functions.paths import bundle_of, leaf_index, parse_entries_path, slot_of
+from merklake.functions.paths import bundle_of, leaf_index, parse_entries_path, part_of, slot_of
 
 
 def _joined(parts: Column) -> Column:
@@ -27,19 +27,28 @@ def _joined(parts: Column) -> Column:
     return F.element_at(F.aggregate(rounds, parts, merge_pairs), 1)
 
 
-def encode(leaves: DataFrame) -> DataFrame:
+def encode(leaves: DataFrame, by_part: bool = False) -> DataFrame:
     """Bundles (log_id, bundle_index, width, oversize, bytes, metadata) of leaves, in one shuffle.
 
     An entry too long for its two-byte length leaves the whole bundle without bytes and is counted
     in `oversize`; it is never dropped in silence. Copies of one leaf fall together.
+
+    `by_part` adds the storage directory `part` and keeps the bundles of a part together, so that
+    they can be written without another shuffle of all values.
     """
+    bundle = bundle_of(F.col("leaf_index"))
+    keys = ["log_id", "bundle_index"]
+    leaves = leaves.withColumn("bundle_index", bundle)
+    if by_part:
+        keys.append("part")
+        leaves = leaves.withColumn("part", part_of(bundle)).repartition("log_id", "part")
     slot = slot_of(F.col("leaf_index"))
     length = F.length("leaf_value")
     entry = F.concat(
         F.unhex(F.lpad(F.hex(slot), 2, "0")), F.unhex(F.lpad(F.hex(length), 4, "0")), F.col("leaf_value")
     )
     fits = length <= MAX_ENTRY_BYTES
-    grouped = leaves.groupBy("log_id", bundle_of(F.col("leaf_index")).alias("bundle_index")).agg(
+    grouped = leaves.groupBy(*keys).agg(
         F.sort_array(F.collect_set(F.when(fits, entry))).alias("entries"),
         F.count_if(~fits).alias("oversize"),
         F.sort_array(
@@ -48,8 +57,7 @@ def encode(leaves: DataFrame) -> DataFrame:
     )
     bodies = F.transform(F.col("entries"), lambda e: F.substring(e, F.lit(2), F.length(e) - 1))
     return grouped.select(
-        "log_id",
-        "bundle_index",
+        *keys,
         F.size("pairs").alias("width"),
         "oversize",
         F.when((F.col("oversize") == 0) & (F.size("entries") > 0), _joined(bodies)).alias("bytes"),

@@ -73,7 +73,7 @@ def migrate(leaves: DataFrame, sources: DataFrame, location: str, origin: str =
     verified = compare.verify_roots(roots.join(whole.select("log_id"), "log_id", "left_semi"), whole)
     _stop_on(verified.where(~F.col("ok")), "roots differ")
 
-    write_by_part(bundle_ops.encode(chosen), "bundle_index", f"{location}/bundles")
+    write_by_part(bundle_ops.encode(chosen, by_part=True), "bundle_index", f"{location}/bundles")
     tree.hash_tiles().write.partitionBy("tile_level").parquet(f"{location}/tiles")
     write_by_part(tree.paths(), "tile_index", f"{location}/paths")
     largest = bounds.agg(F.max("migrate_size").alias("n")).first()["n"] or 0

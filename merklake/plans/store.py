@@ -71,14 +71,13 @@ def store_from_leaves(leaves: DataFrame, parts: tuple[str, ...] = ("paths", "bun
 
 
 def write_by_part(df: DataFrame, index: str, location: str) -> None:
-    """Store bundles or tiles in directories by log and part, sorted, big parts in several files."""
-    (
-        df.withColumn("part", paths.part_of(F.col(index)))
-        .hint("rebalance", "log_id", "part")
-        .sortWithinPartitions("log_id", "part", index)
-        .write.partitionBy("log_id", "part")
-        .parquet(location)
-    )
+    """Store bundles or tiles in directories by log and part, sorted.
+
+    Rows without a `part` yet are brought together by it first, heavy parts in several tasks.
+    """
+    if "part" not in df.columns:
+        df = df.withColumn("part", paths.part_of(F.col(index))).hint("rebalance", "log_id", "part")
+    df.sortWithinPartitions("log_id", "part", index).write.partitionBy("log_id", "part").parquet(location)
 
 
 def open_store(spark: SparkSession, location: str, registry: DataFrame) -> LogStore:
