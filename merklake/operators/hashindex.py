@@ -101,7 +101,8 @@ def stats(index: DataFrame) -> DataFrame:
     totals = per_prefix.groupBy("log_id").agg(
         F.sum("entries").alias("log_entries"), F.count("*").alias("log_prefixes")
     )
-    return small_join(per_prefix, totals, ["log_id"]).select(
+    # At most 65,536 rows per log on one side and one on the other.
+    return per_prefix.join(totals, "log_id").select(
         "log_id",
         "prefix",
         "entries",

@@ -51,31 +51,48 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of `many` (any number of rows per key) with `one` (at most one row per key).
 
-    The keys are counted first, from `keys_from` where `many` is costly to compute. With that:
-    `one` is cut down to the keys asked for, then completed by `prepare`; and rows of hot keys are
-    dealt over several pieces by `spread`, which must differ between rows (by default the request id,
-    or else all plain columns), the single row of `one` repeated once per piece. The split depends on
-    row values only, so a task that runs again deals its rows the same way.
+    The keys are counted first, from `keys_from` where `many` is costly to compute. With that, `one`
+    is cut down to the keys asked for and completed by `prepare`, and hot keys are split.
     """
     keys, n_keys, heaviest = wanted_keys(many if keys_from is None else keys_from, on)
     one = keep_wanted(one, keys, n_keys, on)
     one = one if prepare is None else prepare(one)
+    return split_join(many, one, on, keys if heaviest > hot_rows else None, spread, hot_rows)
+
+
+def split_join(
+    many: DataFrame,
+    one: DataFrame,
+    on: list[str],
+    counts: DataFrame | None,
+    spread: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Left join with one row per key, rows of hot keys dealt over several pieces.
+
+    `counts` holds keys with their `_rows` in `many`, the hot ones at least; None when no key is hot.
+    Rows are dealt by `spread`, which must differ between them (by default the request id, or else all
+    plain columns), and the single row of `one` is repeated once per piece. The split depends on row
+    values only, so a task that runs again deals its rows the same way.
+    """
     keyless = reduce(or_, [F.col(key).isNull() for key in on])
     spread = _row_hash(many) if spread is None else spread
-    if heaviest <= hot_rows:
+
+    def piece(pieces: Column) -> Column:
         # Rows without a key match nothing; dealt out so that they do not meet in one task.
-        dealt = many.withColumn("_piece", F.when(keyless, F.pmod(F.xxhash64(spread), F.lit(MAX_PIECES))).otherwise(F.lit(0)))
+        return F.pmod(F.xxhash64(spread), F.when(keyless, F.lit(MAX_PIECES)).otherwise(pieces))
+
+    if counts is None:
+        dealt = many.withColumn("_piece", piece(F.lit(1)))
         return dealt.join(one.withColumn("_piece", F.lit(0).cast("bigint")), [*on, "_piece"], "left").drop("_piece")
     hot = (
-        keys.where(F.col("_rows") > hot_rows)
+        counts.where(F.col("_rows") > hot_rows)
         .orderBy(F.col("_rows").desc())
         .limit(HOT_KEYS)
         .select(*on, F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_PIECES)).alias("_pieces"))
     )
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    dealt = many.join(F.broadcast(hot), on, "left").withColumn(
-        "_piece", F.pmod(F.xxhash64(spread), F.when(keyless, F.lit(MAX_PIECES)).otherwise(pieces))
-    )
+    dealt = many.join(F.broadcast(hot), on, "left").withColumn("_piece", piece(pieces))
     repeated = one.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), (pieces - 1).cast("bigint")))
     )

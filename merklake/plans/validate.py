@@ -10,9 +10,10 @@ from merklake.sources.scratch import materialize
 
 
 def differing_logs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Logs whose lowest tiles are not all equal. Proofs depend on nothing else."""
+    """Logs whose lowest tiles are not all equal. Proofs and lookups depend on nothing else."""
+
     def tiles(df: DataFrame, side: str) -> DataFrame:
-        return df.select("log_id", "tile_index", F.element_at("levels", 1).alias(side))
+        return df.select("log_id", "tile_index", merkle.tile_root(F.col("levels")).alias(side))
 
     return (
         tiles(left, "l")
@@ -32,7 +33,7 @@ def _lookups(slim: DataFrame, hot_rows: int) -> DataFrame:
 def validate_copy(left: DataFrame, right: DataFrame, strict: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All differences (log_id, leaf_index, field, left, right) between two copies of leaves.
 
-    Proofs are compared for the logs whose tiles differ; equal tiles give equal proofs.
+    Proofs and lookups are compared for the logs whose tiles differ; equal tiles give equal ones.
     """
     differences = compare.compare_leaves(left, right, strict).drop("expected")
     slim_l, slim_r = (materialize(leaf_facts(side), "facts") for side in (left, right))
@@ -49,7 +50,7 @@ def validate_copy(left: DataFrame, right: DataFrame, strict: bool = False, hot_r
     proof_differences = compare.compare_proofs(proofs_of(tree_l), proofs_of(tree_r)).drop("step")
 
     def looked_up(slim: DataFrame, name: str) -> DataFrame:
-        return _lookups(slim, hot_rows).select("log_id", "leaf_index", F.col("found_index").alias(name))
+        return _lookups(small_join(slim, changed, ["log_id"], "inner"), hot_rows).select("log_id", "leaf_index", F.col("found_index").alias(name))
 
     lookups = looked_up(slim_l, "left").join(looked_up(slim_r, "right"), ["log_id", "leaf_index"])
     lookup_differences = lookups.where(~F.col("left").eqNullSafe(F.col("right"))).select(

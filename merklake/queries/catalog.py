@@ -436,7 +436,7 @@ def index_integrity(spark, sf_dir):
     """Integrity of an index that also has records of a log shifted past its end."""
     leaves = _hashed(spark, sf_dir)
     index = hashindex.build(leaves)
-    sizes = checks.completeness(leaves).select("log_id", "tree_size")
+    sizes = materialize(checks.completeness(leaves).select("log_id", "tree_size"), "sizes")
     shifted = index.where("log_id = 2").withColumn("leaf_index", F.col("leaf_index") * 2)
     return hashindex.integrity(index.where("log_id = 1").unionByName(shifted), sizes)
 

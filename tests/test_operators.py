@@ -169,3 +169,17 @@ def test_compare_proofs(spark):
     kind = "log_id long, leaf_index long, proof_index long, hashes array<binary>"
     got = sorted((r.leaf_index, r.field, r.step) for r in compare.compare_proofs(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)).collect())
     assert got == [(1, "proof_leaf_index", None), (2, "proof_hash_count", None), (3, "proof_hash", 1), (4, "proof_hash", 0), (4, "proof_leaf_index", None), (5, "proof_missing", None)]
+
+
+def test_hot_leaf_in_a_hot_bundle(spark):
+    from merklake.plans.answer import answer
+    from merklake.plans.store import store_from_leaves
+    from merklake.schemas import REQUESTS
+
+    df, rows = leaves(spark, 600)
+    served = store_from_leaves(df, ("bundles",))
+    # A third of the requests ask for one leaf, and all their ranges overlap.
+    asked = [(i, 1, 300 if i % 3 == 0 else i, 1 + i % 4) for i in range(590)]
+    out = answer(spark.createDataFrame(asked, REQUESTS["leaves_by_range"]), "leaves_by_range", served, hot_rows=5).collect()
+    got = sorted((r.request_id, r.leaf_index, bytes(r.leaf_value)) for r in out)
+    assert got == sorted((i, k, bytes(rows[k][2])) for i, _, s, n in asked for k in range(s, min(s + n, 600)))
