@@ -114,7 +114,7 @@ def entry_at(data: Column, starts: Column, slot: Column) -> Column:
 def decode(bundles: DataFrame) -> DataFrame:
     """Leaves of bundles, with hashes computed again and timestamps from the metadata.
 
-    A bundle that cannot be read gives one row with `error_code` and no leaf.
+    A bundle that is missing or cannot be read gives one row with `error_code` and no leaf.
     """
 
     def leaf(data: Column, starts: Column, slot: Column) -> Column:
@@ -130,15 +130,19 @@ def decode(bundles: DataFrame) -> DataFrame:
 
     # Entries are cut out inside the bundle and then unrolled, so its bytes are not copied once per leaf.
     opened = let(F.col("bytes"), lambda data: let(entry_starts(data), lambda starts: leaves(data, starts)))
-    unrolled = bundles.select("log_id", "bundle_index", F.explode_outer(opened).alias("leaf"))
+    unrolled = bundles.select(
+        "log_id", "bundle_index", F.col("bytes").isNull().alias("absent"), F.explode_outer(opened).alias("leaf")
+    )
     return unrolled.select(
         "log_id",
+        "bundle_index",
         leaf_index(F.col("bundle_index"), F.col("leaf.slot")).alias("leaf_index"),
         F.col("leaf.value").alias("leaf_value"),
         leaf_hash(F.col("leaf.value")).alias("merkle_leaf_hash"),
         F.col("leaf.times.queue_ts_nanos").alias("queue_ts_nanos"),
         F.col("leaf.times.integrate_ts_nanos").alias("integrate_ts_nanos"),
-        F.when(F.col("leaf").isNull(), F.lit("BUNDLE_CORRUPT"))
+        F.when(F.col("absent"), F.lit("BUNDLE_MISSING"))
+        .when(F.col("leaf").isNull(), F.lit("BUNDLE_CORRUPT"))
         .otherwise(F.col("leaf.times.error_code"))
         .alias("error_code"),
     )

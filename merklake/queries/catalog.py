@@ -315,6 +315,7 @@ def bundle_decode(spark, sf_dir):
     decoded = bundles.decode(bundles.encode(logs.both_logs(spark, sf_dir)))
     return decoded.select(
         "log_id",
+        "bundle_index",
         "leaf_index",
         F.length("leaf_value").cast("bigint").alias("value_bytes"),
         hex_lower(F.col("merkle_leaf_hash")).alias("merkle_leaf_hash"),

@@ -37,8 +37,10 @@ def test_entry_length_limit(spark):
 def test_broken_bundles_are_reported(spark):
     rows = [(1, 0, bytearray(b"\x00\x05abc"), {"0": "1 1"}), (1, 1, bytearray(b"\x00\x01a\x00"), {"0": "1 1"}), (1, 2, bytearray(b"\x00\x01a\x00\x01b"), {"0": "1 1"}), (1, 3, None, None)]
     df = spark.createDataFrame(rows, "log_id long, bundle_index long, bytes binary, metadata map<string,string>")
-    got = sorted((r.leaf_index or -1, r.error_code) for r in bundles.decode(df).collect())
-    assert got == [(-1, "BUNDLE_CORRUPT")] * 3 + [(512, None), (513, "TIMESTAMP_MISSING")]
+    got = sorted((r.bundle_index, r.leaf_index, r.error_code) for r in bundles.decode(df).collect())
+    assert got == [
+        (0, None, "BUNDLE_CORRUPT"), (1, None, "BUNDLE_CORRUPT"), (2, 512, None), (2, 513, "TIMESTAMP_MISSING"), (3, None, "BUNDLE_MISSING")
+    ]
 
 
 def test_attach_metadata(spark):
