@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from merklake.queries.catalog import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "leaf_hashes",
+    "leaf_hash",
     "merkle_root",
     "tiles_all",
     "hash_index_stats",

@@ -141,6 +141,12 @@ def test_ranges(spark, served, hot_rows):
                 assert bytes(r.merkle_leaf_hash) == leaf(bytes(r.leaf_value)) and r.status == "OK"
 
 
+def test_ordered_answers(spark, served):
+    requests = spark.createDataFrame([(2, 1, 250, 10), (1, 1, 298, 9), (3, 2, 0, 5)], REQUESTS["leaves_by_range"])
+    got = [(r.request_id, r.leaf_index) for r in answer(requests, "leaves_by_range", served, ordered=True).collect()]
+    assert got == sorted(got) and len(got) == 17
+
+
 def test_bad_bundles_answer_with_internal(spark, served):
     broken = served.bundles.withColumn("metadata", F.map_filter("metadata", lambda k, _: k != "5")).withColumn(
         "bytes", F.when(F.col("bundle_index") == 1, F.lit(bytearray(b"\x00\x09x"))).otherwise(F.col("bytes"))
