@@ -17,6 +17,8 @@ from merklake.schemas import OBJECT_METADATA, OBJECTS
 
 SINK = "tile_objects"
 METADATA_DIR = "_object_metadata"
+# Bytes of objects read before they are handed on.
+READ_BYTES = 32 << 20
 
 
 def _open(base: str):
@@ -111,21 +113,28 @@ def fetch_objects(paths: DataFrame, base: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _open(base.rstrip("/"))
+
+        def packed(part: pa.RecordBatch, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([d is not None for d in data]), pa.array(data, pa.binary())],
+                names=[*part.schema.names, "found", "bytes"],
+            )
+
         for batch in batches:
-            # A few objects at a time, as one may be megabytes.
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                data = []
-                for path in part.column("path"):
-                    try:
-                        with filesystem.open_input_stream(f"{root}/{path.as_py()}") as stream:
-                            data.append(stream.read())
-                    except FileNotFoundError:
-                        data.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([d is not None for d in data]), pa.array(data, pa.binary())],
-                    names=[*part.schema.names, "found", "bytes"],
-                )
+            start, data, size = 0, [], 0
+            for path in batch.column("path"):
+                try:
+                    with filesystem.open_input_stream(f"{root}/{path.as_py()}") as stream:
+                        data.append(stream.read())
+                        size += len(data[-1])
+                except FileNotFoundError:
+                    data.append(None)
+                # Handed on by bytes, as one object may be megabytes.
+                if size >= READ_BYTES:
+                    yield packed(batch.slice(start, len(data)), data)
+                    start, data, size = start + len(data), [], 0
+            if data:
+                yield packed(batch.slice(start, len(data)), data)
 
     return paths.mapInArrow(read, schema)
 
