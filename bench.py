@@ -7,6 +7,7 @@ Every result is computed in whole, all columns, and discarded.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -50,6 +51,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="bench-"))
         # Few bytes but much hashing per partition: let small shuffles keep all cores busy.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .getOrCreate()

@@ -1,27 +1,19 @@
 """Intermediate tables, written once and read back.
 
 A written table cuts the lineage, survives lost executors, and lets later scans prune columns
-and rows. It lives in the folder the cluster names in `spark.checkpoint.dir`.
+and rows. It lives in the folder the session names in `spark.checkpoint.dir`, or else in the warehouse.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="merklake-")
-    return _LOCAL_DIRS[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def new_location(spark: SparkSession, name: str) -> str:
