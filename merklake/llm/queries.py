@@ -2,10 +2,13 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.llm import decontaminate, jaccard
+from merklake.llm import bpe, decontaminate, jaccard, token_counts, toxicity
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +19,21 @@ def _digest(values, sep: str = ","):
     return F.sha2(F.array_join(values, sep), 256)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text")
+    counted = token_counts.count_tokens(docs, VOCABULARY, ["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY, ["doc_id"])
+    both = bpe.decode(encoded, VOCABULARY, out="decoded")
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), _digest(F.col("ids").cast("array<string>")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
     c = found.select("doc_id", "contamination.*")
@@ -30,9 +48,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(linked).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+    score = F.col("toxicity.score")
+    predicted = (score >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
