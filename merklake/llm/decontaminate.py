@@ -145,12 +145,12 @@ def _pass(shared, out: str, drop_text: bool) -> Callable[[Iterator[pa.RecordBatc
     return scan
 
 
-def without_spans(text: Column, spans: Column) -> Column:
-    """`text` without the given spans of code points, which are in order and apart."""
+def without_spans(text: Column, spans: Column, filler: str = "") -> Column:
+    """`text` with `filler` for the given spans of code points, which are in order and apart."""
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
     starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text).cast("bigint")))
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
+    return F.when(F.size(spans) > 0, F.array_join(pieces, filler)).otherwise(text)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.llm import bpe, decontaminate, jaccard, token_counts, toxicity
+from merklake.llm import bpe, decontaminate, jaccard, secrets, token_counts, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(linked).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+
+    def written(spans):
+        return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    spans = F.array_join(written(F.col("secrets")), ",")
+    return found.select("doc_id", *map(count, secrets.BASE_KINDS), _digest(written(base)).alias("base_sha256"), spans.alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
@@ -61,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_secret_scan": op7_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
