@@ -1,8 +1,9 @@
 """Toxicity of documents from their nearest labelled examples, by exact TF-IDF cosine.
 
 Terms are words and word beginnings that mark toxic documents in a sample of labelled rows (at most `sample_rows`, those of
-smallest id hash); the sample also gives the examples. Document frequencies are counted over all documents. Examples lie in
-blocks of an inverted index that keeps, for each term and block, the largest weight: a query takes blocks in the order of
+smallest id hash); the sample also gives the examples. All other words of a text share one further dimension, weighted by
+the root of their number, so that a term counts for less in a longer text. Document frequencies are counted over all
+documents. Examples lie in blocks of an inverted index that keeps, for each term and block, the largest weight: a query takes blocks in the order of
 their bounds and stops when no bound beats its k-th neighbour, so neighbours are exact. Votes are weighted by similarity,
 and leave-one-out votes of the examples calibrate them (a logistic curve). The neighbours found are the evidence.
 
@@ -53,6 +54,7 @@ class TermCounter:
         self.terms, self.known = terms, {}
 
     def count(self, words: Words) -> list[Counter]:
+        """Of each text, how often each known term occurs in it."""
         out = [Counter() for _ in range(len(words.first) - 1)]
         distinct, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > _KNOWN_WORDS:
@@ -72,6 +74,13 @@ class TermCounter:
         return out
 
 
+def _counted(texts: pa.Array, counter: TermCounter) -> Iterator[tuple[Counter, int]]:
+    """Term counts and number of words of each text."""
+    for _, _, data, offsets in text_slices(texts):
+        words = find_words(data, offsets, ALPHANUMERIC)
+        yield from zip(counter.count(words), np.diff(words.first).tolist(), strict=True)
+
+
 @dataclass
 class Index:
     """Examples with their weights, and for every term the largest weight in each block of examples."""
@@ -128,8 +137,9 @@ class Model:
     def __post_init__(self):
         self.counter = TermCounter(self.terms)
 
-    def vector(self, counts: Counter) -> dict[int, float]:
+    def vector(self, counts: Counter, n_words: int) -> dict[int, float]:
         raw = {t: (1 + float(np.log(n))) * float(self.idf[t]) for t, n in counts.items()}
+        raw[len(self.terms)] = float(n_words) ** 0.5
         size = sum(w * w for w in raw.values()) ** 0.5
         return {t: w / size for t, w in raw.items()}
 
@@ -227,12 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     terms = {t: i for i, t in enumerate(_choose_terms(sample, max_terms))}
     df, n = _frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
-    empty = Model(terms, idf, Index.build([], len(terms)), 0.0, 0.0)
+    empty = Model(terms, idf, Index.build([], len(terms) + 1), 0.0, 0.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [c for _, _, d, o in text_slices(batch.column("text")) for c in empty.counter.count(find_words(d, o, ALPHANUMERIC))]
-            own = [empty.vector(c) if c else {} for c in own]
+            own = [empty.vector(c, n) if c else {} for c, n in _counted(batch.column("text"), empty.counter)]
             lists = [pa.array([list(v) for v in own], pa.list_(pa.int32())), pa.array([list(v.values()) for v in own], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "weights"])
 
@@ -240,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     examples = [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["terms"], r["weights"], strict=True))) for r in rows]
     bare = [y for _, y, v in examples if not v]
     model = Model(
-        terms, idf, Index.build([e for e in examples if e[2]], len(terms)),
+        terms, idf, Index.build([e for e in examples if e[2]], len(terms) + 1),
         base=(sum(y for _, y, _ in examples) + 0.1) / (len(examples) + 1), bare=(sum(bare) + 0.1) / (len(bare) + 1),
     )
     votes = [(model.vote(found), y) for i, y, v in examples if v and (found := model.index.nearest(v, NEIGHBOURS, without=i))]
@@ -258,10 +267,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str
         own = shared.value
         for batch in batches:
             found = []
-            for _, _, data, offsets in text_slices(batch.column("_text")):
-                for counts in own.counter.count(find_words(data, offsets, ALPHANUMERIC)):
-                    near = own.index.nearest(own.vector(counts), NEIGHBOURS) if counts else []
-                    found.append({"score": own.score(near), "neighbours": [{"doc_id": i, "similarity": s, "toxic": y} for s, i, y in near]})
+            for counts, n in _counted(batch.column("_text"), own.counter):
+                near = own.index.nearest(own.vector(counts, n), NEIGHBOURS) if counts else []
+                found.append({"score": own.score(near), "neighbours": [{"doc_id": i, "similarity": s, "toxic": y} for s, i, y in near]})
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(found, _FOUND)], [*keep, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
