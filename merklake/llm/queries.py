@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.llm import bpe, decontaminate, jaccard, secrets, token_counts, toxicity
+from merklake.llm import bpe, chat_format, decontaminate, jaccard, neighbours, secrets, token_counts, toxicity, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+TOOLS: chat_format.Schemas = {
+    "lookup": {"query": chat_format.Parameter(least=1, most=400), "limit": chat_format.Parameter("integer", least=1, most=60)},
+    "summarise": {"query": chat_format.Parameter(least=1), "exact": chat_format.Parameter("boolean", required=False)},
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The table's turns as a chat with tools, since it has none: what a user says is also a call, which comes after the call of
+    the user's turn before last, and what the assistant says next is its result."""
+    call_id = F.concat_ws("-", "conv_id", "turn")
+    words = F.size(F.split("text", r"\s+"))
+    limit = F.when(words % 7 == 0, F.lit(None).cast("string")).when(words % 7 == 1, F.concat(words.cast("string"), F.lit(" rows"))).otherwise(words.cast("string"))
+    name = F.when(F.char_length("text") % 5 == 0, "summarise").when(F.char_length("text") % 5 == 1, "remember").otherwise("lookup")
+    arguments = F.when(name == "summarise", F.create_map(F.lit("query"), F.col("text"), F.lit("exact"), (words % 2 == 0).cast("string"))).otherwise(
+        F.create_map(F.lit("query"), F.col("text"), F.lit("limit"), limit)
+    )
+    after = F.when(F.col("turn") >= 2, F.concat_ws("-", "conv_id", F.col("turn") - 2))
+    call = F.struct(call_id.alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    assistant = F.col("role") == "assistant"
+    return conversations.select(
+        "conv_id", "turn", F.when(assistant, "tool").otherwise(F.col("role")).alias("role"), "text",
+        F.when(F.col("role") == "user", F.array(call)).alias("calls"), F.when(assistant, F.concat_ws("-", "conv_id", F.col("turn") - 1)).alias("call_id"),
+    )
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(tool_messages(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY, ["doc_id"])
     both = bpe.decode(encoded, VOCABULARY, out="decoded")
@@ -62,6 +91,26 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE_KINDS), _digest(written(base)).alias("base_sha256"), spans.alias("spans"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables name no outcomes of pages; the labels of the document with a page's number stand for them."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), outcomes, URL_RULES, ["page_id"]).drop("bad_bound")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
@@ -72,10 +121,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
