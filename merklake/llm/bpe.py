@@ -17,23 +17,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from merklake.llm.token_counts import merge_all, text_lists
-from merklake.llm.vocabulary import Vocabulary, load, splitter
+from merklake.llm.token_counts import Cache, merge_all, text_lists
+from merklake.llm.vocabulary import Vocabulary, load, pre_tokens
 
-_KNOWN = 300_000
+_KNOWN = 150_000
 _KEPT_LENGTH = 64
 
 
-def longest_matches(word: bytes, ids: dict[bytes, int], longest: int) -> list[int]:
-    out, at = [], 0
-    while at < len(word):
-        for end in range(min(len(word), at + longest), at, -1):
-            i = ids.get(word[at:end])
-            if i is not None:
-                out.append(i)
-                at = end
-                break
-    return out
+class LongestMatch:
+    """Greedy longest match of many words in step, by a walk down the tree of the vocabulary's tokens."""
+
+    def __init__(self, ids: dict[bytes, int]):
+        nodes, edges = {b"": 0}, []
+        for token in ids:
+            for n in range(1, len(token) + 1):
+                if token[:n] not in nodes:
+                    nodes[token[:n]] = len(nodes)
+                    edges.append((nodes[token[: n - 1]] << 8 | token[n - 1], nodes[token[:n]]))
+        self.keys, self.child = np.array(sorted(edges), dtype=np.int64).T.copy()
+        self.id = np.full(len(nodes), -1, dtype=np.int64)
+        for token, i in ids.items():
+            self.id[nodes[token]] = i
+
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words, and which word each belongs to."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        data = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8).astype(np.int64)
+        end = np.cumsum(sizes)
+        word = np.flatnonzero(sizes)
+        at, stop = (end - sizes)[word], end[word]
+        node, found, found_end = np.zeros(len(word), dtype=np.int64), np.full(len(word), -1), at.copy()
+        tokens, owners = [], []
+        while len(word):
+            keys = node << 8 | data[at]
+            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            goes = (self.keys[slot] == keys) & (at < stop)
+            node = np.where(goes, self.child[slot], 0)
+            at = at + goes
+            token = np.where(goes, self.id[node], -1)
+            found, found_end = np.where(token >= 0, token, found), np.where(token >= 0, at, found_end)
+            # Where the walk ends, the longest token met is taken, and the walk begins anew behind it.
+            tokens.append(found[~goes])
+            owners.append(word[~goes])
+            at = np.where(goes, at, found_end)
+            on = goes | (at < stop)
+            word, at, stop, node, found, found_end = (x[on] for x in (word, at, stop, node, found, found_end))
+        tokens, owners = np.concatenate(tokens or [word]), np.concatenate(owners or [word])
+        order = np.argsort(owners, kind="stable")
+        return tokens[order], owners[order]
 
 
 def compatible(vocab: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,43 +125,43 @@ def _pair_table(vocab: Vocabulary) -> dict[tuple[int, int], tuple[int, int]]:
 
 class Encoder:
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known, self.longest = vocab, {}, max(map(len, vocab.ids))
-        self.proposed = self.failed = 0
-
-    def learn(self, words: set[str]) -> dict[str, list[int]]:
-        """Tokens of words that aren't known yet; the shorter ones are kept."""
-        fresh = sorted(words - self.known.keys())
-        if len(self.known) + len(fresh) > _KNOWN:
-            self.known, fresh = {}, sorted(words)
-        if not fresh:
-            return {}
-        raw = [w.encode() for w in fresh]
-        tokens = [longest_matches(w, self.vocab.ids, self.longest) for w in raw]
-        flat = np.fromiter(chain.from_iterable(tokens), dtype=np.int64)
-        owner = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+        self.vocab, self.cache, self.match = vocab, Cache(_KNOWN), LongestMatch(vocab.ids)
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words, and where those of each begin (one more for the end)."""
+        flat, owner = self.match.propose(words)
         inside = owner[1:] == owner[:-1]
         fits = compatible(self.vocab, flat[:-1][inside], flat[1:][inside])
-        wrong = np.unique(owner[:-1][inside][~fits]).tolist()
-        short = [i for i in wrong if len(raw[i]) <= _KEPT_LENGTH]
-        merged, first = merge_all([raw[i] for i in short], self.vocab)
-        for k, i in enumerate(short):
-            tokens[i] = merged[first[k] : first[k + 1]].tolist()
-        for i in wrong:
-            if len(raw[i]) > _KEPT_LENGTH:
-                tokens[i] = merge_exactly(raw[i], self.vocab)
-        self.proposed += len(fresh)
-        self.failed += len(wrong)
-        long = {}
-        for w, own in zip(fresh, tokens, strict=True):
-            (self.known if len(w) <= _KEPT_LENGTH else long)[w] = own
+        wrong = np.zeros(len(words), dtype=bool)
+        wrong[owner[:-1][inside][~fits]] = True
+        again = np.flatnonzero(wrong).tolist()
+        short = [i for i in again if len(words[i]) <= _KEPT_LENGTH]
+        merged, first = merge_all([words[i] for i in short], self.vocab)
+        parts, owners = [flat[~wrong[owner]], merged], [owner[~wrong[owner]], np.repeat(np.array(short, dtype=np.int64), np.diff(first))]
+        for i in again:
+            if len(words[i]) > _KEPT_LENGTH:
+                parts.append(np.array(merge_exactly(words[i], self.vocab), dtype=np.int64))
+                owners.append(np.full(len(parts[-1]), i))
+        flat, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Tokens (as 32-bit numbers) of words that aren't known yet; the shorter ones are kept, the others returned."""
+        fresh, long = self.cache.missing(words), {}
+        flat, first = self.tokens([w.encode() for w in fresh])
+        raw, edges = flat.astype(np.int32).tobytes(), (4 * first).tolist()
+        for w, a, b in zip(fresh, edges[:-1], edges[1:], strict=True):
+            (self.cache.new if len(w) <= _KEPT_LENGTH else long)[w] = raw[a:b]
         return long
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split, get = splitter().findall, self.known.get
-        words = [list(chain.from_iterable([p] if isinstance(p, int) else split(p) for p in self.vocab.parts(t))) for t in texts]
-        long = self.learn({w for own in words for w in own if isinstance(w, str)})
-        get = self.known.get
-        return [list(chain.from_iterable((w,) if isinstance(w, int) else get(w) or long[w] for w in own)) for own in words]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self.vocab.parts(t) for t in texts]
+        words = [[w for p in own for w in ((p,) if isinstance(p, int) else pre_tokens(p))] for own in parts]
+        long = self.learn({w for w in set().union(*words) if isinstance(w, str)})
+        special = {i: i.to_bytes(4, "little") for i in self.vocab.special.values()}
+        known = self.cache.new | long | special if long or any(isinstance(p, int) for own in parts for p in own) else self.cache.new
+        return [np.frombuffer(b"".join(map(known.__getitem__, own)), dtype=np.int32) for own in words]
 
 
 def _rows(df: DataFrame, run, keep: list[str], out: str, kind: str) -> DataFrame:
@@ -149,8 +180,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, out: str =
             for texts in text_lists(batch.column("_text")):
                 ids = encoder.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
-                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
             lists = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), lists], [*keep, out])
 
@@ -163,12 +193,15 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.array([t or b"" for t in load(path).tokens] + [b""], dtype=object)
+        sizes = np.fromiter(map(len, tokens), dtype=np.int64)
         for batch in batches:
             own = batch.column("_ids")
             flat = own.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             flat = np.where((flat >= 0) & (flat < len(tokens) - 1), flat, len(tokens) - 1)
-            ends = np.cumsum([0, *own.value_lengths().fill_null(0).to_pylist()])
-            texts = [b"".join(tokens[flat[a:b]].tolist()).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ends = np.cumsum(np.concatenate(([0], own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            edges = np.concatenate(([0], np.cumsum(sizes[flat])))[ends].tolist()
+            raw = b"".join(tokens[flat].tolist())
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(texts, pa.string())], [*keep, out])
 
     return _rows(rows.select(*keep, rows[ids].alias("_ids")), run, keep, out, "string")

@@ -2,7 +2,7 @@
 
 All pre-tokens of a batch that the task hasn't counted yet lie in one array of symbols. In a round every sequence looks for
 its lowest-rank pair, and all its occurrences are merged, in all sequences at once; sequences without a pair are done, and
-the symbols that survive are counted. Counts of pre-tokens are kept in the task (at most `_KNOWN` of them, then anew).
+the symbols that survive are counted. Counts of pre-tokens are kept in the task, the latest `_KNOWN` at least.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text count as one token each. An input column named
 like the result is replaced. Nothing is shuffled.
@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from merklake.llm.vocabulary import Vocabulary, load, splitter
+from merklake.llm.vocabulary import Vocabulary, load, pre_tokens
 
-_KNOWN = 500_000
+_KNOWN = 250_000
 _KEPT_LENGTH = 64  # longer pre-tokens are counted anew where they recur
 _SYMBOLS = 1 << 20  # merged at once
 
@@ -49,15 +49,29 @@ def merge_all(sequences: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np
     return symbols[order], np.searchsorted(owner[order], np.arange(len(sequences) + 1))
 
 
+class Cache:
+    """What a task knows of pre-tokens: two generations, so that those which recur stay when the older one goes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words it doesn't know; those that it does are in `new` from now on."""
+        if len(self.new) + len(words) > self.limit:
+            self.old, self.new = self.new, {}
+        words = words - self.new.keys()
+        for w in words & self.old.keys():
+            self.new[w] = self.old[w]
+        return sorted(words - self.old.keys())
+
+
 class Counter:
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
+        self.vocab, self.cache = vocab, Cache(_KNOWN)
 
     def learn(self, words: set[str]) -> dict[str, int]:
-        """Counts of words that aren't known yet; the shorter ones are kept."""
-        fresh = sorted(words - self.known.keys())
-        if len(self.known) + len(fresh) > _KNOWN:
-            self.known, fresh = {}, sorted(words)
+        """Counts of words that aren't known yet; the shorter ones are kept, the others returned."""
+        fresh = self.cache.missing(words)
         long, batch, size = {}, [], 0
         for i, word in enumerate(fresh):
             batch.append(word)
@@ -65,20 +79,16 @@ class Counter:
             if size >= _SYMBOLS or i == len(fresh) - 1:
                 _, first = merge_all([w.encode() for w in batch], self.vocab)
                 for w, n in zip(batch, np.diff(first).tolist(), strict=True):
-                    (self.known if len(w) <= _KEPT_LENGTH else long)[w] = n
+                    (self.cache.new if len(w) <= _KEPT_LENGTH else long)[w] = n
                 batch, size = [], 0
         return long
 
     def count(self, texts: list[str]) -> list[int]:
-        split = splitter().findall
         parts = [self.vocab.parts(t) for t in texts]
-        words = [[split(p) for p in own if isinstance(p, str)] for own in parts]
-        long = self.learn({w for own in words for part in own for w in part})
-        get = self.known.get
-        return [
-            sum(isinstance(p, int) for p in own) + sum(n if (n := get(w)) is not None else long[w] for part in split_ for w in part)
-            for own, split_ in zip(parts, words, strict=True)
-        ]
+        words = [[w for p in own if isinstance(p, str) for w in pre_tokens(p)] for own in parts]
+        long = self.learn(set().union(*words))
+        known = self.cache.new | long if long else self.cache.new
+        return [sum(isinstance(p, int) for p in own) + sum(map(known.__getitem__, ws)) for own, ws in zip(parts, words, strict=True)]
 
 
 def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None, out: str = "n_tokens") -> DataFrame:

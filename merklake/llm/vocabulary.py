@@ -4,6 +4,8 @@ A file's path is a parameter and must be readable on every executor; each worker
 """
 
 import json
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import cache
 
@@ -89,7 +91,20 @@ def load(path: str) -> Vocabulary:
 
 
 @cache
-def splitter() -> "regex.Pattern":
+def _patterns() -> tuple["re.Pattern", "regex.Pattern"]:
+    """For texts of code points under 256, where classes are short lists, and for all others."""
+    narrow = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    space = r"\t-\r\x20\x85\xA0"
+    classes = {"letter": f"[{narrow['L']}]", "number": f"[{narrow['N']}]", "other": f"[^{space}{narrow['L']}{narrow['N']}]"}
     newer = "".join("-".join(rf"\U{int(x, 16):08X}" for x in r.split("-")) for r in _NEWER.split())
-    classes = {"letter": rf"[\p{{L}}--[{newer}]]", "number": rf"[\p{{N}}--[{newer}]]", "other": rf"[[^{_SPACE}\p{{L}}\p{{N}}]||[{newer}]]"}
-    return regex.compile(_PATTERN.format(space=_SPACE, **classes), regex.VERSION1)
+    wide = {"letter": rf"[\p{{L}}--[{newer}]]", "number": rf"[\p{{N}}--[{newer}]]", "other": rf"[[^{_SPACE}\p{{L}}\p{{N}}]||[{newer}]]"}
+    return re.compile(_PATTERN.format(space=space, **classes)), regex.compile(_PATTERN.format(space=_SPACE, **wide), regex.VERSION1)
+
+
+def pre_tokens(text: str) -> list[str]:
+    narrow, wide = _patterns()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return wide.findall(text)
+    return narrow.findall(text)
