@@ -31,17 +31,18 @@ def encode(leaves: DataFrame, by_part: bool = False) -> DataFrame:
     """Bundles (log_id, bundle_index, width, oversize, bytes, metadata) of leaves, in one shuffle.
 
     An entry too long for its two-byte length leaves the whole bundle without bytes and is counted
-    in `oversize`; it is never dropped in silence. Copies of one leaf fall together.
+    in `oversize`; it is never dropped in silence. Copies of one leaf fall together. A bundle with a gap or with
+    different leaves for one index has no bytes either, and `width` counts what was given.
 
-    `by_part` adds the storage directory `part` and keeps the bundles of a part together, so that
-    they can be written without another shuffle of all values.
+    `by_part` adds the storage directory `part` and deals bundles out by ranges of even size, so that they can be
+    written to their directories without another shuffle of all values.
     """
     bundle = bundle_of(F.col("leaf_index"))
     keys = ["log_id", "bundle_index"]
     leaves = leaves.withColumn("bundle_index", bundle)
     if by_part:
         keys.append("part")
-        leaves = leaves.withColumn("part", part_of(bundle)).repartition("log_id", "part")
+        leaves = leaves.withColumn("part", part_of(bundle)).repartitionByRange("log_id", "bundle_index")
     slot = slot_of(F.col("leaf_index"))
     length = F.length("leaf_value")
     entry = F.concat(
@@ -54,13 +55,15 @@ def encode(leaves: DataFrame, by_part: bool = False) -> DataFrame:
         F.sort_array(
             F.collect_set(timestamps.pair(slot, F.col("queue_ts_nanos"), F.col("integrate_ts_nanos")))
         ).alias("pairs"),
+        F.max(slot).alias("last"),
     )
+    sound = (F.size("entries") == F.size("pairs")) & (F.col("last") + 1 == F.size("pairs"))
     bodies = F.transform(F.col("entries"), lambda e: F.substring(e, F.lit(2), F.length(e) - 1))
     return grouped.select(
         *keys,
         F.size("pairs").alias("width"),
         "oversize",
-        F.when((F.col("oversize") == 0) & (F.size("entries") > 0), _joined(bodies)).alias("bytes"),
+        F.when((F.col("oversize") == 0) & (F.size("entries") > 0) & sound, _joined(bodies)).alias("bytes"),
         timestamps.build(F.col("pairs")).alias("metadata"),
     )
 

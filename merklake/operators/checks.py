@@ -25,9 +25,14 @@ def _first_match(rules: list[tuple[Column, str, str]]) -> Column:
 
 
 def request_rules(kind: str) -> list[tuple[Column, str, str]]:
-    """Rules of one call, in the order they are tried. `known_size` is null for an unknown log."""
+    """Rules of one call, in the order they are tried. `log_known` is false for a log that is not registered;
+    `known_size` is null where a registered one has no readable checkpoint.
+
+    A null argument breaks the first rule that reads it.
+    """
     col = F.col
-    unknown = (col("known_size").isNull(), INVALID, "UNKNOWN_LOG")
+    unknown = (~col("log_known"), INVALID, "UNKNOWN_LOG")
+    unreadable = (col("known_size").isNull(), INTERNAL, "CHECKPOINT_MISSING")
     size = [(col("tree_size") <= 0, INVALID, "TREE_SIZE_NOT_POSITIVE")]
     index = [
         (col("leaf_index") < 0, INVALID, "LEAF_INDEX_NEGATIVE"),
@@ -58,12 +63,16 @@ def request_rules(kind: str) -> list[tuple[Column, str, str]]:
             (col("count") <= 0, INVALID, "COUNT_NOT_POSITIVE"),
         ],
     }
-    return [unknown, *rules[kind]]
+    return [unknown, unreadable, *((F.coalesce(broken, F.lit(status == INVALID)), status, reason) for broken, status, reason in rules[kind])]
 
 
 def validate(requests: DataFrame, kind: str) -> DataFrame:
     """Add status and reason to requests that carry `known_size`."""
-    return requests.withColumn("_verdict", _first_match(request_rules(kind))).select(
+    known = requests
+    if "log_known" not in requests.columns:
+        known = requests.withColumn("log_known", F.col("known_size").isNotNull())
+    known = known.withColumn("log_known", F.coalesce("log_known", F.lit(False)))
+    return known.withColumn("_verdict", _first_match(request_rules(kind))).select(
         *requests.columns, F.col("_verdict.status").alias("status"), F.col("_verdict.reason").alias("reason")
     )
 

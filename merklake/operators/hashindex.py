@@ -9,7 +9,7 @@ from merklake.operators.joins import HOT_ROWS, lookup_join, small_join
 from merklake.schemas import STORED_INDEX
 
 KEYS = ["log_id", "prefix", "suffix"]
-LARGE_LOG_ROWS = 50_000_000
+DIRECTORY_DIGITS = 1  # leading digits of the hash that name a directory, for logs of any size
 
 
 def build(leaves: DataFrame) -> DataFrame:
@@ -23,21 +23,18 @@ def build(leaves: DataFrame) -> DataFrame:
     )
 
 
-def directory_digits(rows: int) -> int:
-    """Prefix digits that name a directory: 256 directories for large logs, 16 for small ones."""
-    return 2 if rows >= LARGE_LOG_ROWS else 1
-
-
-def write(index: DataFrame, location: str, digits: int = 2) -> None:
+def write(index: DataFrame, location: str) -> None:
     """Store the index in one directory per log and leading digits, sorted by key.
 
-    The rebalance splits a directory that many copies of one leaf make heavy, and merges light ones.
+    Logs stored there before stay. The rebalance splits a directory that many copies of one leaf make heavy, and merges light ones.
     """
     (
-        index.withColumn("prefix_dir", F.substring("prefix", 1, digits))
+        index.withColumn("prefix_dir", F.substring("prefix", 1, DIRECTORY_DIGITS))
         .hint("rebalance", "log_id", "prefix_dir")
         .sortWithinPartitions("log_id", "prefix_dir", "prefix", "suffix")
-        .write.partitionBy("log_id", "prefix_dir")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("log_id", "prefix_dir")
         .parquet(location)
     )
 
@@ -64,8 +61,7 @@ def lookup(requests: DataFrame, index: DataFrame, digest: Column, hot_rows: int
     keys = list(KEYS)
     if "prefix_dir" in index.columns:
         # The directory is part of the key, so the scan reads only directories asked for.
-        row = index.select(F.length("prefix_dir").alias("digits")).first()
-        keyed = keyed.withColumn("prefix_dir", F.substring("prefix", 1, row["digits"] if row else 1))
+        keyed = keyed.withColumn("prefix_dir", F.substring("prefix", 1, DIRECTORY_DIGITS))
         keys.append("prefix_dir")
 
     def answers(wanted: DataFrame) -> DataFrame:

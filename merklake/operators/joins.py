@@ -1,6 +1,7 @@
 """Lookup joins that hold when one key carries a large share of the rows."""
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -9,35 +10,54 @@ from pyspark.sql import functions as F
 
 from merklake.sources.scratch import materialize
 
-# Keys with more rows than this are split, this many rows to a piece.
+# A key is split when it has more rows than this and than a task's fair share of all rows.
 HOT_ROWS = 1_000_000
-# Only the heaviest keys are split. Any key after the first k has at most 1/(k+1) of the rows,
-# so the list is short whatever the data, and the rest needs no splitting.
-HOT_KEYS = 1024
-MAX_PIECES = 4096
-# Bound on the distinct keys that are broadcast to cut down the other side of a lookup.
-BROADCAST_KEYS = 1_000_000
-# Row bound under which a one-row-per-log table is broadcast.
-SMALL_ROWS = 100_000
-
-
-def wanted_keys(rows: DataFrame, on: list[str]) -> tuple[DataFrame, int, int]:
-    """Distinct non-null keys with their row counts, the number of keys, and the largest count."""
+# Bound on what is broadcast: the keys that cut down the other side of a lookup, and tables of one row per log.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the values of `df` are within the bound: eight bytes each, and the bytes of strings and binaries."""
+    size = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Distinct non-null keys with their `_rows`; the heaviest key, and the rows that make a key hot."""
+
+    keys: DataFrame
+    heaviest: int
+    hot_rows: int
+
+    @property
+    def counts(self) -> DataFrame | None:
+        return self.keys if self.heaviest > self.hot_rows else None
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def wanted_keys(rows: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> Wanted:
+    """Count the keys. A hot key has more than the fair share of a task, so there are fewer of them than partitions."""
     present = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in on])
     keys = materialize(rows.where(present).groupBy(*on).agg(F.count("*").alias("_rows")), "keys")
-    stats = keys.agg(F.count("*").alias("n"), F.coalesce(F.max("_rows"), F.lit(0)).alias("heaviest")).first()
-    return keys, stats["n"], stats["heaviest"]
+    stats = keys.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"), F.coalesce(F.max("_rows"), F.lit(0)).alias("heaviest")).first()
+    return Wanted(keys, stats["heaviest"], max(hot_rows, -(-stats["n"] // _partitions(rows))))
 
 
-def keep_wanted(one: DataFrame, keys: DataFrame, n_keys: int, on: list[str]) -> DataFrame:
-    """Rows of `one` that are asked for. Few keys are broadcast, so a small batch never shuffles a whole log.
+def keep_wanted(one: DataFrame, wanted: Wanted, on: list[str]) -> DataFrame:
+    """Rows of `one` that are asked for. Keys within the bound are broadcast, so a small batch never shuffles a whole log.
 
     Where `one` is stored in directories by a key, only those asked for are read; Spark prunes them only
     for a filtered key table, hence the filter that all keys pass.
     """
-    if n_keys <= BROADCAST_KEYS:
-        return one.join(F.broadcast(keys.where("_rows > 0").select(*on)), on, "left_semi")
-    return one
+    keys = wanted.keys.where("_rows > 0").select(*on)
+    return one.join(F.broadcast(keys), on, "left_semi") if fits_broadcast(keys) else one
 
 
 def lookup_join(
@@ -54,10 +74,10 @@ def lookup_join(
     The keys are counted first, from `keys_from` where `many` is costly to compute. With that, `one`
     is cut down to the keys asked for and completed by `prepare`, and hot keys are split.
     """
-    keys, n_keys, heaviest = wanted_keys(many if keys_from is None else keys_from, on)
-    one = keep_wanted(one, keys, n_keys, on)
+    wanted = wanted_keys(many if keys_from is None else keys_from, on, hot_rows)
+    one = keep_wanted(one, wanted, on)
     one = one if prepare is None else prepare(one)
-    return split_join(many, one, on, keys if heaviest > hot_rows else None, spread, hot_rows)
+    return split_join(many, one, on, wanted.counts, spread, wanted.hot_rows)
 
 
 def split_join(
@@ -80,18 +100,14 @@ def split_join(
 
     def piece(pieces: Column) -> Column:
         # Rows without a key match nothing; dealt out so that they do not meet in one task.
-        return F.pmod(F.xxhash64(spread), F.when(keyless, F.lit(MAX_PIECES)).otherwise(pieces))
+        return F.pmod(F.xxhash64(spread), F.when(keyless, F.lit(_partitions(many)).cast("bigint")).otherwise(pieces))
 
     if counts is None:
-        dealt = many.withColumn("_piece", piece(F.lit(1)))
+        dealt = many.withColumn("_piece", piece(F.lit(1).cast("bigint")))
         return dealt.join(one.withColumn("_piece", F.lit(0).cast("bigint")), [*on, "_piece"], "left").drop("_piece")
-    hot = (
-        counts.where(F.col("_rows") > hot_rows)
-        .orderBy(F.col("_rows").desc())
-        .limit(HOT_KEYS)
-        .select(*on, F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_PIECES)).alias("_pieces"))
-    )
+    hot = counts.where(F.col("_rows") > hot_rows).select(*on, F.ceil(F.col("_rows") / hot_rows).alias("_pieces"))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    # Fewer hot keys than partitions where `hot_rows` is a fair share at least, as wanted_keys() gives it.
     dealt = many.join(F.broadcast(hot), on, "left").withColumn("_piece", piece(pieces))
     repeated = one.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), (pieces - 1).cast("bigint")))
@@ -106,39 +122,27 @@ def _row_hash(rows: DataFrame) -> Column:
 
 
 def small_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join with a table of one row per log: broadcast when counted small, else by hot key."""
-    if one.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    """Join with a table of one row per log: broadcast within the bound of bytes, else by hot key."""
+    if fits_broadcast(one):
         return many.join(F.broadcast(one), on, how)
     marked = lookup_join(many, one.withColumn("_here", F.lit(True)), on)
     return (marked if how == "left" else marked.where("_here")).drop("_here")
 
 
 def explode_range(df: DataFrame, first: Column, last: Column, name: str, chunk_bits: int = 14) -> DataFrame:
-    """One row per integer of [first, last], in two steps so that no long array is ever built.
+    """One row per integer of [first, last], in three steps, so that no step makes more than 2^chunk_bits rows of one for
+    any range under 2^(3 * chunk_bits), and no long array is ever built.
 
     Rows are spread again between the steps: one wide range does not stay in one task. The number
-    of partitions is given, because the rows are small before the second step and large after it.
+    of partitions is given, because the rows are small before the last step and large after it.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = f"_{name}_chunk"
-    width = 1 << chunk_bits
-    return (
-        df.withColumn("_first", first)
-        .withColumn("_last", last)
-        .where(F.col("_first") <= F.col("_last"))
-        .withColumn(
-            chunk,
-            F.explode(F.sequence(F.shiftright("_first", chunk_bits), F.shiftright("_last", chunk_bits))),
-        )
-        .repartition(partitions, *[c for c in df.columns if not c.startswith("_")], chunk)
-        .withColumn(
-            name,
-            F.explode(
-                F.sequence(
-                    F.greatest(F.col("_first"), F.col(chunk) * width),
-                    F.least(F.col("_last"), F.col(chunk) * width + (width - 1)),
-                )
-            ),
-        )
-        .drop("_first", "_last", chunk)
-    )
+    chunk, keys = f"_{name}_chunk", [c for c in df.columns if not c.startswith("_")]
+    out = df.withColumn("_first", first).withColumn("_last", last).where(F.col("_first") <= F.col("_last")).withColumn(chunk, F.lit(0).cast("bigint"))
+    for bits in (2 * chunk_bits, chunk_bits, 0):
+        low, high = F.shiftright("_first", bits), F.shiftright("_last", bits)
+        if bits < 2 * chunk_bits:
+            out = out.repartition(_partitions(df), *keys, chunk)
+            low = F.greatest(low, F.shiftleft(F.col(chunk), chunk_bits))
+            high = F.least(high, F.shiftleft(F.col(chunk), chunk_bits) + ((1 << chunk_bits) - 1))
+        out = out.withColumn(chunk, F.explode(F.sequence(low, high)))
+    return out.withColumn(name, F.col(chunk)).drop("_first", "_last", chunk)

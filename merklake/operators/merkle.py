@@ -44,22 +44,27 @@ def tile_level(nodes: DataFrame) -> DataFrame:
     """Group nodes (log_id, index, hash, covered) into tiles.
 
     The slot leads each entry, so sorting the entries is sorting by position. Repeated copies of
-    a node fall together before the shuffle, which bounds a group by the tile width.
+    a node fall together before the shuffle, which bounds a group by the tile width. A tile with a gap,
+    with two hashes for one slot or with a node above such a tile has null `levels`, and so has all above it:
+    a hash never takes another's slot.
     """
     slot = F.unhex(F.lpad(F.hex(slot_of(F.col("index"))), 2, "0"))
+    last = F.conv(F.hex(F.substring(F.element_at("entries", -1), 1, 1)), 16, 10).cast("int")
+    dense = (F.col("lost") == 0) & (last + 1 == F.size("entries"))
     hashes = F.transform(F.col("entries"), lambda e: F.substring(e, 2, DIGEST_BYTES))
     return (
         nodes.groupBy("log_id", bundle_of(F.col("index")).alias("tile_index"))
         .agg(
             F.sort_array(F.collect_set(F.concat(slot, F.col("hash")))).alias("entries"),
             F.sum("covered").alias("covered"),
+            F.count_if(F.col("hash").isNull()).alias("lost"),
         )
         .select(
             "log_id",
             "tile_index",
             F.size("entries").alias("width"),
             "covered",
-            in_tile_levels(hashes).alias("levels"),
+            F.when(F.coalesce(dense, F.lit(False)), in_tile_levels(hashes)).alias("levels"),
         )
     )
 
@@ -120,8 +125,9 @@ class Tree:
                 .select(
                     "log_id",
                     leaf_index(F.col("tile_index"), F.col("slot")).alias("tile_index"),
-                    F.concat(
-                        in_tile_chain(F.col("levels"), F.col("slot"), level * TILE_HEIGHT), F.col("upper")
+                    F.when(
+                        F.col("levels").isNotNull(),
+                        F.concat(in_tile_chain(F.col("levels"), F.col("slot"), level * TILE_HEIGHT), F.col("upper")),
                     ).alias("upper"),
                 )
             )

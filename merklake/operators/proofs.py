@@ -173,7 +173,7 @@ def with_chain(
         F.col("levels").alias("_levels"),
         F.col("upper").alias("_upper"),
     )
-    found = F.col("_upper").isNotNull() & (slot_of(F.col("_index")) < F.col("_width"))
+    found = F.col("_upper").isNotNull() & F.col("_levels").isNotNull() & (slot_of(F.col("_index")) < F.col("_width"))
     chain = leaf_chain(F.col("_index"), F.col("_levels"), F.col("_upper"))
     return (
         lookup_join(

@@ -4,7 +4,9 @@ Values are read twice, once to hash them and once to pack them into bundles. Eve
 on a slim table of hashes. The checkpoint is written last, so a reader that sees it sees a whole copy.
 """
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merklake.constants import MAX_ENTRY_BYTES
@@ -12,22 +14,22 @@ from merklake.functions.hashing import empty_root, leaf_hash
 from merklake.operators import bundles as bundle_ops
 from merklake.operators import checks, compare, hashindex, merkle
 from merklake.operators.joins import small_join
-from merklake.plans.store import write_by_part
+from merklake.plans.store import write_by_log, write_by_part
+from merklake.schemas import CHECKPOINTS
 from merklake.sources.scratch import materialize
 
 
-class MigrationError(Exception):
-    """The source is not fit to migrate; `findings` is a table with every problem found."""
+@dataclass
+class Migration:
+    """checkpoints: of the logs migrated. findings: log_id, error_code, rows, first_index of every log that was left out."""
 
-    def __init__(self, message: str, findings: DataFrame):
-        super().__init__(message)
-        self.findings = findings
+    checkpoints: DataFrame
+    findings: DataFrame
 
 
-def _stop_on(findings: DataFrame, what: str) -> None:
-    shown = findings.take(5)
-    if shown:
-        raise MigrationError(f"{what}: {[r.asDict() for r in shown]}", findings)
+def _found(problems: DataFrame, code: Column, index: Column | None = None) -> DataFrame:
+    first = F.min(index) if index is not None else F.lit(None).cast("bigint")
+    return problems.groupBy("log_id", code.alias("error_code")).agg(F.count("*").alias("rows"), first.alias("first_index"))
 
 
 def leaf_facts(leaves: DataFrame) -> DataFrame:
@@ -49,49 +51,54 @@ def leaf_facts(leaves: DataFrame) -> DataFrame:
     )
 
 
-def migrate(leaves: DataFrame, sources: DataFrame, location: str, origin: str = "log") -> DataFrame:
-    """Migrate logs and return the checkpoints written.
+def migrate(leaves: DataFrame, sources: DataFrame, location: str, origin: str = "log") -> Migration:
+    """Migrate logs into a store, which may hold others already.
 
     `sources` has one row per log: log_id, tree_size, root_hash, timestamp_nanos, finish (-1: all).
     When all of a log is migrated the rebuilt root must equal the source's; for a shorter prefix the
-    root is the prefix's own.
+    root is the prefix's own. A log with any problem is left out and named in the findings; the others go on.
     """
     bounds = materialize(checks.migration_bounds(sources), "bounds")
-    _stop_on(bounds.where(F.col("status") != checks.OK), "migration bounds")
-    wanted = bounds.select("log_id", F.col("migrate_size").alias("tree_size"))
+    out_of_bounds = bounds.where(F.col("status") != checks.OK)
+    wanted = bounds.where(F.col("status") == checks.OK).select("log_id", F.col("migrate_size").alias("tree_size"))
 
     chosen = small_join(leaves, wanted.withColumnRenamed("tree_size", "_size"), ["log_id"], "inner")
     chosen = chosen.where(F.col("leaf_index").isNull() | (F.col("leaf_index") < F.col("_size"))).drop("_size")
     facts = materialize(leaf_facts(chosen), "facts")
-    _stop_on(facts.where("error_code is not null"), "leaves")
-    sizes = checks.completeness(facts, wanted.where("tree_size > 0"))
-    _stop_on(sizes.where(~F.col("complete")), "incomplete logs")
+    sizes = materialize(checks.completeness(facts, wanted.where("tree_size > 0")), "sizes")
+    findings = (
+        _found(out_of_bounds, F.col("reason"))
+        .unionByName(_found(facts.where("error_code is not null"), F.col("error_code"), F.col("leaf_index")))
+        .unionByName(_found(sizes.where(~F.col("complete")), F.lit("INCOMPLETE")))
+    )
+    findings = materialize(findings, "findings")
+    sound = materialize(wanted.join(findings, "log_id", "left_anti"), "sound_logs")
 
-    tree = merkle.build_tree(facts)
+    tree = merkle.build_tree(small_join(facts, sound.select("log_id"), ["log_id"], "inner"))
     roots = materialize(tree.roots(), "roots")
-    whole = bounds.where("migrate_size = tree_size and tree_size > 0")
+    whole = bounds.where("migrate_size = tree_size and tree_size > 0").join(sound.select("log_id"), "log_id", "left_semi")
     verified = compare.verify_roots(roots.join(whole.select("log_id"), "log_id", "left_semi"), whole)
-    _stop_on(verified.where(~F.col("ok")), "roots differ")
+    findings = materialize(findings.unionByName(_found(verified.where(~F.col("ok")), F.lit("ROOT_DIFFERS"))), "findings")
+    good = materialize(sound.join(findings, "log_id", "left_anti").select("log_id"), "good_logs")
+
+    def of_good(rows: DataFrame) -> DataFrame:
+        return small_join(rows, good, ["log_id"], "inner")
 
-    write_by_part(bundle_ops.encode(chosen, by_part=True), "bundle_index", f"{location}/bundles")
-    tree.hash_tiles().write.partitionBy("tile_level").parquet(f"{location}/tiles")
-    write_by_part(tree.paths(), "tile_index", f"{location}/paths")
-    largest = bounds.agg(F.max("migrate_size").alias("n")).first()["n"] or 0
-    hashindex.write(hashindex.build(facts), f"{location}/hash_index", hashindex.directory_digits(largest))
+    write_by_part(bundle_ops.encode(of_good(chosen), by_part=True), "bundle_index", f"{location}/bundles")
+    write_by_log(of_good(tree.hash_tiles()), f"{location}/tiles", "tile_level")
+    write_by_part(of_good(tree.paths()), "tile_index", f"{location}/paths")
+    hashindex.write(hashindex.build(of_good(facts)), f"{location}/hash_index")
 
     empty = bounds.where("migrate_size = 0").select(
         "log_id", F.lit(0).cast("bigint").alias("tree_size"), empty_root().alias("root_hash")
     )
     checkpoints = (
-        roots.unionByName(empty)
+        of_good(roots.unionByName(empty))
         .join(bounds.select("log_id", "timestamp_nanos"), "log_id")
         .select(
-            "log_id",
-            F.lit(origin).alias("origin"),
-            "tree_size",
-            "root_hash",
-            F.col("timestamp_nanos").alias("frozen_time_nanos"),
+            F.lit(origin).alias("origin"), "tree_size", "root_hash", F.col("timestamp_nanos").alias("frozen_time_nanos"), "log_id"
         )
     )
-    checkpoints.write.parquet(f"{location}/checkpoints")
-    return leaves.sparkSession.read.schema(checkpoints.schema).parquet(f"{location}/checkpoints")
+    checkpoints = materialize(checkpoints, "checkpoints")
+    write_by_log(checkpoints, f"{location}/checkpoints")
+    return Migration(checkpoints.select(*CHECKPOINTS.names), findings)

@@ -31,11 +31,11 @@ class LogStore:
 
 def registered_logs(registry: DataFrame, checkpoints_table: DataFrame) -> DataFrame:
     """Checkpoints of registered logs. The frozen time served is the registry's; `frozen_time_differs`
-    marks logs whose checkpoint has another one."""
+    marks logs whose checkpoint has another one. A log without a checkpoint has null size and root."""
     stored = checkpoints_table.select(
         "log_id", "origin", "tree_size", "root_hash", F.col("frozen_time_nanos").alias("_stored")
     )
-    return registry.select("log_id", "frozen_time_nanos").join(stored, "log_id").select(
+    return registry.select("log_id", "frozen_time_nanos").join(stored, "log_id", "left").select(
         "log_id",
         "origin",
         "tree_size",
@@ -77,7 +77,13 @@ def write_by_part(df: DataFrame, index: str, location: str) -> None:
     """
     if "part" not in df.columns:
         df = df.withColumn("part", paths.part_of(F.col(index))).hint("rebalance", "log_id", "part")
-    df.sortWithinPartitions("log_id", "part", index).write.partitionBy("log_id", "part").parquet(location)
+    write_by_log(df.sortWithinPartitions("log_id", "part", index), location, "part")
+
+
+def write_by_log(df: DataFrame, location: str, *directories: str) -> None:
+    """Store in directories by log. Those written before, by a run that failed or for other logs, are replaced or left alone."""
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_id", *directories)
+    out.parquet(location)
 
 
 def open_store(spark: SparkSession, location: str, registry: DataFrame) -> LogStore:

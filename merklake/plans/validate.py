@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merklake.operators import compare, hashindex, merkle, proofs
+from merklake.operators import checks, compare, hashindex, merkle, proofs
 from merklake.operators.joins import HOT_ROWS, small_join
 from merklake.plans.migrate import leaf_facts
 from merklake.sources.scratch import materialize
@@ -30,14 +30,35 @@ def _lookups(slim: DataFrame, hot_rows: int) -> DataFrame:
     return hashindex.lookup(rows, hashindex.build(slim), F.col("merkle_leaf_hash"), hot_rows)
 
 
+def _not_dense(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Logs that are not exactly the indices 0 to n - 1 on both sides: log_id, leaf_index (null), field, left, right."""
+
+    def sizes(side: DataFrame, name: str) -> DataFrame:
+        shown = F.concat_ws(" rows, ", "rows", F.concat("distinct_rows", F.lit(" indices up to "), F.col("size_by_index") - 1))
+        return checks.completeness(side).select("log_id", F.col("complete").alias(f"_{name}"), shown.alias(name))
+
+    both = sizes(left, "left").join(sizes(right, "right"), "log_id", "full_outer")
+    return both.where(~(F.coalesce("_left", F.lit(False)) & F.coalesce("_right", F.lit(False)))).select(
+        "log_id", F.lit(None).cast("bigint").alias("leaf_index"), F.lit("not_dense").alias("field"), "left", "right"
+    )
+
+
+def _without(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    marked = small_join(rows, logs.select("log_id", F.lit(True).alias("_sparse")), ["log_id"])
+    return marked.where("_sparse is null").drop("_sparse")
+
+
 def validate_copy(left: DataFrame, right: DataFrame, strict: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All differences (log_id, leaf_index, field, left, right) between two copies of leaves.
 
-    Proofs and lookups are compared for the logs whose tiles differ; equal tiles give equal ones.
+    Proofs and lookups are compared for the logs whose tiles differ; equal tiles give equal ones. A log that has
+    gaps or repeated indices on either side has no proofs to compare: it gets one row of the field `not_dense`.
     """
     differences = compare.compare_leaves(left, right, strict).drop("expected")
     slim_l, slim_r = (materialize(leaf_facts(side), "facts") for side in (left, right))
-    tree_l, tree_r = merkle.build_tree(slim_l), merkle.build_tree(slim_r)
+    sparse = materialize(_not_dense(slim_l, slim_r), "sparse_logs")
+    dense_l, dense_r = (materialize(_without(side, sparse), "dense") for side in (slim_l, slim_r))
+    tree_l, tree_r = merkle.build_tree(dense_l), merkle.build_tree(dense_r)
 
     changed = materialize(differing_logs(tree_l.tiles[0], tree_r.tiles[0]), "changed_logs")
 
@@ -52,7 +73,7 @@ def validate_copy(left: DataFrame, right: DataFrame, strict: bool = False, hot_r
     def looked_up(slim: DataFrame, name: str) -> DataFrame:
         return _lookups(small_join(slim, changed, ["log_id"], "inner"), hot_rows).select("log_id", "leaf_index", F.col("found_index").alias(name))
 
-    lookups = looked_up(slim_l, "left").join(looked_up(slim_r, "right"), ["log_id", "leaf_index"])
+    lookups = looked_up(dense_l, "left").join(looked_up(dense_r, "right"), ["log_id", "leaf_index"])
     lookup_differences = lookups.where(~F.col("left").eqNullSafe(F.col("right"))).select(
         "log_id",
         "leaf_index",
@@ -60,4 +81,4 @@ def validate_copy(left: DataFrame, right: DataFrame, strict: bool = False, hot_r
         F.col("left").cast("string").alias("left"),
         F.col("right").cast("string").alias("right"),
     )
-    return differences.unionByName(proof_differences).unionByName(lookup_differences)
+    return differences.unionByName(proof_differences).unionByName(lookup_differences).unionByName(sparse)

@@ -10,7 +10,7 @@ from merklake.operators import bundles, checks, compare, hashindex, joins, merkl
 from merklake.plans import migrate, store, validate
 from merklake.plans.answer import answer
 from merklake.queries import inputs
-from merklake.schemas import LEAVES
+from merklake.schemas import LEAVES, REQUESTS
 from merklake.sources import logs, objects, registry
 from merklake.sources.scratch import materialize, new_location
 
@@ -496,7 +496,7 @@ def stored_index_lookup(spark, sf_dir):
     """The same lookup against the stored, partitioned index."""
     location = new_location(spark, "hash_index")
     index = hashindex.build(_hashed(spark, sf_dir))
-    hashindex.write(index, location, hashindex.directory_digits(index.count()))
+    hashindex.write(index, location)
     stored = hashindex.read(spark, location)
     found = hashindex.lookup(inputs.by_hash(spark, sf_dir), stored, F.col("leaf_hash"))
     return found.select("request_id", "log_id", "found_index")
@@ -563,12 +563,37 @@ def request_validation(spark, sf_dir):
     }
     out = None
     for kind, requests in batches.items():
+        names = [f.name for f in REQUESTS[kind] if f.name not in ("request_id", "log_id")]
+        for k, name in enumerate(names):  # each argument is null in one row of 13
+            requests = requests.withColumn(name, F.when(F.col("request_id") % 13 != 3 + k, F.col(name)))
         checked = checks.validate(joins.small_join(requests, sizes, ["log_id"]), kind)
         part = checked.select(F.lit(kind).alias("kind"), "request_id", "log_id", "status", "reason")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query
+def proof_missing_tile(spark, sf_dir):
+    """Requests to a store without the second tile of any log: no proof that needs it is given."""
+    whole = store.store_from_leaves(logs.both_logs(spark, sf_dir), ("paths",))
+    cut = store.LogStore(logs=whole.logs, paths=materialize(whole.paths.where("tile_index != 1"), "cut_paths"))
+    by_index = inputs.by_index(spark, sf_dir)
+    answers = {
+        "inclusion": answer(by_index, "inclusion_proof", cut),
+        "inclusion_requested": answer(by_index, "inclusion_proof", cut, mode="requested"),
+        "consistency": answer(inputs.consistency(spark, sf_dir), "consistency_proof", cut),
+        "latest": answer(inputs.latest(spark, sf_dir), "latest_root", cut),
+    }
+    out = None
+    for kind, rows in answers.items():
+        part = rows.select(
+            F.lit(kind).alias("kind"), "request_id", "status", "reason",
+            ((F.col("status") == "INTERNAL") & F.col("hashes").isNull() & F.col("root").isNull()).alias("without_proof"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def all_inclusion_proofs(spark, sf_dir):
     """Proof of every leaf of both logs."""
@@ -697,17 +722,19 @@ def validate_copy(spark, sf_dir):
     return compare.difference_counts(validate.validate_copy(leaves, changed))
 
 
-# Objects and migration
+@query
+def validate_faulty_copy(spark, sf_dir):
+    """Both logs against a copy with leaves dropped, doubled and changed: findings, and no proofs of what is no whole log."""
+    leaves = logs.both_logs(spark, sf_dir)
+    return compare.difference_counts(validate.validate_copy(leaves, inputs.faulty_copy(leaves)))
 
 
-def _fits(leaves: DataFrame) -> DataFrame:
-    """Log 1, and log 2 with texts in their hashes' place: entries that all fit a bundle."""
-    value = F.when(F.col("log_id") == 2, F.sha2("leaf_value", 256).cast("binary")).otherwise(F.col("leaf_value"))
-    return leaves.withColumn("leaf_value", value)
+# Objects and migration
 
 
-def _migrated(spark, sf_dir) -> tuple[DataFrame, str]:
-    leaves = _fits(logs.both_logs(spark, sf_dir))
+def _migrated(spark, sf_dir) -> tuple[migrate.Migration, str]:
+    """Both logs migrated. A text that no bundle can hold keeps its log out; the findings say so."""
+    leaves = logs.both_logs(spark, sf_dir)
     tree = merkle.build_tree(logs.with_leaf_hash(leaves))
     sources = materialize(
         tree.roots().select(
@@ -725,14 +752,21 @@ def _migrated(spark, sf_dir) -> tuple[DataFrame, str]:
 
 @query
 def migrate_logs(spark, sf_dir):
-    written, _ = _migrated(spark, sf_dir)
-    return written.select("log_id", "origin", "tree_size", hex_lower(F.col("root_hash")).alias("root_hash"), "frozen_time_nanos")
+    done, _ = _migrated(spark, sf_dir)
+    return done.checkpoints.select("log_id", "origin", "tree_size", hex_lower(F.col("root_hash")).alias("root_hash"), "frozen_time_nanos")
+
+
+@query
+def migrate_findings(spark, sf_dir):
+    """Logs that could not be migrated, and why."""
+    return _migrated(spark, sf_dir)[0].findings
 
 
 @query
 def migrated_entries(spark, sf_dir):
     """Every request of the batch answered from a migrated store."""
-    written, location = _migrated(spark, sf_dir)
+    done, location = _migrated(spark, sf_dir)
+    written = done.checkpoints
     registered = written.select("log_id", "frozen_time_nanos", F.lit("here").alias("location"))
     served = store.open_store(spark, location, registered)
     return _flat(answer(inputs.by_index(spark, sf_dir), "entry_and_proof", served))
@@ -741,7 +775,8 @@ def migrated_entries(spark, sf_dir):
 @query
 def object_sink_roundtrip(spark, sf_dir):
     """Migrated store exported as objects and read back by computed names: every leaf, from bytes."""
-    written, location = _migrated(spark, sf_dir)
+    done, location = _migrated(spark, sf_dir)
+    written = done.checkpoints
     base = new_location(spark, "objects")
     store.export_objects(location, base, spark)
     points = store.read_checkpoints(spark, base, written)
@@ -759,7 +794,8 @@ def object_sink_roundtrip(spark, sf_dir):
 @query
 def object_tiles_root(spark, sf_dir):
     """Roots rebuilt from exported hash tiles alone, against the exported checkpoints."""
-    written, location = _migrated(spark, sf_dir)
+    done, location = _migrated(spark, sf_dir)
+    written = done.checkpoints
     base = new_location(spark, "objects")
     store.export_objects(location, base, spark)
     points = store.read_checkpoints(spark, base, written)

@@ -6,9 +6,11 @@ source writes them. Object names can be computed from a checkpoint, so reading n
 
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -140,16 +142,22 @@ def fetch_objects(paths: DataFrame, base: str) -> DataFrame:
 
 
 def list_objects(spark: SparkSession, base: str, prefix: str, suffix: str) -> DataFrame:
-    """Distinct non-empty names between prefix and suffix, from a listing that reads no content."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(base)
-        .select(F.substring_index("path", base.rstrip("/") + "/", -1).alias("path"))
-        .where(F.startswith("path", F.lit(prefix)) & F.endswith("path", F.lit(suffix)))
+    """Distinct non-empty names between prefix and suffix, from a listing of the prefix's folder that reads no content."""
+    folder = prefix.rpartition("/")[0]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffix and not set(suffix) & set("/*?[]{}\\"):
+        reader = reader.option("pathGlobFilter", f"*{suffix}")
+    try:
+        listed = reader.load(f"{base.rstrip('/')}/{folder}".rstrip("/")).select("path")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listed = spark.createDataFrame([], "path string")
+    root = urlparse(base).path.rstrip("/") + "/"
+    found = listed.select(F.substring_index("path", root, -1).alias("path")).where(
+        F.startswith("path", F.lit(prefix)) & F.endswith("path", F.lit(suffix))
     )
     name = F.substring(
         "path", F.lit(len(prefix) + 1), F.greatest(F.length("path") - (len(prefix) + len(suffix)), F.lit(0))
     )
     return found.select(name.alias("name")).where("name <> ''").distinct()
-

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from merklake.operators import bundles, hashindex, joins
 from merklake.plans import migrate, store, validate
 from merklake.plans.answer import answer
-from merklake.schemas import LEAVES, REGISTRY, REQUESTS
+from merklake.schemas import CHECKPOINTS, LEAVES, REGISTRY, REQUESTS
 from merklake.sources import logs, objects, registry
 from merklake.sources.scratch import materialize, new_location
 from tests.reference_tree import Brute, leaf
@@ -163,36 +163,74 @@ def test_bad_bundles_answer_with_internal(spark, served):
 def test_migrating_a_prefix(spark, leaves, brute):
     location = new_location(spark, "store")
     one = sources(spark, brute).where("log_id = 1").withColumn("finish", F.lit(257).cast("long"))
-    written = migrate.migrate(leaves, one, location).collect()
+    written = migrate.migrate(leaves, one, location).checkpoints.collect()
     assert [(r.log_id, r.tree_size, bytes(r.root_hash)) for r in written] == [(1, 257, brute[1].root(0, 257))]
 
 
-def test_migration_refuses(spark, leaves, brute):
-    def fails(what, df=leaves, **options):
+def test_migration_leaves_bad_logs_out(spark, leaves, brute):
+    def found(df=leaves, **options):
         location = new_location(spark, "store")
-        with pytest.raises(migrate.MigrationError, match=what) as error:
-            migrate.migrate(df, sources(spark, brute, **options), location)
-        # No checkpoint: nobody takes the copy for whole.
-        assert not os.path.exists(location.removeprefix("file:") + "/checkpoints")
-        return error.value.findings
-
-    fails("bounds", finish=301)
-    fails("bounds", finish=-2)
-    fails("roots differ", wrong=True)
-    assert {r.log_id: r.repeated for r in fails("incomplete", leaves.unionByName(leaves.where("leaf_index = 3"))).collect()} == {1: 1, 2: 1}
-    fails("incomplete", leaves.where("leaf_index <> 3"))
-    long_value = F.when(F.col("leaf_index") == 3, F.lit(bytearray(65536))).otherwise(F.col("leaf_value"))
-    found = fails("leaves", leaves.withColumn("leaf_value", long_value)).collect()
-    assert {(r.leaf_index, r.error_code) for r in found} == {(3, "ENTRY_TOO_LONG")}
+        done = migrate.migrate(df, sources(spark, brute, **options), location)
+        # No checkpoint of a bad log: nobody takes the copy for whole.
+        stored = spark.read.schema(CHECKPOINTS).parquet(location + "/checkpoints") if done.checkpoints.take(1) else None
+        good = {r.log_id for r in stored.collect()} if stored is not None else set()
+        findings = {(r.log_id, r.error_code, r.rows, r.first_index) for r in done.findings.collect()}
+        assert good == set(N) - {f[0] for f in findings}
+        return findings
+
+    assert found(finish=301) == {(1, "FINISH_BEYOND_LOG", 1, None), (2, "FINISH_BEYOND_LOG", 1, None)}
+    assert found(finish=-2) == {(1, "FINISH_NEGATIVE", 1, None), (2, "FINISH_NEGATIVE", 1, None)}
+    assert found(wrong=True) == {(1, "ROOT_DIFFERS", 1, None), (2, "ROOT_DIFFERS", 1, None)}
+    assert found(leaves.unionByName(leaves.where("leaf_index = 3 and log_id = 1"))) == {(1, "INCOMPLETE", 1, None)}
+    assert found(leaves.where("leaf_index <> 3 or log_id = 2")) == {(1, "INCOMPLETE", 1, None)}
+    long_value = F.when((F.col("leaf_index") == 3) & (F.col("log_id") == 2), F.lit(bytearray(65536))).otherwise(F.col("leaf_value"))
+    assert (2, "ENTRY_TOO_LONG", 1, 3) in found(leaves.withColumn("leaf_value", long_value))
     hashed = logs.with_leaf_hash(leaves)
     wrong = hashed.withColumn("merkle_leaf_hash", F.when(F.col("leaf_index") == 2, F.lit(bytearray(32))).otherwise(F.col("merkle_leaf_hash")))
-    assert {r.error_code for r in fails("leaves", wrong).collect()} == {"HASH_MISMATCH"}
+    assert found(wrong) == {(1, "HASH_MISMATCH", 1, 2), (2, "HASH_MISMATCH", 1, 2)}
+
+
+def test_adding_a_log_and_repeating_one(spark, leaves, brute):
+    location, all_ = new_location(spark, "store"), sources(spark, brute)
+    for log in (1, 2, 1):
+        assert migrate.migrate(leaves, all_.where(f"log_id = {log}"), location).findings.count() == 0
+    registry_ = spark.createDataFrame([(1, 500, "a"), (2, 79, "b"), (3, 1, "c")], REGISTRY)
+    got = ask(spark, store.open_store(spark, location, registry_), "entry_and_proof", (1, 299, 300), (2, 4, 5), (3, 0, 1), (4, 0, 1))
+    assert [(r.status, r.reason) for r in got] == [("OK", None), ("OK", None), ("INTERNAL", "CHECKPOINT_MISSING"), ("INVALID_ARGUMENT", "UNKNOWN_LOG")]
+    assert [len(r.hashes) for r in got[:2]] == [len(brute[1].inclusion(299, 300)), len(brute[2].inclusion(4, 5))]
+
+
+def test_no_proof_without_its_tiles(spark, served):
+    cut = store.LogStore(served.logs, served.paths.where("tile_index != 1"), served.bundles, served.index.where("leaf_index > 250"))
+    lost = ("INTERNAL", "TILE_MISSING", None)
+
+    def shown(kind, *rows, **options):
+        return [(r.status, r.reason, r.hashes) for r in ask(spark, cut, kind, *rows, **options)]
+
+    assert shown("inclusion_proof", (1, 270, 300)) == [lost]
+    assert shown("inclusion_proof", (1, 5, 280), mode="requested") == [lost]
+    assert shown("inclusion_proof_by_hash", (1, bytearray(leaf(b"entry-1-270")), 300)) == [lost]
+    assert shown("consistency_proof", (1, 270, 300)) == [lost] and shown("consistency_proof", (1, 5, 280)) == [lost]
+    assert shown("latest_root", (1, 270)) == [lost]
+    assert [r[0] for r in shown("inclusion_proof", (1, 5, 300))] == ["OK"]
+
+
+def test_gaps_and_conflicts_take_no_slot(spark, leaves, brute):
+    gap = store.store_from_leaves(leaves.where("leaf_index <> 7"))
+    got = ask(spark, gap, "inclusion_proof", (1, 8, 200), (2, 4, 5))
+    assert [(r.status, r.reason) for r in got] == [("INTERNAL", "TILE_MISSING"), ("OK", None)]
+    again = leaves.unionByName(leaves.where("log_id = 1 and leaf_index = 7").withColumn("leaf_value", F.lit(bytearray(b"other"))))
+    got = ask(spark, store.store_from_leaves(again), "entry_and_proof", (1, 8, 200), (1, 290, 300), (2, 4, 5))
+    assert [r.status for r in got] == ["INTERNAL", "INTERNAL", "OK"]
+    found = validate.validate_copy(leaves, leaves.where("log_id = 2 or leaf_index <> 7")).collect()
+    assert sorted((r.log_id, r.leaf_index, r.field) for r in found if r.field == "not_dense") == [(1, None, "not_dense")]
+    assert {r.field for r in found} == {"not_dense", "presence"} or len(found) == 2
 
 
 def test_empty_log(spark, leaves, brute):
     empty = spark.createDataFrame([(8, 0, bytearray(32), 1, -1)], "log_id long, tree_size long, root_hash binary, timestamp_nanos long, finish long")
     written = migrate.migrate(leaves, empty.unionByName(sources(spark, brute)), new_location(spark, "store"))
-    got = {r.log_id: (r.tree_size, bytes(r.root_hash).hex()[:8]) for r in written.collect()}
+    got = {r.log_id: (r.tree_size, bytes(r.root_hash).hex()[:8]) for r in written.checkpoints.collect()}
     assert got[8] == (0, "e3b0c442") and got[1][0] == 300
 
 
@@ -269,7 +307,7 @@ def test_leaf_range_scan_is_pushed_down(spark, leaves):
 
 
 def test_many_logs_fall_back_from_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "SMALL_ROWS", 3)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 24)
     many = spark.range(100).select(F.col("id").alias("request_id"), (F.col("id") % 12).alias("log_id"))
     one = spark.range(10).select(F.col("id").alias("log_id"), (F.col("id") * 3).alias("v"))
     assert all(r.v == (r.log_id * 3 if r.log_id < 10 else None) for r in joins.small_join(many, one, ["log_id"]).collect())
