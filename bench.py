@@ -36,6 +36,8 @@ HEADLINE = [
     "compare_leaves",
     "completeness_gaps",
     "validate_copy",
+    "migrate_logs",
+    "object_sink_roundtrip",
 ]
 
 

@@ -160,7 +160,7 @@ def tree_from_tiles(stored: DataFrame) -> Tree:
         "tile_index",
         F.call_function("div", F.length("hashes"), F.lit(DIGEST_BYTES)).cast("int").alias("width"),
         F.call_function("div", F.length("hashes"), F.lit(DIGEST_BYTES)).cast("bigint").alias("covered"),
-        in_tile_levels(unpack_hashes(F.col("hashes"))).alias("levels"),
+        F.when(F.col("hashes").isNotNull(), in_tile_levels(unpack_hashes(F.col("hashes")))).alias("levels"),
     )
     written = materialize(lowest, "tiles", ["log_id", "tile_index"])
     last = written.agg(F.max("tile_index").alias("last")).first()["last"]

@@ -2,9 +2,10 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merklake.constants import DIGEST_BYTES
 from merklake.functions import checkpoints, paths
 from merklake.operators import bundles as bundle_ops
 from merklake.operators import hashindex, merkle
@@ -97,11 +98,19 @@ def open_store(spark: SparkSession, location: str, registry: DataFrame) -> LogSt
     )
 
 
-def export_objects(location: str, base: str, spark: SparkSession) -> None:
-    """Write a migrated store as objects in the public layout, one folder per log; checkpoints last."""
+def _folder(rows: DataFrame) -> Column:
+    """Where a log's objects lie under the base: the registry's location, or else a folder named by the log id."""
+    name = F.col("log_id").cast("string")
+    return F.concat(F.coalesce("location", name) if "location" in rows.columns else name, F.lit("/"))
+
+
+def export_objects(location: str, base: str, spark: SparkSession, registry: DataFrame | None = None) -> None:
+    """Write a migrated store as objects in the public layout, each log in its location; checkpoints last."""
     logs = spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints")
-    sizes = logs.select("log_id", "tree_size")
-    folder = F.concat(F.col("log_id").cast("string"), F.lit("/"))
+    if registry is not None:
+        logs = materialize(logs.join(registry.select("log_id", "location"), "log_id"), "exported_logs")
+    sizes = logs.select("log_id", "tree_size", *(["location"] if registry is not None else []))
+    folder = _folder(sizes)
 
     stored = small_join(spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"), sizes, ["log_id"], "inner")
     partial = paths.partial_width(F.col("bundle_index"), F.col("tree_size"))
@@ -111,7 +120,7 @@ def export_objects(location: str, base: str, spark: SparkSession) -> None:
     objects.write_objects(entries, base)
     objects.write_metadata(entries, base, lambda _: F.col("metadata"))
 
-    tiles = spark.read.schema(HASH_TILES).parquet(f"{location}/tiles")
+    tiles = small_join(spark.read.schema(HASH_TILES).parquet(f"{location}/tiles"), sizes.drop("tree_size"), ["log_id"], "inner")
     width = F.when(F.col("width") == 256, F.lit(0)).otherwise(F.col("width"))
     objects.write_objects(
         tiles.select(
@@ -130,11 +139,33 @@ def export_objects(location: str, base: str, spark: SparkSession) -> None:
     objects.write_objects(points, base)
 
 
+def _located(logs: DataFrame) -> DataFrame:
+    return logs.select("log_id", "tree_size", *(["location"] if "location" in logs.columns else []))
+
+
+def store_from_objects(spark: SparkSession, base: str, registry: DataFrame) -> LogStore:
+    """A store from objects in the public layout alone. Tiles hold the leaf hashes, so chains and index come from these; a
+    tile that is missing or of the wrong size has no hashes, and nothing above it is given out."""
+    points = read_checkpoints(spark, base, registry).join(registry.select("log_id", "location"), "log_id")
+    points = materialize(points, "checkpoints")
+    known = points.where("error_code is null and tree_size > 0")
+    tiles = read_hash_tiles(spark, base, known)
+    whole = F.length("hashes") == F.col("width") * DIGEST_BYTES
+    tiles = materialize(tiles.select("log_id", "tile_index", F.when(whole, F.col("hashes")).alias("hashes")), "hash_tiles")
+    each = tiles.where("hashes is not null").select("log_id", "tile_index", F.posexplode(merkle.unpack_hashes(F.col("hashes"))))
+    leaves = each.select("log_id", paths.leaf_index(F.col("tile_index"), F.col("pos")).alias("leaf_index"), F.col("col").alias("merkle_leaf_hash"))
+    good = points.where("error_code is null").select(*CHECKPOINTS.names)
+    return LogStore(
+        logs=materialize(registered_logs(registry, good), "logs"),
+        paths=materialize(merkle.tree_from_tiles(tiles).paths(), "paths"),
+        bundles=read_bundles(spark, base, known),
+        index=hashindex.build(leaves),
+    )
+
+
 def read_checkpoints(spark: SparkSession, base: str, registry: DataFrame) -> DataFrame:
     """Checkpoint objects of registered logs, parsed; `error_code` where one is missing or bad."""
-    wanted = registry.select(
-        "log_id", F.concat(F.col("log_id").cast("string"), F.lit("/checkpoint")).alias("path")
-    )
+    wanted = registry.select("log_id", F.concat(_folder(registry), F.lit("checkpoint")).alias("path"))
     read = objects.fetch_objects(wanted, base).join(objects.read_metadata(spark, base), "path", "left")
     parsed = checkpoints.parse(F.col("bytes").cast("string"))
     return read.withColumn("_p", parsed).select(
@@ -148,16 +179,14 @@ def read_checkpoints(spark: SparkSession, base: str, registry: DataFrame) -> Dat
 
 
 def read_bundles(spark: SparkSession, base: str, logs: DataFrame) -> DataFrame:
-    """Entry bundle objects of logs (log_id, tree_size), by computed names: nothing is listed."""
+    """Entry bundle objects of logs (log_id, tree_size, location if given), by computed names: nothing is listed."""
     last = paths.bundle_of(F.col("tree_size") - 1)
-    named = explode_range(logs.select("log_id", "tree_size"), F.lit(0).cast("bigint"), last, "bundle_index")
+    named = explode_range(_located(logs), F.lit(0).cast("bigint"), last, "bundle_index")
     partial = paths.partial_width(F.col("bundle_index"), F.col("tree_size"))
     wanted = named.select(
         "log_id",
         "bundle_index",
-        F.concat(F.col("log_id").cast("string"), F.lit("/"), paths.entries_path(F.col("bundle_index"), partial)).alias(
-            "path"
-        ),
+        F.concat(_folder(named), paths.entries_path(F.col("bundle_index"), partial)).alias("path"),
     )
     read = objects.fetch_objects(wanted, base).join(objects.read_metadata(spark, base), "path", "left")
     return read.select(
@@ -173,15 +202,14 @@ def read_bundles(spark: SparkSession, base: str, logs: DataFrame) -> DataFrame:
 
 
 def read_hash_tiles(spark: SparkSession, base: str, logs: DataFrame) -> DataFrame:
-    """Lowest hash tile objects of logs (log_id, tree_size), by computed names."""
+    """Lowest hash tile objects of logs (log_id, tree_size, location if given), by computed names."""
     last = paths.bundle_of(F.col("tree_size") - 1)
-    named = explode_range(logs.select("log_id", "tree_size"), F.lit(0).cast("bigint"), last, "tile_index")
+    named = explode_range(_located(logs), F.lit(0).cast("bigint"), last, "tile_index")
     partial = paths.partial_width(F.col("tile_index"), F.col("tree_size"))
     wanted = named.select(
         "log_id",
         "tile_index",
-        F.concat(
-            F.col("log_id").cast("string"), F.lit("/"), paths.tile_path(F.lit(0), F.col("tile_index"), partial)
-        ).alias("path"),
+        F.concat(_folder(named), paths.tile_path(F.lit(0), F.col("tile_index"), partial)).alias("path"),
+        paths.expected_width(F.col("tile_index"), F.col("tree_size")).alias("width"),
     )
     return objects.fetch_objects(wanted, base).withColumnRenamed("bytes", "hashes")

@@ -791,6 +791,18 @@ def object_sink_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def answers_from_objects(spark, sf_dir):
+    """Every request of the batch answered from exported objects alone, each log in a location of its own."""
+    done, location = _migrated(spark, sf_dir)
+    base = new_location(spark, "objects")
+    place = F.concat(F.lit("bucket/"), F.col("log_id").cast("string"), F.lit("/frozen"))
+    registered = done.checkpoints.select("log_id", "frozen_time_nanos", place.alias("location"))
+    store.export_objects(location, base, spark, registered)
+    served = store.store_from_objects(spark, base, registered)
+    return _flat(answer(inputs.by_index(spark, sf_dir), "entry_and_proof", served))
+
+
 @query
 def object_tiles_root(spark, sf_dir):
     """Roots rebuilt from exported hash tiles alone, against the exported checkpoints."""
