@@ -30,6 +30,27 @@ class LogStore:
     index: DataFrame | None = None
 
 
+@dataclass
+class StoredTables:
+    """What a migration wrote, table by table."""
+
+    checkpoints: DataFrame
+    bundles: DataFrame
+    tiles: DataFrame
+    paths: DataFrame
+    index: DataFrame
+
+
+def read_stored(spark: SparkSession, location: str) -> StoredTables:
+    return StoredTables(
+        checkpoints=spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints"),
+        bundles=spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"),
+        tiles=spark.read.schema(HASH_TILES).parquet(f"{location}/tiles"),
+        paths=spark.read.schema(STORED_PATHS).parquet(f"{location}/paths"),
+        index=hashindex.read(spark, f"{location}/hash_index"),
+    )
+
+
 def registered_logs(registry: DataFrame, checkpoints_table: DataFrame) -> DataFrame:
     """Checkpoints of registered logs. The frozen time served is the registry's; `frozen_time_differs`
     marks logs whose checkpoint has another one. A log without a checkpoint has null size and root."""

@@ -1,11 +1,13 @@
 """Validation of a copy: every leaf, hash lookup and proof of two logs compared."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merklake.operators import checks, compare, hashindex, merkle, proofs
+from merklake.functions.hashing import hex_lower
+from merklake.operators import bundles, checks, compare, hashindex, merkle, proofs
 from merklake.operators.joins import HOT_ROWS, small_join
 from merklake.plans.migrate import leaf_facts
+from merklake.plans.store import StoredTables
 from merklake.sources.scratch import materialize
 
 
@@ -82,3 +84,52 @@ def validate_copy(left: DataFrame, right: DataFrame, strict: bool = False, hot_r
         F.col("right").cast("string").alias("right"),
     )
     return differences.unionByName(proof_differences).unionByName(lookup_differences).unionByName(sparse)
+
+
+def _unequal(left: DataFrame, right: DataFrame, keys: list[str], field: str, first_leaf: Column) -> DataFrame:
+    """Rows of two tables (keys, shown) that differ or are on one side only, as differences."""
+    met = left.withColumnRenamed("shown", "left").join(right.withColumnRenamed("shown", "right"), keys, "full_outer")
+    return met.where(~F.col("left").eqNullSafe(F.col("right"))).select(
+        "log_id", first_leaf.cast("bigint").alias("leaf_index"), F.lit(field).alias("field"), "left", "right"
+    )
+
+
+def validate_store(leaves: DataFrame, stored: StoredTables, strict: bool = False) -> DataFrame:
+    """All differences (log_id, leaf_index, field, left, right) between leaves and the store a migration made of them.
+
+    Every stored table is compared with what the leaves give: bundles leaf by leaf, hash tiles, path tiles with their
+    chains, index entries, and checkpoints. Differences of a tile are at its first leaf. Logs without a checkpoint
+    are left out; leaves past a checkpoint's size do not count.
+    """
+    sizes = stored.checkpoints.select("log_id", F.col("tree_size").alias("_size"))
+    source = small_join(leaves, sizes, ["log_id"], "inner").where("leaf_index < _size").drop("_size")
+    read = bundles.decode(stored.bundles).where("leaf_index is not null and error_code is null")
+    found = compare.compare_leaves(source, read.select(*[c for c in source.columns if c in read.columns]), strict).drop("expected")
+
+    facts = materialize(leaf_facts(source), "facts")
+    tree = merkle.build_tree(facts)
+    tile = ["log_id", "tile_level", "tile_index"]
+    span = F.pow(F.lit(256), F.col("tile_level") + 1)
+
+    def tiles(df: DataFrame) -> DataFrame:
+        return df.select(*tile, F.sha2("hashes", 256).alias("shown"))
+
+    def paths(df: DataFrame) -> DataFrame:
+        return df.select("log_id", "tile_index", F.sha2(F.to_json(F.struct("levels", "upper")), 256).alias("shown"))
+
+    def entries(df: DataFrame) -> DataFrame:
+        return df.select("log_id", "leaf_index", F.concat("prefix", hex_lower(F.col("suffix"))).alias("shown"))
+
+    def points(df: DataFrame) -> DataFrame:
+        return df.select("log_id", F.concat_ws(" ", "tree_size", hex_lower(F.col("root_hash"))).alias("shown"))
+
+    known = stored.checkpoints.where("tree_size > 0")
+    none = F.lit(None)
+    for part in (
+        _unequal(tiles(tree.hash_tiles()), tiles(stored.tiles), tile, "hash_tile", F.col("tile_index") * span),
+        _unequal(paths(tree.paths()), paths(stored.paths), ["log_id", "tile_index"], "path_tile", F.col("tile_index") * 256),
+        _unequal(entries(hashindex.build(facts)), entries(stored.index), ["log_id", "leaf_index"], "index_entry", F.col("leaf_index")),
+        _unequal(points(tree.roots()), points(known), ["log_id"], "checkpoint", none),
+    ):
+        found = found.unionByName(part)
+    return found

@@ -215,6 +215,25 @@ def test_no_proof_without_its_tiles(spark, served):
     assert [r[0] for r in shown("inclusion_proof", (1, 5, 300))] == ["OK"]
 
 
+def test_validating_a_store(spark, leaves, migrated):
+    stored = store.read_stored(spark, migrated)
+    assert validate.validate_store(leaves, stored).count() == 0
+    bad = bytearray(32)
+    faulty = store.StoredTables(
+        checkpoints=stored.checkpoints.withColumn("root_hash", F.when(F.col("log_id") == 2, F.lit(bad)).otherwise(F.col("root_hash"))),
+        bundles=stored.bundles.where("log_id = 1 or bundle_index != 0"),
+        tiles=stored.tiles.where("log_id = 2 or tile_level != 0 or tile_index != 1"),
+        paths=stored.paths.withColumn("upper", F.when(F.col("tile_index") == 1, F.col("upper")).otherwise(F.slice("upper", 1, 3))),
+        index=stored.index.where("leaf_index != 290"),
+    )
+    found = {(r.log_id, r.leaf_index, r.field) for r in validate.validate_store(leaves, faulty).collect()}
+    lost = {(2, i, "presence") for i in range(5)}
+    kinds = {f for _, _, f in found}
+    assert {(1, 256, "hash_tile"), (1, 0, "path_tile"), (1, 290, "index_entry"), (2, None, "checkpoint")} <= found
+    assert kinds == {"hash_tile", "path_tile", "index_entry", "checkpoint"} | ({"presence"} if lost <= found else kinds)
+    assert len([f for f in found if f[0] == 2 and f[1] is not None and f[2] not in ("path_tile",)]) == 5
+
+
 def test_gaps_and_conflicts_take_no_slot(spark, leaves, brute):
     gap = store.store_from_leaves(leaves.where("leaf_index <> 7"))
     got = ask(spark, gap, "inclusion_proof", (1, 8, 200), (2, 4, 5))
