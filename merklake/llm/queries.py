@@ -141,4 +141,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_DECONTAMINATION = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w, least(10, len({_WORDS})) AS n FROM benchmark),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b WHERE n > 0)),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))),
+hits AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _posterior(groups: str, above: str, key: str, name: str) -> str:
+    """CTEs for one level of the hosts' names: prior strength, then a and b of every group's beta posterior."""
+    return f"""{name}_k AS (SELECT *, bad / n AS r FROM (SELECT g.*, prior FROM {groups} g {above})),
+{name}_x AS (SELECT (sum(n * (r - prior) * (r - prior)) - sum(prior * (1 - prior)))
+    / nullif(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 0) AS x FROM {name}_k WHERE n > 0),
+{name}_s AS (SELECT CASE WHEN x > 0 THEN greatest(1.0::DOUBLE, least(1000.0::DOUBLE, 1 / x - 1)) ELSE 1000.0::DOUBLE END AS s FROM {name}_x),
+{name} AS (SELECT {key}, prior * s + bad AS a, (1 - prior) * s + n - bad AS b FROM {name}_k, {name}_s)"""
+
+
+_URL_FILTER = f"""WITH p AS MATERIALIZED (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 1 AND toxic = 0 THEN 0 ELSE 1 END) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY ALL),
+c AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+h AS MATERIALIZED (SELECT host, n, bad, array_to_string(w[-2:], '.') AS domain, w[-1] AS suffix FROM (SELECT *, string_split(host, '.') AS w FROM c)),
+total AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS prior FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+{_posterior("s", ", total", "suffix", "ps")},
+{_posterior("d", "JOIN (SELECT suffix, a / (a + b) AS prior FROM ps) USING (suffix)", "domain", "pd")},
+{_posterior("h", "JOIN (SELECT domain, a / (a + b) AS prior FROM pd) USING (domain)", "host", "ph")},
+bounds AS (SELECT host, a / (a + b) - {url_filter.BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ph),
+ruled AS (SELECT *, '.' || host AS h, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'allow example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'block example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'allow org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'block net/' END AS r FROM p JOIN bounds USING (host))
+SELECT page_id, host, path, r[7:] AS rule,
+  CASE WHEN r IS NOT NULL THEN r[:5] WHEN bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
+
+# The others have no SQL of their own: merges, sampled suffixes, approximate and labelled neighbours and components are held
+# against libraries, brute force and held-out labels in tests.
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _DECONTAMINATION, "op9_url_filter": _URL_FILTER}
