@@ -83,44 +83,44 @@ def _counted(texts: pa.Array, counter: TermCounter) -> Iterator[tuple[Counter, i
 
 @dataclass
 class Index:
-    """Examples with their weights, and for every term the largest weight in each block of examples."""
+    """Examples in blocks: each block's terms and weights (example, term), and its largest weight of every term."""
 
     ids: np.ndarray
     toxic: np.ndarray
-    example: np.ndarray  # postings by term, then example
-    weight: np.ndarray
-    at: np.ndarray  # where a term's postings of a block begin
+    blocks: list[tuple[np.ndarray, np.ndarray]]
     most: np.ndarray  # block, term
 
     @classmethod
     def build(cls, rows: list[tuple[int, int, dict[int, float]]], n_terms: int) -> "Index":
         # Alike examples next to one another keep the bounds of blocks apart.
         rows = sorted(rows, key=lambda r: (r[1], max(r[2], key=lambda t: (r[2][t], t)), r[0]))
-        blocks = -(-len(rows) // BLOCK)
-        flat = sorted((t, e, w) for e, r in enumerate(rows) for t, w in r[2].items())
-        term, example, weight = (np.array(x, dtype=k) for x, k in zip(zip(*flat, strict=True) if flat else ([], [], []), (np.int64, np.int64, float), strict=True))
-        most = np.zeros((blocks, n_terms))
-        np.maximum.at(most, (example // BLOCK, term), weight)
-        at = np.searchsorted(term * blocks + example // BLOCK, np.arange(n_terms * blocks + 1)) if blocks else np.zeros(1, dtype=np.int64)
-        return cls(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), example, weight, at, most)
+        blocks, most = [], np.zeros((-(-len(rows) // BLOCK), n_terms))
+        for b in range(len(most)):
+            own = [r[2] for r in rows[b * BLOCK : (b + 1) * BLOCK]]
+            terms = np.array(sorted(set().union(*own)), dtype=np.int64)
+            place, weights = {t: i for i, t in enumerate(terms.tolist())}, np.zeros((len(own), len(terms)))
+            for e, vector in enumerate(own):
+                weights[e, [place[t] for t in vector]] = list(vector.values())
+            blocks.append((terms, weights))
+            most[b, terms] = weights.max(axis=0)
+        return cls(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), blocks, most)
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int, int]]:
         """(similarity, doc_id, toxic) of the k nearest examples that share a term, nearest first, ties by smaller id."""
-        blocks, best = len(self.most), []
-        terms, weights = list(query), np.array(list(query.values()))
-        bounds = self.most[:, terms] @ weights
+        wanted = np.array(sorted(query), dtype=np.int64)
+        weights = np.array([query[t] for t in wanted.tolist()])
+        bounds, best = self.most[:, wanted] @ weights, []
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[k - 1][0] - 1e-9:
+            least = best[-1][0] - 1e-9 if len(best) == k else 0.0
+            if bounds[b] <= least:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in query.items():
-                own = slice(self.at[t * blocks + b], self.at[t * blocks + b + 1])
-                scores[self.example[own] - b * BLOCK] += w * self.weight[own]
-            for i in np.flatnonzero(scores).tolist():
-                e = b * BLOCK + i
-                if self.ids[e] != without:
-                    best.append((float(scores[i]), int(self.ids[e]), int(self.toxic[e])))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+            terms, own = self.blocks[b]
+            at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+            there = terms[at] == wanted
+            scores = (own[:, at[there]] @ weights[there]).round(12)  # equal vectors tie whatever their block
+            near = np.flatnonzero(scores > least)
+            found = zip(scores[near].tolist(), self.ids[near + b * BLOCK].tolist(), self.toxic[near + b * BLOCK].tolist(), strict=True)
+            best = sorted([*best, *(f for f in found if f[1] != without)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
