@@ -11,8 +11,8 @@ makes agree.
 
 Sets that agree in a segment are first compared with one pivot of each bucket, so a bucket of any number of copies costs
 no more than its rows. What then lies in different components is compared too, in pairs that a 512-bit parity sketch
-(a lower bound of the difference) does not rule out. Every pair is verified on the words themselves, so the components are
-those of all links. Equal sets (128-bit fingerprints of the shingle hashes) are one set from the start.
+(a lower bound of the difference) does not rule out, nor one of 4,096 bits after it. What is left is verified on the words
+themselves, so the components are those of all links. Equal sets (128-bit fingerprints of the shingle hashes) are one set from the start.
 """
 
 import math
@@ -30,7 +30,7 @@ from merklake.sources.scratch import materialize
 
 BAND_RATIO = 2.0
 CHANCE = 1e-6  # that two shingles of unrelated sets are equal
-SKETCH_BITS = 512
+SKETCH_BITS, FINE_BITS = 512, 4096
 ID_FILTER_BITS = 1 << 26  # 8 MB at most, whatever the number of documents
 
 
@@ -147,6 +147,17 @@ def _fingerprints(prints: list) -> list[pa.Array]:
     return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
 
 
+def parity_sketch(own: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of shingles in each of `bits` slots, as 64-bit numbers."""
+    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(sketches: list[np.ndarray], bits: int) -> pa.Array:
+    flat, words = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64)), bits // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(sketches) + 1, words, dtype=np.int32)), flat)
+
+
 def _sets_of(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +166,8 @@ def _sets_of(rule: Rule):
                 for own in shingle_sets(find_words(data, offsets, SPACED), rule.words):
                     sizes.append(len(own))
                     prints.append(_fingerprint(own))
-                    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
-            words = SKETCH_BITS // 64
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(sizes) + 1, words, dtype=np.int32)), flat)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *_fingerprints(prints), sketch]
+                    sketches.append(parity_sketch(own, SKETCH_BITS))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *_fingerprints(prints), _lists(sketches, SKETCH_BITS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f0", "f1", "sketch"])
 
     return run
@@ -250,18 +257,34 @@ def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 
+def _finely(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sketches = [], []
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                for own in shingle_sets(find_words(data, offsets, SPACED), rule.words):
+                    sizes.append(len(own))
+                    sketches.append(parity_sketch(own, FINE_BITS))
+            columns = [batch.column("set_no"), pa.array(sizes, pa.int64()), _lists(sketches, FINE_BITS), batch.column("text")]
+            yield pa.RecordBatch.from_arrays(columns, ["set_no", "n_shingles", "sketch", "text"])
+
+    return run
+
+
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """set_no, text of the wanted sets."""
+    """set_no, n_shingles, sketch (a fine one), text of the wanted sets."""
     ids = materialize(wanted.join(sets, "set_no").select("set_no", "doc_id", "f0", "f1"), "wanted_texts")
     likely = with_fingerprints(split_by_id(docs, ids)[0], rule).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("d.f0") == F.col("i.f0")) & (F.col("d.f1") == F.col("i.f1"))
-    return materialize(likely.join(ids.alias("i"), same).select("set_no", "text"), "texts").dropDuplicates(["set_no"])
+    found = likely.join(ids.alias("i"), same).select("set_no", "text").dropDuplicates(["set_no"])
+    return materialize(found.mapInArrow(_finely(rule), "set_no bigint, n_shingles bigint, sketch array<bigint>, text string"), "texts")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b of set_no) that link."""
+    """Those of the pairs (a, b of set_no) that link: by a coarse sketch, a fine one, and the words of those left."""
     pairs = materialize(_with_sets(pairs.distinct(), sets, "a", "b").where(_may_link(rule)).select("a", "b"), "pairs")
     texts = _texts(docs, sets, pairs.select(F.col("a").alias("set_no")).union(pairs.select("b")).distinct(), rule)
+    pairs = materialize(_with_sets(pairs, texts, "a", "b").where(_may_link(rule)).select("a", "b"), "near_pairs")
     both = pairs.join(texts.select(F.col("set_no").alias("b"), F.col("text").alias("b_text")), "b")
     both = both.join(texts.select(F.col("set_no").alias("a"), F.col("text").alias("a_text")), "a")
     return materialize(both.mapInArrow(_verified_by(rule), "a bigint, b bigint"), "links")
