@@ -32,11 +32,12 @@ from merklake.llm.jaccard import split_by_id
 from merklake.llm.words import _MIX, _powers, mixed, text_slices
 from merklake.sources.scratch import materialize
 
-SPAN, SAMPLE = 50, 24
+SPAN, SAMPLE = 50, 20
 GROUP_ROWS = 100_000
 FILTER_BITS = 1 << 27
 _PLACE_BITS = 24
 _PIECE = 1 << 22  # longer texts are sampled in pieces
+_REMEMBERED = 300_000
 
 
 class Samples:
@@ -70,11 +71,10 @@ class Samples:
         first, last = window[at], window[np.append(at[1:], len(window)) - 1]
         return first + begin, last + begin, hashes[chosen[first]]
 
-    def contexts(self, which: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Bytes of all windows of the chosen samples, and their hashes."""
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        """Bytes of all windows of the chosen samples."""
         raw = self.data.tobytes()
-        out = [raw[a : b + self.span] for a, b in zip(self.first[which].tolist(), self.last[which].tolist(), strict=True)]
-        return out, context_hashes(self.data, self.first[which], self.last[which] + self.span)
+        return [raw[a : b + self.span] for a, b in zip(self.first[which].tolist(), self.last[which].tolist(), strict=True)]
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,16 +116,21 @@ def _flagged(strings: np.ndarray, flags: np.ndarray) -> np.ndarray:
 
 
 def _contexts(span: int, sample: int, shared):
+    """Each flagged context once, as far as a task remembers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(shared.value, dtype=np.uint8)
+        flags, known = np.frombuffer(shared.value, dtype=np.uint8), set()
         for batch in batches:
-            for row, _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in text_slices(batch.column("text")):
                 found = Samples(data, offsets, span, sample)
                 which = _flagged(found.string, flags)
-                raw, hashes = found.contexts(which)
-                docs = batch.column("doc_id").take(pa.array(row + found.text[which]))
-                columns = [_signed(found.string[which]), _signed(hashes), pa.array(raw, pa.binary()), docs]
-                yield pa.RecordBatch.from_arrays(columns, ["string", "hash", "context", "doc_id"])
+                hashes = context_hashes(data, found.first[which], found.last[which] + span)
+                fresh = np.unique(hashes, return_index=True)[1]
+                fresh = fresh[[h not in known for h in hashes[fresh].tolist()]] if len(fresh) else fresh
+                known = known if len(known) < _REMEMBERED else set()
+                known.update(hashes[fresh].tolist())
+                columns = [_signed(found.string[which][fresh]), _signed(hashes[fresh]), pa.array(found.bytes_of(which[fresh]), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["string", "hash", "context"])
 
     return run
 
@@ -208,14 +213,18 @@ def _windows(span: int):
 _FIRSTS = "string bigint, hash bigint, firsts array<bigint>"
 
 
-def _first_documents(contexts: DataFrame, span: int, group_rows: int) -> DataFrame:
-    """string, hash, firsts: the first document of each window of every context; of all windows where there is but one."""
-    sizes = contexts.groupBy("string").agg(F.count("*").alias("n"))
-    sized = materialize(contexts.join(sizes, "string"), "sized_contexts")
+def _first_documents(sized: DataFrame, contexts: DataFrame, span: int, group_rows: int) -> DataFrame:
+    """string, hash, firsts: the first document of each window of every context; of all windows where there is but one.
+
+    sized: string, hash, first, n (contexts of the string); contexts: string, hash, context of strings with several, or more.
+    """
     alone = sized.where("n = 1").select("string", "hash", F.array("first").alias("firsts"))
-    some = sized.where((F.col("n") > 1) & (F.col("n") <= group_rows)).select("string", "hash", "context", "first")
+    several = contexts.join(sized.where("n > 1"), ["string", "hash"])
+    several = several.groupBy("string", "hash").agg(F.first("context").alias("context"), F.min("first").alias("first"), F.min("n").alias("n"))
+    several = materialize(several, "several_contexts")
+    some = several.where(F.col("n") <= group_rows).select("string", "hash", "context", "first")
     some = some.repartition("string").sortWithinPartitions("string").mapInArrow(_settle(span), _FIRSTS)
-    windows = sized.where(F.col("n") > group_rows).select("string", "hash", "context", "first")
+    windows = several.where(F.col("n") > group_rows).select("string", "hash", "context", "first")
     windows = windows.mapInArrow(_windows(span), "string bigint, hash bigint, first bigint, i int, window bigint")
     least = windows.groupBy("string", "window").agg(F.min("first").alias("least"))
     many = windows.join(least, ["string", "window"]).groupBy("string", "hash").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
@@ -238,10 +247,12 @@ def find_repeats(docs: DataFrame, span: int = SPAN, sample: int = SAMPLE, group_
     strings = texts.mapInArrow(_strings(span, sample), "string bigint, doc_id bigint")
     strings = strings.groupBy("string").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("string")
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(materialize(strings, "shared_strings")))
-    contexts = texts.mapInArrow(_contexts(span, sample, shared), "string bigint, hash bigint, context binary, doc_id bigint")
-    contexts = materialize(contexts.groupBy("string", "hash", "context").agg(F.min("doc_id").alias("first")), "contexts")
-    firsts = materialize(_first_documents(contexts, span, group_rows), "first_documents")
     seen = texts.mapInArrow(_occurrences(span, sample, shared), "string bigint, hash bigint, doc_id bigint, print int, start bigint, n int")
+    first = materialize(seen.groupBy("string", "hash").agg(F.min("doc_id").alias("first")), "contexts")
+    sized = materialize(first.join(first.groupBy("string").agg(F.count("*").alias("n")), "string"), "sized_contexts")
+    several = docs.sparkSession.sparkContext.broadcast(_bitmap(sized.where("n > 1")))
+    contexts = texts.mapInArrow(_contexts(span, sample, several), "string bigint, hash bigint, context binary")
+    firsts = materialize(_first_documents(sized, contexts, span, group_rows), "first_documents")
     met = seen.join(firsts, ["string", "hash"]).where(F.array_min("firsts") < F.col("doc_id"))
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") - 1 + span).alias("end")))
     earlier = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("firsts", i) < F.col("doc_id"))
