@@ -11,7 +11,6 @@ column named like the result is replaced. Nothing is shuffled.
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,9 @@ from pyspark.sql import DataFrame
 from merklake.llm.token_counts import Cache, merge_all, text_lists
 from merklake.llm.vocabulary import Vocabulary, load, pre_tokens
 
-_KNOWN = 150_000
+_KNOWN = 100_000
 _KEPT_LENGTH = 64
+_TOKENS = 1 << 18  # decoded at once
 
 
 class LongestMatch:
@@ -176,13 +176,13 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(load(path))
         for batch in batches:
-            parts = []
+            at = 0
             for texts in text_lists(batch.column("_text")):
                 ids = encoder.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
-            lists = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), lists], [*keep, out])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(at, len(texts)) for n in keep), lists], [*keep, out])
+                at += len(texts)
 
     return _rows(docs.select(*keep, docs["text"].alias("_text")), run, keep, out, "array<int>")
 
@@ -195,13 +195,17 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
         tokens = np.array([t or b"" for t in load(path).tokens] + [b""], dtype=object)
         sizes = np.fromiter(map(len, tokens), dtype=np.int64)
         for batch in batches:
-            own = batch.column("_ids")
-            flat = own.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            flat = np.where((flat >= 0) & (flat < len(tokens) - 1), flat, len(tokens) - 1)
-            ends = np.cumsum(np.concatenate(([0], own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-            edges = np.concatenate(([0], np.cumsum(sizes[flat])))[ends].tolist()
-            raw = b"".join(tokens[flat].tolist())
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(texts, pa.string())], [*keep, out])
+            sizes_of = batch.column("_ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(sizes_of) // _TOKENS
+            cuts = np.unique(np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))).tolist()
+            for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(first, stop - first)
+                flat = part.column("_ids").flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                flat = np.where((flat >= 0) & (flat < len(tokens) - 1), flat, len(tokens) - 1)
+                ends = np.cumsum(np.concatenate(([0], sizes_of[first:stop])))
+                edges = np.concatenate(([0], np.cumsum(sizes[flat])))[ends].tolist()
+                raw = b"".join(tokens[flat].tolist())
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(texts, pa.string())], [*keep, out])
 
     return _rows(rows.select(*keep, rows[ids].alias("_ids")), run, keep, out, "string")
