@@ -117,6 +117,15 @@ def _spread(rows: DataFrame, hasher: Hasher, probing: bool) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
+def _first(k: int, ids: np.ndarray, vectors: np.ndarray, close: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best of the rows `close`; one id with one score takes one place, as in the merged result."""
+    exact = (vectors[close] * query).sum(axis=1)  # summed in one order, so equal vectors get equal scores
+    order = np.lexsort((ids[close], -exact))
+    best, scores = ids[close][order], exact[order]
+    new = np.append(True, (best[1:] != best[:-1]) | (scores[1:] != scores[:-1]))[: len(best)]
+    return best[new][:k], scores[new][:k]
+
+
 def _best(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -131,9 +140,10 @@ def _best(k: int):
                 near[ids == query] = -np.inf
                 least = np.partition(near, -k)[-k] if len(near) > k else -np.inf
                 close = np.flatnonzero((near >= least - 1e-9 * (1 + abs(least))) & (near > -np.inf) if np.isfinite(least) else near > -np.inf)
-                exact = (vectors[close] * q).sum(axis=1)  # summed in one order, so equal vectors get equal scores
-                order = np.lexsort((ids[close], -exact))[:k]
-                found.append((np.full(len(order), query), ids[close][order], exact[order]))
+                best, scores = _first(k, ids, vectors, close, q)
+                if len(best) < k and len(close) < len(near):  # vectors of one id and score had taken several places
+                    best, scores = _first(k, ids, vectors, np.flatnonzero(near > -np.inf), q)
+                found.append((np.full(len(best), query), best, scores))
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=schema)
 
     return run
@@ -151,7 +161,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     facts = known.agg(F.max(F.size("vector")).alias("dim"), F.max(norm).alias("largest")).first()
     dim = facts["dim"] or 0
-    known, wanted = known.where(F.size("vector") == dim), wanted.where(F.size("vector") == dim)
+    # Repeated rows go before they are hashed: in a cell or a piece they would take the places of others.
+    known, wanted = (rows.where(F.size("vector") == dim).dropDuplicates(["id", "vector"]) for rows in (known, wanted))
     hasher = Hasher(dim, facts["largest"] or 1.0, settings)
     cells, probes = _spread(known, hasher, False), _spread(wanted, hasher, True)
     size = F.ceil(F.col("count") / settings.piece).cast("int")
@@ -161,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     def pieces(rows: DataFrame, own: str, other: str) -> DataFrame:
         """A row goes to one piece of its own side, and to every piece of the other side."""
         rows = rows.join(v_pieces, ["t", "cell"], "left").join(q_pieces, ["t", "cell"], "left").na.fill(1, ["v_pieces", "q_pieces"])
-        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_pieces")).cast("int").alias(own)
+        mine = F.pmod(F.xxhash64("id", "vector"), F.col(f"{own}_pieces")).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_pieces") - 1)).alias(other)
         return rows.select("t", "cell", mine, every, "id", "vector")
 

@@ -50,6 +50,23 @@ def test_every_cell_gives_exact_neighbours(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in truth.items()}
 
 
+def test_repeated_rows_take_one_place(spark):
+    """25 copies of one row in every cell and piece; one id with 25 vectors of one score."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((120, 4)).round(1)
+    vectors[0, 3] = 0
+    vectors[7] = 2 * vectors[0]
+    ids = [*range(120), *[200] * 25]
+    aside = np.array([[*(3 * vectors[0, :3]), float(i)] for i in range(25)])  # the last coordinate meets a zero of the query
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, [*vectors, *aside], strict=True)] + [(7, vectors[7].tolist(), 0)] * 24
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    truth = brute([*range(120), 200], np.vstack((vectors, aside[:1])), [0], 20)
+    assert {i for i, _ in truth[0]} >= {7, 200}
+    for piece in (16, 1000):
+        got = found(nearest(table, table.where("vec_id = 0"), 20, settings=Settings(width=1e6, probes=2, piece=piece)).collect())
+        assert [i for i, _ in got[0]] == [i for i, _ in truth[0]]
+
+
 def test_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [2.0, 0.0], 0)], SCHEMA)
     got = found(nearest(table, table.where("vec_id = 0"), 20, settings=Settings(width=1e6)).collect())
