@@ -4,7 +4,8 @@ Vectors are scaled by the largest norm and given one more coordinate that brings
 length one. Then the largest inner product is the smallest distance. Each of several tables cuts `width`-wide slots along
 random directions; a vector lies in one cell of a table. A query visits its own cell and the cells next to it in the order
 of their estimated chances (the smaller the sum of squared distances to the slots' edges crossed, the likelier), and every
-candidate there is scored exactly; the best of all tables and probes are merged.
+candidate there is scored exactly; the best of all tables and probes are merged. Queries that met fewer than k rows so visit
+ever more cells, and those still short then meet all rows, in blocks: every query gets k neighbours, or all there are.
 
 Vectors and probes meet by cell. A cell with more than `piece` vectors or probes (copies of one vector, say) is split by hash
 into a grid of pieces, each of bounded size, so nothing is left out and no task holds a whole hot cell.
@@ -14,8 +15,8 @@ do rows without an id. Repeated rows of one id and vector count once. An empty t
 """
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from merklake.sources.scratch import materialize
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -82,6 +85,21 @@ class Hasher:
         low = np.floor(at)
         return [self._cell(base + np.array(probe_order(gap, self.settings.probes))) for base, gap in zip(low.astype(np.int64), at - low, strict=True)]
 
+    def of_vectors(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each table: cells, and the vector that lies in each."""
+        for t in range(self.settings.tables):
+            yield self.cells(vectors, t), np.arange(len(vectors))
+
+    def of_queries(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each table: cells, and the query that probes each."""
+        for t in range(self.settings.tables):
+            cells = self.probes(queries, t)
+            yield np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+
+
+def _one_cell(vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    yield np.zeros(len(vectors), dtype=np.int64), np.arange(len(vectors))
+
 
 def _usable(vector: str) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -95,8 +113,8 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 _ROW = "t int, cell bigint, id bigint, vector binary"
 
 
-def _spread(rows: DataFrame, hasher: Hasher, probing: bool) -> DataFrame:
-    """A row per table, or per table and probe."""
+def _spread(rows: DataFrame, places: Callable) -> DataFrame:
+    """A row per place: of each table, or of each table and probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +122,7 @@ def _spread(rows: DataFrame, hasher: Hasher, probing: bool) -> DataFrame:
                 continue
             vectors = _matrix(batch.column("vector"))
             raw = pa.array([v.tobytes() for v in vectors], pa.binary())
-            for t in range(hasher.settings.tables):
-                if probing:
-                    cells = hasher.probes(vectors, t)
-                    at = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-                    cells = np.concatenate(cells)
-                else:
-                    cells, at = hasher.cells(vectors, t), np.arange(len(vectors))
+            for t, (cells, at) in enumerate(places(vectors)):
                 tables = pa.array(np.full(len(at), t, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([tables, pa.array(cells), batch.column("id").take(pa.array(at)), raw.take(pa.array(at))], ["t", "cell", "id", "vector"])
 
@@ -149,6 +161,47 @@ def _best(k: int):
     return run
 
 
+def _met(cells: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best met. Both sides have their v_pieces and q_pieces."""
+
+    def pieces(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """A row goes to one piece of its own side, and to every piece of the other side."""
+        mine = F.pmod(F.xxhash64("id", "vector"), F.col(f"{own}_pieces")).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_pieces") - 1)).alias(other)
+        return rows.select("t", "cell", mine, every, "id", "vector")
+
+    keys = ["t", "cell", "v", "q"]
+    met = pieces(cells, "v", "q").groupBy(*keys).cogroup(pieces(probes, "q", "v").groupBy(*keys))
+    found = met.applyInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
+    # A vector found in several cells has the same score in each, so it takes one place.
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+
+
+def _met_in_cells(known: DataFrame, wanted: DataFrame, hasher: Hasher, k: int) -> DataFrame:
+    cells, probes = _spread(known, hasher.of_vectors), _spread(wanted, hasher.of_queries)
+    size = F.ceil(F.col("count") / hasher.settings.piece).cast("int")
+    v_pieces = cells.groupBy("t", "cell").count().where(size > 1).select("t", "cell", size.alias("v_pieces"))
+    q_pieces = probes.groupBy("t", "cell").count().where(size > 1).select("t", "cell", size.alias("q_pieces"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(v_pieces, ["t", "cell"], "left").join(q_pieces, ["t", "cell"], "left").na.fill(1, ["v_pieces", "q_pieces"])
+
+    return _met(sized(cells), sized(probes), k)
+
+
+def _met_in_blocks(known: DataFrame, wanted: DataFrame, piece: int, k: int) -> DataFrame:
+    """Every query meets every row."""
+    pieces = {f"{name}_pieces": F.lit(max(1, -(-rows.count() // piece))) for name, rows in (("v", known), ("q", wanted))}
+    return _met(*(_spread(rows, _one_cell).withColumns(pieces) for rows in (known, wanted)), k)
+
+
+def _short(wanted: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Queries with fewer than k neighbours so far."""
+    whole = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    return materialize(wanted.join(whole, "id", "left_anti"), "short")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found of each row of `queries` among the rows of `vectors`,
     which have the same columns; a row is no neighbour of its own id. Equal scores go by smaller id."""
@@ -163,22 +216,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     dim = facts["dim"] or 0
     # Repeated rows go before they are hashed: in a cell or a piece they would take the places of others.
     known, wanted = (rows.where(F.size("vector") == dim).dropDuplicates(["id", "vector"]) for rows in (known, wanted))
-    hasher = Hasher(dim, facts["largest"] or 1.0, settings)
-    cells, probes = _spread(known, hasher, False), _spread(wanted, hasher, True)
-    size = F.ceil(F.col("count") / settings.piece).cast("int")
-    v_pieces = cells.groupBy("t", "cell").count().where(size > 1).select("t", "cell", size.alias("v_pieces"))
-    q_pieces = probes.groupBy("t", "cell").count().where(size > 1).select("t", "cell", size.alias("q_pieces"))
-
-    def pieces(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """A row goes to one piece of its own side, and to every piece of the other side."""
-        rows = rows.join(v_pieces, ["t", "cell"], "left").join(q_pieces, ["t", "cell"], "left").na.fill(1, ["v_pieces", "q_pieces"])
-        mine = F.pmod(F.xxhash64("id", "vector"), F.col(f"{own}_pieces")).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_pieces") - 1)).alias(other)
-        return rows.select("t", "cell", mine, every, "id", "vector")
-
-    keys = ["t", "cell", "v", "q"]
-    met = pieces(cells, "v", "q").groupBy(*keys).cogroup(pieces(probes, "q", "v").groupBy(*keys))
-    found = met.applyInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
-    # A vector found in several cells has the same score in each, so it takes one place.
-    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+    probes, every = settings.probes, 3**settings.hashes
+    found = materialize(_met_in_cells(known, wanted, Hasher(dim, facts["largest"] or 1.0, settings), k), "found")
+    while (wanted := _short(wanted, found, k)).take(1):
+        in_cells = probes < every and known.count() > settings.piece  # fewer rows are met at once
+        if in_cells:
+            probes = min(3 * probes, every)
+            more = _met_in_cells(known, wanted, Hasher(dim, facts["largest"], replace(settings, probes=probes)), k)
+        else:
+            more = _met_in_blocks(known, wanted, settings.piece, k)
+        again = wanted.select(F.col("id").alias("query_id"))
+        found = materialize(found.join(again, "query_id", "left_anti").unionByName(more).select(*found.columns), "found")
+        if not in_cells:
+            break
+    return found

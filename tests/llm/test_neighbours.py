@@ -74,6 +74,32 @@ def test_few_and_none(spark):
     assert nearest(table.limit(0), table.limit(0), 5).count() == 0
 
 
+def test_every_query_gets_its_k(spark, sf_dir, tmp_path):
+    """The registered query on few rows, and on rows of which one is so long that all others lie in few cells."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    long = [(r.vec_id, [x * 200 for x in r.embedding] if r.vec_id == 1 else r.embedding, 0) for r in rows]
+    for name, own in (("few", [(r.vec_id * 20, r.embedding, 0) for r in rows[:15]]), ("long", long)):
+        spark.createDataFrame(own, SCHEMA).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        got = found(queries.op8_nearest_neighbours(spark, f"{tmp_path}/{name}").collect())
+        ids = [i for i, _, _ in own]
+        due = min(20, len(own) - 1)
+        assert {q: len({i for i, _ in near}) for q, near in got.items()} == {i: due for i in ids if i % 20 == 0}
+        if name == "few":
+            truth = brute(ids, np.array([v for _, v, _ in own], dtype=np.float64), ids, 20)
+            assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in truth.items()}
+
+
+def test_short_queries_probe_on(spark):
+    """More rows than one block: further cells first, then all rows in blocks, whatever the settings."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((200, 8))
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>, label int")
+    settings = Settings(tables=1, hashes=2, width=0.05, probes=3, piece=32)
+    got = found(nearest(table, table.where("vec_id % 4 = 0"), 20, settings=settings).collect())
+    truth = brute(list(range(200)), vectors, range(0, 200, 4), 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in truth.items()}
+
+
 def test_probes_come_in_order_of_cost():
     gap = np.array([0.1, 0.6, 0.45])
     steps = probe_order(gap, 27)
