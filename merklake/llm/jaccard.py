@@ -367,17 +367,18 @@ def _across(members: DataFrame, grouped: DataFrame, sets: DataFrame, rule: Rule)
 
 
 def component_ids(linked: Linked) -> DataFrame:
-    """Per row of the documents: doc_id, n_shingles, f0, f1, component_id (smallest doc_id of the component), n_rows (of it).
+    """Per row of the documents: doc_id, n_shingles, f0, f1, component_id (smallest doc_id of the component), component_rows (of
+    it), component (its own key, as components may have one smallest doc_id, or none; null for a document without words).
 
     A document without words is linked with nothing; a null doc_id takes the id of its component, where that has one.
     """
     comp = linked.sets.join(linked.components.withColumnRenamed("node", "set_no"), "set_no", "left")
     comp = materialize(comp.withColumn("component", F.coalesce("component", "set_no")).select("f0", "f1", "doc_id", "n_rows", "component"), "classes")
     least = comp.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n_rows").alias("component_rows"))
-    labels = comp.join(least, "component").select("f0", "f1", "component_id", "component_rows")
+    labels = comp.join(least, "component").select("f0", "f1", "component_id", "component_rows", "component")
     worded = linked.rows.where("n_shingles > 0").join(labels, ["f0", "f1"])
-    bare = linked.rows.where("n_shingles = 0").select("*", F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("component_rows"))
-    return worded.select("doc_id", "n_shingles", "f0", "f1", "component_id", "component_rows").unionByName(bare)
+    bare = linked.rows.where("n_shingles = 0").select("*", F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("component_rows"), F.lit(None).cast("bigint").alias("component"))
+    return worded.select("doc_id", "n_shingles", "f0", "f1", "component_id", "component_rows", "component").unionByName(bare)
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -385,10 +386,10 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     labels = materialize(component_ids(link(docs, rule)).where("component_rows > 1"), "groups")
     likely, alone = split_by_id(docs, labels.select("doc_id"))
     likely = with_fingerprints(likely.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row"), rule)
-    marks = labels.select("doc_id", "f0", "f1", "component_id").distinct().alias("m")
+    marks = labels.select("doc_id", "f0", "f1", "component_id", "component").distinct().alias("m")
     likely = likely.alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.f0") == F.col("m.f0")) & (F.col("d.f1") == F.col("m.f1"))
-    marked = likely.join(marks, same, "left").select("d._row", F.col("d.doc_id").alias("doc_id"), "m.component_id", F.col("m.f0").alias("m0"))
+    marked = likely.join(marks, same, "left").select("d._row", F.col("d.doc_id").alias("doc_id"), "m.component_id", "m.component", F.col("m.f0").alias("m0"))
     single = marked.where("m0 is null").select("_row.*")
-    chosen = marked.where("m0 is not null and doc_id <=> component_id").dropDuplicates(["component_id"]).select("_row.*")
+    chosen = marked.where("m0 is not null and doc_id <=> component_id").dropDuplicates(["component"]).select("_row.*")
     return alone.unionByName(single).unionByName(chosen)

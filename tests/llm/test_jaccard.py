@@ -90,6 +90,14 @@ def test_null_ids(spark, documents):
     assert keep_one(docs, Rule(5, 80)).count() == 3
 
 
+def test_groups_of_one_smallest_id(spark, documents):
+    """Two groups without ids, and two headed by one doc_id, are four groups."""
+    texts = ["a b c d e f", "nothing like it at all", "some other words in here", "and a last text of seven"]
+    ids = [(None, None, None), (None, None), (2, 7, 8), (2, 9)]
+    kept = keep_one(documents([(i, t) for own, t in zip(ids, texts, strict=True) for i in own] + [(3, "alone with its words here")]), Rule(5, 80))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", texts[0]), ("None", texts[1]), ("2", texts[2]), ("2", texts[3]), ("3", "alone with its words here")])
+
+
 def test_empty_table(spark, documents):
     assert component_ids(link(documents([]), Rule(3, 90))).count() == 0
     assert keep_one(documents([]), Rule(3, 90)).count() == 0
