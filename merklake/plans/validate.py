@@ -94,14 +94,30 @@ def _unequal(left: DataFrame, right: DataFrame, keys: list[str], field: str, fir
     )
 
 
-def validate_store(leaves: DataFrame, stored: StoredTables, strict: bool = False) -> DataFrame:
+def _sizes_off(expected: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Expected logs without a checkpoint, or with one of another size, as differences."""
+    met = expected.join(checkpoints.select("log_id", F.col("tree_size").alias("_stored")), "log_id", "left")
+    return met.where(~F.col("tree_size").eqNullSafe(F.col("_stored"))).select(
+        "log_id",
+        F.lit(None).cast("bigint").alias("leaf_index"),
+        F.when(F.col("_stored").isNull(), F.lit("checkpoint_missing")).otherwise(F.lit("size_differs")).alias("field"),
+        F.col("tree_size").cast("string").alias("left"),
+        F.col("_stored").cast("string").alias("right"),
+    )
+
+
+def validate_store(leaves: DataFrame, stored: StoredTables, strict: bool = False, expected: DataFrame | None = None) -> DataFrame:
     """All differences (log_id, leaf_index, field, left, right) between leaves and the store a migration made of them.
 
     Every stored table is compared with what the leaves give: bundles leaf by leaf, hash tiles, path tiles with their
-    chains, index entries, and checkpoints. Differences of a tile are at its first leaf. Logs without a checkpoint
-    are left out; leaves past a checkpoint's size do not count.
+    chains, index entries, and checkpoints. Differences of a tile are at its first leaf. `expected` (log_id, tree_size) has
+    the logs and prefixes that the store is to hold; without it these are all logs of `leaves`, whole. What the store lacks
+    of them is a difference, and so is its checkpoint if missing or of another size; other leaves do not count.
     """
-    sizes = stored.checkpoints.select("log_id", F.col("tree_size").alias("_size"))
+    if expected is None:
+        expected = leaves.groupBy("log_id").agg((F.max("leaf_index") + 1).alias("tree_size"))
+    expected = materialize(expected.select("log_id", "tree_size"), "expected")
+    sizes = expected.withColumnRenamed("tree_size", "_size")
     source = small_join(leaves, sizes, ["log_id"], "inner").where("leaf_index < _size").drop("_size")
     read = bundles.decode(stored.bundles).where("leaf_index is not null and error_code is null")
     found = compare.compare_leaves(source, read.select(*[c for c in source.columns if c in read.columns]), strict).drop("expected")
@@ -129,7 +145,8 @@ def validate_store(leaves: DataFrame, stored: StoredTables, strict: bool = False
         _unequal(tiles(tree.hash_tiles()), tiles(stored.tiles), tile, "hash_tile", F.col("tile_index") * span),
         _unequal(paths(tree.paths()), paths(stored.paths), ["log_id", "tile_index"], "path_tile", F.col("tile_index") * 256),
         _unequal(entries(hashindex.build(facts)), entries(stored.index), ["log_id", "leaf_index"], "index_entry", F.col("leaf_index")),
-        _unequal(points(tree.roots()), points(known), ["log_id"], "checkpoint", none),
+        _unequal(points(tree.roots().join(known.select("log_id"), "log_id", "left_semi")), points(known), ["log_id"], "checkpoint", none),
+        _sizes_off(expected, stored.checkpoints),
     ):
         found = found.unionByName(part)
     return found

@@ -234,6 +234,24 @@ def test_validating_a_store(spark, leaves, migrated):
     assert len([f for f in found if f[0] == 2 and f[1] is not None and f[2] not in ("path_tile",)]) == 5
 
 
+def test_validating_a_store_that_lacks_a_log(spark, leaves, migrated):
+    stored = store.read_stored(spark, migrated)
+
+    def found(**changed):
+        faulty = store.StoredTables(**{n: changed.get(n, getattr(stored, n)) for n in ("checkpoints", "bundles", "tiles", "paths", "index")})
+        return {(r.log_id, r.leaf_index, r.field, r.left, r.right) for r in validate.validate_store(leaves, faulty).collect()}
+
+    assert found(checkpoints=stored.checkpoints.where("log_id = 1")) == {(2, None, "checkpoint_missing", "5", None)}
+    lacking = found(**{n: getattr(stored, n).where("log_id = 1") for n in ("checkpoints", "bundles", "tiles", "paths", "index")})
+    assert {r[:3] for r in lacking} == {(2, None, "checkpoint_missing"), (2, 0, "hash_tile"), (2, 0, "path_tile")} | {(2, i, f) for i in range(5) for f in ("presence", "index_entry")}
+    small = F.when(F.col("log_id") == 1, F.lit(10).cast("bigint")).otherwise(F.col("tree_size"))
+    short = found(checkpoints=stored.checkpoints.withColumn("tree_size", small), index=stored.index.where("leaf_index != 290"))
+    assert {r[:3] for r in short} == {(1, None, "size_differs"), (1, None, "checkpoint"), (1, 290, "index_entry")}
+    prefix = spark.createDataFrame([(1, 300)], "log_id bigint, tree_size bigint")
+    only = store.StoredTables(*(getattr(stored, n).where("log_id = 1") for n in ("checkpoints", "bundles", "tiles", "paths", "index")))
+    assert validate.validate_store(leaves, only, expected=prefix).count() == 0
+
+
 def test_gaps_and_conflicts_take_no_slot(spark, leaves, brute):
     gap = store.store_from_leaves(leaves.where("leaf_index <> 7"))
     got = ask(spark, gap, "inclusion_proof", (1, 8, 200), (2, 4, 5))
