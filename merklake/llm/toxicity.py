@@ -1,4 +1,6 @@
-"""Toxicity of documents from their nearest labelled examples, by exact TF-IDF cosine.
+"""Toxicity of documents from their nearest labelled examples, by TF-IDF cosine of the terms that mark toxic ones.
+
+This is not the cosine of whole texts, which finds fewer (README).
 
 Terms are words and word beginnings that mark toxic documents in a sample of labelled rows (at most `sample_rows`, those of
 smallest id hash); the sample also gives the examples. All other words of a text share one further dimension, weighted by
