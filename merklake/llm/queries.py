@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.llm import bpe, chat_format, decontaminate, jaccard, neighbours, secrets, suffix_dedup, token_counts, toxicity, url_filter
+from merklake.llm import bpe, chat_format, decontaminate, importance, jaccard, neighbours, secrets, suffix_dedup, token_counts, toxicity, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -128,6 +128,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), predicted.alias("predicted"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", "drawn.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op12_resample": op12_resample,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
