@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.llm import bpe, chat_format, decontaminate, importance, jaccard, neighbours, secrets, suffix_dedup, token_counts, toxicity, url_filter
+from merklake.llm import bpe, chat_format, decontaminate, divergence, importance, jaccard, neighbours, secrets, suffix_dedup, token_counts, toxicity, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -128,6 +128,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), predicted.alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("int"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return drawn.select("doc_id", "drawn.*")
@@ -144,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
     "op12_resample": op12_resample,
 }
 
@@ -196,6 +201,30 @@ ruled AS (SELECT *, '.' || host AS h, CASE
 SELECT page_id, host, path, r[7:] AS rule,
   CASE WHEN r IS NOT NULL THEN r[:5] WHEN bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
+_SOURCE_DIVERGENCE = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+seen AS (SELECT lang, unnest(list_distinct(w)) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM seen GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS t FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(t, 0) AS t FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN totals USING (lang, source)),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)::HUGEINT) // (t + v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)::HUGEINT) // ((SELECT sum(t) FROM g WHERE g.lang = c.lang) + any_value(v))::HUGEINT AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM p JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
 # The others have no SQL of their own: merges, sampled suffixes, approximate and labelled neighbours and components are held
 # against libraries, brute force and held-out labels in tests.
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _DECONTAMINATION, "op9_url_filter": _URL_FILTER}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": _DECONTAMINATION, "op9_url_filter": _URL_FILTER, "op11_source_divergence": _SOURCE_DIVERGENCE}
