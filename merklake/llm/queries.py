@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.llm import bpe, chat_format, decontaminate, divergence, importance, jaccard, neighbours, secrets, suffix_dedup, token_counts, toxicity, url_filter
+from merklake.llm import bpe, chat_format, decontaminate, divergence, importance, jaccard, language_model, neighbours, secrets, suffix_dedup, token_counts, toxicity, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -137,6 +137,18 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "drawn.*")
 
 
+LM_ORDER = 2  # README says why not 3
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    model = language_model.fit(docs.where(~held_out), LM_ORDER)
+    scored = language_model.score(docs, model, ["doc_id"])
+    train_tokens = F.lit(model.layout.vocabulary.tokens).cast("bigint").alias("train_tokens")
+    return scored.select("doc_id", held_out.alias("held_out"), "model.n_tokens", "model.n_known", train_tokens, "model.base_score", "model.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -150,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
     "op12_resample": op12_resample,
+    "op13_lm_score": op13_lm_score,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
