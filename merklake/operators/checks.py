@@ -88,10 +88,12 @@ def lookup_verdict(found_index: Column, tree_size: Column) -> Column:
 
 
 def migration_bounds(sources: DataFrame) -> DataFrame:
-    """Size to migrate for each (log_id, tree_size, finish); finish -1 stands for the whole log."""
+    """Size to migrate for each (log_id, tree_size, finish); finish -1 stands for the whole log. A null is INVALID."""
     finish = F.when(F.col("finish") == -1, F.col("tree_size")).otherwise(F.col("finish"))
     verdict = _first_match(
         [
+            (F.col("log_id").isNull(), INVALID, "LOG_ID_MISSING"),
+            (F.col("finish").isNull() | F.col("tree_size").isNull(), INVALID, "BOUND_MISSING"),
             (F.col("finish") > F.col("tree_size"), INVALID, "FINISH_BEYOND_LOG"),
             (finish < 0, INVALID, "FINISH_NEGATIVE"),
         ]
@@ -105,7 +107,7 @@ def migration_bounds(sources: DataFrame) -> DataFrame:
 
 
 def leaf_findings(leaves: DataFrame) -> DataFrame:
-    """Add `error_code` to leaves whose index, value or given hash cannot be migrated."""
+    """Add `error_code` to leaves whose index, value, given hash or times, where given, cannot be migrated."""
     digest = F.col("merkle_leaf_hash")
     error = (
         F.when(F.col("leaf_index").isNull() | (F.col("leaf_index") < 0), F.lit("INDEX_OUT_OF_RANGE"))
@@ -113,6 +115,12 @@ def leaf_findings(leaves: DataFrame) -> DataFrame:
         .when(digest.isNull() | (F.length(digest) == 0), F.lit("HASH_MISSING"))
         .when(F.length(digest) != DIGEST_BYTES, F.lit("HASH_LENGTH"))
     )
+    if {"queue_ts_nanos", "integrate_ts_nanos"} <= set(leaves.columns):
+        queue, integrate = F.col("queue_ts_nanos"), F.col("integrate_ts_nanos")
+        # Metadata holds their difference.
+        error = error.when(queue.isNull() | integrate.isNull(), F.lit("TIME_MISSING")).when(
+            F.try_subtract(integrate, queue).isNull(), F.lit("TIME_OUT_OF_RANGE")
+        )
     return leaves.withColumn("error_code", error)
 
 

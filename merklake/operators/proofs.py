@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from merklake.constants import TILE_HEIGHT
 from merklake.functions.binding import let
-from merklake.functions.hashing import node_hash
+from merklake.functions.hashing import empty_root, node_hash
 from merklake.functions.paths import bundle_of, leaf_index, part_of, slot_of
-from merklake.operators.joins import HOT_ROWS, lookup_join
+from merklake.operators.joins import HOT_ROWS, lookup_join, small_join
 from merklake.operators.merkle import leaf_chain
 
 
@@ -208,3 +208,56 @@ def all_inclusion_proofs(paths: DataFrame) -> DataFrame:
     slots = F.sequence(F.lit(0), F.col("width") - 1)
     leaves = let(siblings(F.col("upper")), lambda above: F.transform(slots, lambda slot: leaf(slot, above)))
     return paths.select("log_id", F.explode(leaves).alias("leaf")).select("log_id", "leaf.*")
+
+
+def _fold_left(nodes: Column) -> Column:
+    """Root of a tree from its perfect subtrees, the smallest first."""
+
+    def step(acc: Column, node: Column) -> Column:
+        return F.when(acc.isNull(), node).otherwise(node_hash(node, acc))
+
+    return F.aggregate(nodes, F.lit(None).cast("binary"), step)
+
+
+def prefix_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(log_id, tree_size, root_hash) of every size from 1 to each log's own, straight from the tiles, without a join.
+
+    A size is made of the perfect subtrees to the left of the leaf that would come next. Above the tile these are the left
+    siblings of the tile's chain, which all its sizes share; within it they are nodes of the tile itself. So a size costs
+    as many hashes as it has bits set, and nothing is built again. `roots` (log_id, tree_size, root_hash) gives the whole
+    logs, which no leaf follows. A size whose tile is not whole has a null root.
+    """
+
+    def left_of(slot: Column) -> Column:
+        def node(k: Column) -> Column:
+            position = F.call_function("shiftright", slot, k)
+            return F.when(position % 2 == 1, F.get(F.element_at("levels", k + 1), position - 1))
+
+        return F.array_compact(F.transform(F.array(*[F.lit(k) for k in range(TILE_HEIGHT)]), node))
+
+    above = F.transform(F.filter("upper", lambda s: _is_set(F.col("tile_index"), s["level"] - TILE_HEIGHT)), lambda s: s["sib"])
+    whole = F.col("levels").isNotNull() & F.col("upper").isNotNull()
+
+    def sizes(shared: Column) -> Column:
+        def size(slot: Column) -> Column:
+            root = F.when(whole, _fold_left(F.concat(left_of(slot), shared)))
+            return F.struct(leaf_index(F.col("tile_index"), slot).alias("tree_size"), root.alias("root_hash"))
+
+        return F.transform(F.sequence(F.lit(0), F.col("width") - 1), size)
+
+    within = paths.select("log_id", F.explode(let(above, sizes)).alias("at")).select("log_id", "at.*").where("tree_size > 0")
+    return within.unionByName(roots.where("tree_size > 0").select("log_id", "tree_size", "root_hash"))
+
+
+def roots_at(sizes: DataFrame, paths: DataFrame, roots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add `root_hash` to rows (log_id, tree_size); null where the log never had that size or the tile needed is missing."""
+    size = F.col("tree_size")
+    known = roots.select("log_id", F.col("tree_size").alias("_whole"), F.col("root_hash").alias("_root"))
+    rows = small_join(sizes, known, ["log_id"])
+    rows = with_chain(rows, paths, F.when((size > 0) & (size < F.col("_whole")), size), "_chain", hot_rows)
+    root = (
+        F.when((size == 0) & F.col("_whole").isNotNull(), empty_root())
+        .when(size == F.col("_whole"), F.col("_root"))
+        .when(F.col("_chain").isNotNull(), F.element_at(older_edge(size, F.col("_chain")), -1))
+    )
+    return rows.select(*sizes.columns, root.alias("root_hash"))

@@ -369,6 +369,23 @@ def merkle_root(spark, sf_dir):
     return roots.select("log_id", "tree_size", hex_lower(F.col("root_hash")).alias("root_hash"))
 
 
+@query
+def prefix_roots(spark, sf_dir):
+    """The root of every size that either log ever had."""
+    tree = merkle.build_tree(_hashed(spark, sf_dir))
+    every = proofs.prefix_roots(tree.paths(), tree.roots())
+    return every.select("log_id", "tree_size", hex_lower(F.col("root_hash")).alias("root_hash"))
+
+
+@query
+def prefix_root_lookup(spark, sf_dir):
+    """Roots of the sizes that requests ask for; sizes no log had, and unknown logs, have none."""
+    tree = merkle.build_tree(_hashed(spark, sf_dir))
+    asked = inputs.by_index(spark, sf_dir).select("request_id", "log_id", "tree_size")
+    found = proofs.roots_at(asked, tree.paths(), materialize(tree.roots(), "roots"))
+    return found.withColumn("root_hash", hex_lower(F.col("root_hash")))
+
+
 @query
 def root_verify(spark, sf_dir):
     """Roots of a copy with changed values against the source's."""

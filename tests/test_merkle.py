@@ -136,3 +136,23 @@ def test_hash_tiles_hold_perfect_nodes_only(spark, store, brutes):
     assert got == {k: (len(v), b"".join(v)) for k, v in want.items()}
     stored = tree.hash_tiles().where("tile_level = 0")
     assert merkle.tree_from_tiles(stored).roots().first().root_hash == brutes[600].root(0, 600)
+
+
+def test_prefix_roots(spark, store, brutes):
+    """Every size up to 1,000, and for the large log those around tiles, against the recursive definition."""
+    got = {(r.log_id, r.tree_size): bytes(r.root_hash) for r in proofs.prefix_roots(store.paths, store.logs).collect()}
+    assert got.keys() == {(n, t) for n in SIZES for t in range(1, n + 1)}
+    for n in SIZES:
+        sizes = range(1, n + 1) if n <= 1000 else [1, 255, 256, 257, 511, 512, 4096, 4097, 65280, 65281, 65535, 65536, 65537]
+        assert all(got[n, t] == brutes[n].root(0, t) for t in sizes)
+    asked = [(n, t) for n in SIZES for t in (-1, 0, 1, n // 2, n, n + 1)] + [(5, 1), (None, 1), (600, None)]
+    table = spark.createDataFrame(asked, "log_id long, tree_size long")
+    for r in proofs.roots_at(table, store.paths, store.logs).collect():
+        known = r.log_id in SIZES and r.tree_size is not None and 0 <= r.tree_size <= r.log_id
+        assert (r.root_hash and bytes(r.root_hash)) == (brutes[r.log_id].root(0, r.tree_size) if known else None)
+
+
+def test_prefix_roots_need_their_tile(store):
+    cut = store.paths.where("log_id = 600").withColumn("levels", F.when(F.col("tile_index") != 1, F.col("levels")))
+    rows = proofs.prefix_roots(cut, store.logs.where("log_id = 600")).collect()
+    assert {r.tree_size for r in rows if r.root_hash is None} == set(range(256, 512)) and len(rows) == 600
