@@ -14,14 +14,18 @@ from merklake.sources.scratch import materialize
 HOT_ROWS = 1_000_000
 # Bound on what is broadcast: the keys that cut down the other side of a lookup, and tables of one row per log.
 BROADCAST_BYTES = 64 << 20
+ELEMENT_BYTES = 128  # a level of a chain: two hashes and their headers
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the values of `df` are within the bound: eight bytes each, and the bytes of strings and binaries."""
+    """Whether the values of `df` are within the bound: eight bytes each, the bytes of strings and binaries, and ELEMENT_BYTES an
+    element of an array."""
     size = F.lit(8 * len(df.columns))
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) * ELEMENT_BYTES
     return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
 
 

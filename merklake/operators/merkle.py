@@ -134,11 +134,26 @@ class Tree:
         return self.tiles[0].join(upper, ["log_id", "tile_index"]).drop("covered")
 
 
-def build_tree(leaves: DataFrame, max_tree_size: int | None = None) -> Tree:
+def frontier_nodes(frontier: DataFrame, level: int) -> DataFrame:
+    """Nodes of a tile level (log_id, index, hash, covered) that lie in the incomplete tiles at the right edge of trees.
+
+    `frontier`: log_id, tree_size, tile_level, hashes.
+    """
+    first = F.shiftleft(F.shiftright(F.col("tree_size"), TILE_HEIGHT * (level + 1)), TILE_HEIGHT)
+    rows = frontier.where(F.col("tile_level") == level).select("log_id", first.alias("first"), F.posexplode(unpack_hashes(F.col("hashes"))))
+    return rows.select(
+        "log_id", (F.col("first") + F.col("pos")).alias("index"), F.col("col").alias("hash"), F.lit(TILE_WIDTH**level if level else 0).cast("bigint").alias("covered")
+    )
+
+
+def build_tree(leaves: DataFrame, max_tree_size: int | None = None, frontier: DataFrame | None = None) -> Tree:
     """Tree of leaves (log_id, leaf_index, merkle_leaf_hash), all logs at once.
 
     The lowest tiles, 64 bytes per leaf, are written out once; each level above is 256 times
     smaller. The depth comes from the known size or from one aggregate over the index column.
+
+    With the `frontier` of trees that are there already, `leaves` are those past their sizes, and the tiles are those that differ
+    from the ones stored: every other tile of the grown tree is as it was.
     """
     if max_tree_size is None:
         last = leaves.agg(F.max("leaf_index").alias("last")).first()["last"]
@@ -149,8 +164,10 @@ def build_tree(leaves: DataFrame, max_tree_size: int | None = None) -> Tree:
         F.col("merkle_leaf_hash").alias("hash"),
         F.lit(0).cast("bigint").alias("covered"),
     )
+    if frontier is not None:
+        nodes = nodes.unionByName(frontier_nodes(frontier, 0))
     lowest = tile_level(nodes).withColumn("covered", F.col("width").cast("bigint"))
-    return _roll_up(materialize(lowest, "tiles", ["log_id", "tile_index"]), max_tree_size)
+    return _roll_up(materialize(lowest, "tiles", ["log_id", "tile_index"]), max_tree_size, frontier)
 
 
 def tree_from_tiles(stored: DataFrame) -> Tree:
@@ -167,15 +184,17 @@ def tree_from_tiles(stored: DataFrame) -> Tree:
     return _roll_up(written, 0 if last is None else (last + 1) * TILE_WIDTH)
 
 
-def _roll_up(lowest: DataFrame, max_tree_size: int) -> Tree:
+def _roll_up(lowest: DataFrame, max_tree_size: int, frontier: DataFrame | None = None) -> Tree:
     tiles = [lowest]
-    for _ in range(levels_needed(max_tree_size) - 1):
+    for level in range(1, levels_needed(max_tree_size)):
         below = tiles[-1].select(
             "log_id",
             F.col("tile_index").alias("index"),
             tile_root(F.col("levels")).alias("hash"),
             "covered",
         )
+        if frontier is not None:
+            below = below.unionByName(frontier_nodes(frontier, level))
         tiles.append(tile_level(below))
     return Tree(tiles)
 

@@ -95,6 +95,29 @@ def older_chain(index: Column, size: Column, chain: Column, next_chain: Column)
     )
 
 
+def moved_chain(index: Column, chain: Column, boundary: Column, newer: Column, from_level: int = 0) -> Column:
+    """The chain of a leaf after its tree has grown from `boundary` leaves.
+
+    `newer` is the chain of leaf `boundary` in the grown tree. Nodes left of it were whole before and are the same; so only nodes of
+    that chain can differ from what was stored. Chains begin at `from_level`; a chain that is not known stays null.
+    """
+
+    def moved(old: Column) -> Column:
+        def step(new: Column) -> Column:
+            level = new["level"]
+            here, edge = _shift(index, level), _shift(boundary, level)
+            one, was = F.lit(1).cast("bigint"), F.get(old, level - from_level)
+
+            def node(position: Column, before: Column) -> Column:
+                return F.when(position == edge, new["own"]).when(position == edge.bitwiseXOR(one), new["sib"]).otherwise(before)
+
+            return F.struct(level.alias("level"), node(here, was["own"]).alias("own"), node(here.bitwiseXOR(one), was["sib"]).alias("sib"))
+
+        return F.transform(F.filter(newer, lambda s: s["level"] >= from_level), step)
+
+    return F.when(chain.isNotNull(), let(chain, moved))
+
+
 def root_from_inclusion(index: Column, size: Column, leaf_hash: Column, hashes: Column) -> Column:
     """Root that an inclusion proof leads to (RFC 9162, section 2.1.3.2)."""
     zero = F.lit(0).cast("bigint")

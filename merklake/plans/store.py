@@ -1,16 +1,26 @@
-"""What a request batch is answered from."""
+"""What a request batch is answered from.
+
+A store is written in generations: every migration, and every growth of a log, writes its rows under a name of its own, and last of all
+one row per log into the manifest, which says what generations the log is made of. Readers take each log's latest row and, by it,
+rows of the stored tables. So a copy is published at one instant, whatever was written before it, a run that stops
+leaves the published copies alone, and readers that are at work go on with the one they began with.
+"""
+
+import time
+import uuid
 
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from merklake.constants import DIGEST_BYTES
 from merklake.functions import checkpoints, paths
 from merklake.operators import bundles as bundle_ops
-from merklake.operators import hashindex, merkle
+from merklake.operators import hashindex, merkle, proofs
 from merklake.operators.joins import explode_range, small_join
-from merklake.schemas import CHECKPOINTS, HASH_TILES, STORED_BUNDLES, STORED_PATHS
+from merklake.schemas import CHECKPOINTS, FRONTIER, HASH_TILES, MANIFEST, STORED_BUNDLES, STORED_INDEX, STORED_PATHS
 from merklake.sources import objects
 from merklake.sources.logs import with_leaf_hash
 from merklake.sources.scratch import materialize
@@ -41,16 +51,75 @@ class StoredTables:
     index: DataFrame
 
 
-def read_stored(spark: SparkSession, location: str) -> StoredTables:
+TABLES = {"bundles": STORED_BUNDLES, "tiles": HASH_TILES, "paths": STORED_PATHS, "hash_index": STORED_INDEX, "frontier": FRONTIER}
+
+
+def new_generation() -> str:
+    return uuid.uuid4().hex
+
+
+def generation_path(location: str, table: str, generation: str) -> str:
+    return f"{location}/{table}/generation={generation}"
+
+
+def publish(rows: DataFrame, location: str) -> None:
+    """Add manifest rows (CHECKPOINTS and generations), one per log. From then on readers see what they name."""
+    rows.withColumn("version", F.lit(time.time_ns())).select(*MANIFEST.names).write.mode("append").parquet(f"{location}/manifest")
+
+
+def read_manifest(spark: SparkSession, location: str) -> DataFrame:
+    """The latest row of every log, as of now: written out, so that all tables are read by the same."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{location}/manifest")
+    latest = rows.groupBy("log_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "log_id"]), "version").alias("_row"))
+    return materialize(latest.select("log_id", "_row.*"), "manifest")
+
+
+def _generations(spark: SparkSession, location: str, table: str) -> DataFrame:
+    """All rows of a stored table, published or not, with the generation that its directory names."""
+    schema = StructType([*TABLES[table].fields, StructField("generation", StringType())])
+    return spark.read.schema(schema).parquet(f"{location}/{table}")
+
+
+def _current(spark: SparkSession, location: str, table: str, manifest: DataFrame, patch: bool = False) -> DataFrame:
+    """Rows of the generations the manifest names, with `_until`, and `_patch` if asked for."""
+    stored = _generations(spark, location, table)
+    parts = manifest.select("log_id", F.explode("generations").alias("g")).select(
+        "log_id", "g.generation", F.col("g.until").alias("_until"), *([F.col("g.patch").alias("_patch")] if patch else [])
+    )
+    # Spark prunes directories only for a filtered key table.
+    return small_join(stored, parts.where("generation != ''"), ["log_id", "generation"], "inner").drop("generation")
+
+
+def read_stored(spark: SparkSession, location: str, manifest: DataFrame | None = None) -> StoredTables:
+    """The published copy of every log. Rows that a later generation replaced are left out; chains of earlier
+    generations are brought up to date by the chain of the leaf that came next, which the manifest keeps."""
+    manifest = read_manifest(spark, location) if manifest is None else manifest
+
+    def replaced(index: str, level: Column | int) -> Column:
+        height = level * 8 + 8 if isinstance(level, Column) else F.lit(8 * level + 8)
+        return F.coalesce(F.col(index) >= F.call_function("shiftright", "_until", height), F.lit(False))
+
+    bundles = _current(spark, location, "bundles", manifest).where(~replaced("bundle_index", 0)).drop("_until")
+    tiles = _current(spark, location, "tiles", manifest).where(~replaced("tile_index", F.col("tile_level"))).drop("_until")
+    paths_ = _current(spark, location, "paths", manifest, patch=True).where(~replaced("tile_index", 0))
+    first_leaf = F.shiftleft("tile_index", 8)
+    moved = proofs.moved_chain(first_leaf, F.col("upper"), F.col("_until"), F.col("_patch"), from_level=8)
+    upper = F.when(F.col("_until").isNull(), F.col("upper")).otherwise(moved)
     return StoredTables(
-        checkpoints=spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints"),
-        bundles=spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"),
-        tiles=spark.read.schema(HASH_TILES).parquet(f"{location}/tiles"),
-        paths=spark.read.schema(STORED_PATHS).parquet(f"{location}/paths"),
-        index=hashindex.read(spark, f"{location}/hash_index"),
+        checkpoints=manifest.select(*CHECKPOINTS.names),
+        bundles=bundles,
+        tiles=tiles,
+        paths=paths_.withColumn("upper", upper).drop("_until", "_patch"),
+        index=_current(spark, location, "hash_index", manifest).drop("_until"),
     )
 
 
+def read_frontier(spark: SparkSession, location: str, manifest: DataFrame) -> DataFrame:
+    """log_id, tree_size, tile_level, hashes: the incomplete tiles at the right edge of every log, at most one per level."""
+    last = manifest.select("log_id", "tree_size", F.element_at("generations", -1)["generation"].alias("generation"))
+    return small_join(_generations(spark, location, "frontier"), last, ["log_id", "generation"], "inner").select("log_id", "tree_size", "tile_level", "hashes")
+
+
 def registered_logs(registry: DataFrame, checkpoints_table: DataFrame) -> DataFrame:
     """Checkpoints of registered logs. The frozen time served is the registry's; `frozen_time_differs`
     marks logs whose checkpoint has another one. A log without a checkpoint has null size and root."""
@@ -103,19 +172,16 @@ def write_by_part(df: DataFrame, index: str, location: str) -> None:
 
 
 def write_by_log(df: DataFrame, location: str, *directories: str) -> None:
-    """Store in directories by log. Those written before, by a run that failed or for other logs, are replaced or left alone."""
+    """Store in directories by log."""
     out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_id", *directories)
     out.parquet(location)
 
 
 def open_store(spark: SparkSession, location: str, registry: DataFrame) -> LogStore:
-    """The store a migration wrote, for the logs in the registry."""
-    stored = spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints")
+    """The store that migrations wrote, as published now, for the logs in the registry."""
+    stored = read_stored(spark, location)
     return LogStore(
-        logs=materialize(registered_logs(registry, stored), "logs"),
-        paths=spark.read.schema(STORED_PATHS).parquet(f"{location}/paths"),
-        bundles=spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"),
-        index=hashindex.read(spark, f"{location}/hash_index"),
+        logs=materialize(registered_logs(registry, stored.checkpoints), "logs"), paths=stored.paths, bundles=stored.bundles, index=stored.index
     )
 
 
@@ -127,13 +193,14 @@ def _folder(rows: DataFrame) -> Column:
 
 def export_objects(location: str, base: str, spark: SparkSession, registry: DataFrame | None = None) -> None:
     """Write a migrated store as objects in the public layout, each log in its location; checkpoints last."""
-    logs = spark.read.schema(CHECKPOINTS).parquet(f"{location}/checkpoints")
+    tables = read_stored(spark, location)
+    logs = tables.checkpoints
     if registry is not None:
         logs = materialize(logs.join(registry.select("log_id", "location"), "log_id"), "exported_logs")
     sizes = logs.select("log_id", "tree_size", *(["location"] if registry is not None else []))
     folder = _folder(sizes)
 
-    stored = small_join(spark.read.schema(STORED_BUNDLES).parquet(f"{location}/bundles"), sizes, ["log_id"], "inner")
+    stored = small_join(tables.bundles, sizes, ["log_id"], "inner")
     partial = paths.partial_width(F.col("bundle_index"), F.col("tree_size"))
     entries = stored.select(
         F.concat(folder, paths.entries_path(F.col("bundle_index"), partial)).alias("path"), "bytes", "metadata"
@@ -141,7 +208,7 @@ def export_objects(location: str, base: str, spark: SparkSession, registry: Data
     objects.write_objects(entries, base)
     objects.write_metadata(entries, base, lambda _: F.col("metadata"))
 
-    tiles = small_join(spark.read.schema(HASH_TILES).parquet(f"{location}/tiles"), sizes.drop("tree_size"), ["log_id"], "inner")
+    tiles = small_join(tables.tiles, sizes.drop("tree_size"), ["log_id"], "inner")
     width = F.when(F.col("width") == 256, F.lit(0)).otherwise(F.col("width"))
     objects.write_objects(
         tiles.select(

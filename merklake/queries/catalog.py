@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merklake.constants import METADATA_LIMIT_BYTES
+from merklake.constants import MAX_ENTRY_BYTES, METADATA_LIMIT_BYTES
 from merklake.functions import base36, checkpoints, paths, timestamps
 from merklake.functions.hashing import hex_lower, hex_preview, leaf_hash, leaf_hash_hex
 from merklake.operators import bundles, checks, compare, hashindex, joins, merkle, proofs
@@ -793,8 +793,42 @@ def migrate_logs(spark, sf_dir):
 
 @query
 def migrate_findings(spark, sf_dir):
-    """Logs that could not be migrated, and why."""
-    return _migrated(spark, sf_dir)[0].findings
+    """Logs that could not be migrated, and why: both logs, and copies of them with faults in leaves, bounds and roots."""
+    leaves, n = logs.both_logs(spark, sf_dir), F.col("leaf_index")
+    events = leaves.where(f"log_id = {logs.EVENTS_LOG}")
+    null = F.lit(None).cast("bigint")
+
+    def copy(log: int, df: DataFrame) -> DataFrame:
+        return df.withColumn("log_id", F.lit(log).cast("bigint"))
+
+    value = F.when(n % 211 != 3, F.col("leaf_value"))
+    faulty = (
+        leaves.unionByName(copy(11, events.withColumn("queue_ts_nanos", F.when(n % 97 != 5, F.col("queue_ts_nanos")))))
+        .unionByName(copy(12, events.withColumn("integrate_ts_nanos", F.when(n % 89 != 7, F.col("integrate_ts_nanos")))))
+        .unionByName(copy(13, events.withColumn("leaf_value", value)))
+        .unionByName(copy(14, events.where(n % 500 != 9)))
+        .unionByName(copy(15, events.unionByName(events.where(n == 20))))
+        .unionByName(copy(16, events.withColumn("queue_ts_nanos", F.when(n == 4, F.lit(-(2**63) + 1)).otherwise(F.col("queue_ts_nanos")))))
+    )
+    roots = merkle.build_tree(logs.with_leaf_hash(leaves)).roots()
+    mine = roots.where(f"log_id = {logs.EVENTS_LOG}").drop("log_id")
+    whole = F.lit(-1).cast("bigint")
+    size = F.col("tree_size")
+    # log, size, finish, and whether the source's root is another one
+    planned = [
+        *((log, size, whole, False) for log in range(11, 17)), (21, size, null, False), (22, null, whole, False), (23, size, size + 1, False),
+        (24, size, F.lit(-2).cast("bigint"), False), (25, size, F.lit(0).cast("bigint"), False), (26, size, whole, False), (26, size, F.lit(9).cast("bigint"), False),
+        (27, size, whole, False), (28, size, whole, True), (None, size, whole, False),
+    ]
+    sources = roots.withColumn("finish", whole)
+    for log, tree_size, finish, other in planned:
+        root = F.unhex(F.sha2(F.hex("root_hash").cast("binary"), 256)) if other else F.col("root_hash")
+        sources = sources.unionByName(
+            mine.select(F.lit(log).cast("bigint").alias("log_id"), tree_size.alias("tree_size"), root.alias("root_hash"), finish.alias("finish"))
+        )
+    sources = materialize(sources.withColumn("timestamp_nanos", F.lit(7).cast("bigint")), "sources")
+    given = faulty.unionByName(copy(28, events))  # of log 27 there is no leaf
+    return migrate.migrate(given, sources, new_location(spark, "store")).findings
 
 
 @query
@@ -807,6 +841,40 @@ def migrated_entries(spark, sf_dir):
     return _flat(answer(inputs.by_index(spark, sf_dir), "entry_and_proof", served))
 
 
+def _grown(spark, sf_dir) -> tuple[migrate.Migration, str]:
+    """Logs that bundles can hold, migrated up to a third, then grown to two thirds, and then as a whole."""
+    leaves = logs.both_logs(spark, sf_dir)
+    fit = materialize(leaves.groupBy("log_id").agg(F.max(F.length("leaf_value")).alias("most")).where(F.col("most") <= MAX_ENTRY_BYTES), "fit")
+    tree = merkle.build_tree(logs.with_leaf_hash(leaves))
+    whole = materialize(tree.roots().join(fit.select("log_id"), "log_id", "left_semi"), "whole")
+    location = new_location(spark, "store")
+
+    def sources(finish: Column) -> DataFrame:
+        return whole.select("*", (F.col("log_id") * 1_000_000_007).alias("timestamp_nanos"), finish.cast("bigint").alias("finish"))
+
+    size = F.col("tree_size")
+    migrate.migrate(leaves, sources(F.call_function("div", size, F.lit(3))), location, "origin")
+    migrate.grow(leaves, sources(F.call_function("div", size * 2, F.lit(3))), location)
+    return migrate.grow(leaves, sources(F.lit(-1)), location), location
+
+
+@query
+def migrate_grown(spark, sf_dir):
+    """Proof of every leaf from a store that has grown twice: its earlier tiles with their chains brought up to date."""
+    _, location = _grown(spark, sf_dir)
+    every = proofs.all_inclusion_proofs(store.read_stored(spark, location).paths)
+    return every.select("log_id", "leaf_index", hex_lower(F.col("leaf_hash")).alias("leaf_hash"), _hex_list(F.col("hashes")).alias("hashes"))
+
+
+@query
+def grown_entries(spark, sf_dir):
+    """Every request of the batch answered from a store that has grown twice."""
+    done, location = _grown(spark, sf_dir)
+    registered = done.checkpoints.select("log_id", "frozen_time_nanos", F.lit("here").alias("location"))
+    served = store.open_store(spark, location, registered)
+    return _flat(answer(inputs.by_index(spark, sf_dir), "entry_and_proof", served))
+
+
 @query
 def object_sink_roundtrip(spark, sf_dir):
     """Migrated store exported as objects and read back by computed names: every leaf, from bytes."""

@@ -55,6 +55,15 @@ PATHS = _struct(
     ("upper", _CHAIN),
 )
 
+# Tables of a store are written by generation; a log's row in the manifest says which rows of each are its own. `until`: the size at
+# which the next generation begins; `patch`: the chain of the leaf of that index in the tree as it is now.
+_GENERATION = _struct(("generation", _STR), ("until", _LONG), ("patch", _CHAIN))
+MANIFEST = T.StructType(
+    [*CHECKPOINTS.fields, T.StructField("version", _LONG), T.StructField("generations", T.ArrayType(_GENERATION))]
+)
+# Hashes of the incomplete tiles at the right edge, one row per tile level of a log.
+FRONTIER = _struct(("tile_level", _INT), ("width", _INT), ("hashes", _BIN), ("log_id", _LONG))
+
 HASH_INDEX = _struct(("log_id", _LONG), ("prefix", _STR), ("suffix", _BIN), ("leaf_index", _LONG))
 STORED_INDEX = _struct(
     ("prefix", _STR), ("suffix", _BIN), ("leaf_index", _LONG), ("log_id", _LONG), ("prefix_dir", _STR)

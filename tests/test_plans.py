@@ -172,7 +172,7 @@ def test_migration_leaves_bad_logs_out(spark, leaves, brute):
         location = new_location(spark, "store")
         done = migrate.migrate(df, sources(spark, brute, **options), location)
         # No checkpoint of a bad log: nobody takes the copy for whole.
-        stored = spark.read.schema(CHECKPOINTS).parquet(location + "/checkpoints") if done.checkpoints.take(1) else None
+        stored = store.read_stored(spark, location).checkpoints if done.checkpoints.take(1) else None
         good = {r.log_id for r in stored.collect()} if stored is not None else set()
         findings = {(r.log_id, r.error_code, r.rows, r.first_index) for r in done.findings.collect()}
         assert good == set(N) - {f[0] for f in findings}
