@@ -9,10 +9,14 @@ than that is indexed under these too. How many segments are wide is chosen for e
 in it (counted over all documents): wide ones cost a row for each shingle but make segments larger, which chance seldom
 makes agree.
 
-Sets that agree in a segment are first compared with one pivot of each bucket, so a bucket of any number of copies costs
-no more than its rows. What then lies in different components is compared too, in pairs that a 512-bit parity sketch
+Every bucket has a pivot. In rounds each set is compared with one pivot, the least of its buckets' that still lies in another
+component and was not tried, so a round costs a pair per set, and a group of copies of any size falls into one component
+at the first. What lies in different components after PIVOT_ROUNDS of them is compared too, in pairs that a 2,048-bit parity sketch
 (a lower bound of the difference) does not rule out, nor one of 4,096 bits after it. What is left is verified on the words
 themselves, so the components are those of all links. Equal sets (128-bit fingerprints of the shingle hashes) are one set from the start.
+
+Null and empty texts have no set and are linked with nothing. Very long texts are handled whole. Repeated rows are one set. Empty tables
+give empty tables.
 """
 
 import math
@@ -30,7 +34,8 @@ from merklake.sources.scratch import materialize
 
 BAND_RATIO = 2.0
 CHANCE = 1e-6  # that two shingles of unrelated sets are equal
-SKETCH_BITS, FINE_BITS = 512, 4096
+SKETCH_BITS, FINE_BITS = 2048, 4096
+PIVOT_ROUNDS = 4
 ID_FILTER_BITS = 1 << 26  # 8 MB at most, whatever the number of documents
 
 
@@ -229,10 +234,11 @@ def _verified_by(rule: Rule):
     return run
 
 
-def _may_link(rule: Rule) -> Column:
+def _may_link(rule: Rule, bits: int) -> Column:
     """Sizes and sketches (a_n, b_n, a_sketch, b_sketch) that a link does not rule out."""
     a, b = F.col("a_n"), F.col("b_n")
-    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # Word by word, as lambdas are not compiled.
+    differ = sum((F.bit_count(F.get("a_sketch", k).bitwiseXOR(F.get("b_sketch", k))) for k in range(bits // 64)), F.lit(0))
     sizes = (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent)
     return sizes & (differ * (100 + rule.percent) <= (a + b) * (100 - rule.percent))
 
@@ -282,9 +288,9 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, rule: Rule) -> D
 
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b of set_no) that link: by a coarse sketch, a fine one, and the words of those left."""
-    pairs = materialize(_with_sets(pairs.distinct(), sets, "a", "b").where(_may_link(rule)).select("a", "b"), "pairs")
+    pairs = materialize(_with_sets(pairs.distinct(), sets, "a", "b").where(_may_link(rule, SKETCH_BITS)).select("a", "b"), "pairs")
     texts = _texts(docs, sets, pairs.select(F.col("a").alias("set_no")).union(pairs.select("b")).distinct(), rule)
-    pairs = materialize(_with_sets(pairs, texts, "a", "b").where(_may_link(rule)).select("a", "b"), "near_pairs")
+    pairs = materialize(_with_sets(pairs, texts, "a", "b").where(_may_link(rule, FINE_BITS)).select("a", "b"), "near_pairs")
     both = pairs.join(texts.select(F.col("set_no").alias("b"), F.col("text").alias("b_text")), "b")
     both = both.join(texts.select(F.col("set_no").alias("a"), F.col("text").alias("a_text")), "a")
     return materialize(both.mapInArrow(_verified_by(rule), "a bigint, b bigint"), "links")
@@ -338,32 +344,45 @@ def link(docs: DataFrame, rule: Rule, ratio: float = BAND_RATIO, chance: float =
     )
     members = materialize(members, "buckets")
 
-    links = _verify(members.where("set_no != pivot").select(F.col("pivot").alias("a"), F.col("set_no").alias("b")), docs, sets, rule)
-    grouped = components(links)
-    rest = _across(members, grouped, sets, rule)
+    links = grouped = tried = None
+    left = members.where("set_no != pivot")
+    for _ in range(PIVOT_ROUNDS):
+        tried = materialize(left.groupBy("set_no").agg(F.min("pivot").alias("tried")), "tried")
+        found = _verify(tried.select(F.col("tried").alias("a"), F.col("set_no").alias("b")), docs, sets, rule)
+        links = found if links is None else materialize(links.union(found), "links")
+        grouped = components(links)
+        split = _split_buckets(members, grouped)
+        left = split.where("component != main").join(tried, "set_no").where("pivot > tried").select("set_no", "pivot")
+        if not left.take(1):
+            break
+    rest = _across(split, sets, rule)
     if rest.take(1):
         links = materialize(links.union(_verify(rest, docs, sets, rule)), "links")
         grouped = components(links)
     return Linked(rows.drop("sketch"), sets.drop("sketch"), links, grouped)
 
 
-def _across(members: DataFrame, grouped: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that share a bucket, lie in different components, and neither sizes nor sketches rule out.
-
-    A bucket's main component is its pivot's, with which all members were compared; every other member meets all of the bucket
-    that is not in its own component. Only pairs that pass leave the join.
-    """
+def _split_buckets(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Members (with `component`, and `main`, that of the pivot) of the buckets that hold more than one component."""
     known = grouped.select(F.col("node").alias("set_no"), "component")
     labelled = members.join(known, "set_no", "left").withColumn("component", F.coalesce("component", "set_no"))
     mains = labelled.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("set_no") == F.col("pivot"), F.col("component"))).alias("main")
     )
-    split = materialize(labelled.join(mains.where("lo < hi").select("key", "main"), "key"), "split_buckets")
+    return materialize(labelled.join(mains.where("lo < hi").select("key", "main"), "key"), "split_buckets")
+
+
+def _across(split: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that share a bucket, lie in different components, and neither sizes nor sketches rule out.
+
+    A bucket's main component is its pivot's; every other member meets all of the bucket that is not in its own component.
+    Only pairs that pass leave the join.
+    """
     other = split.where("component != main").select("key", F.col("set_no").alias("a"), F.col("component").alias("ac"), F.col("whole").alias("aw"))
-    every = split.where("set_no != pivot").select("key", F.col("set_no").alias("b"), F.col("component").alias("bc"), F.col("whole").alias("bw"), "main")
+    every = split.select("key", F.col("set_no").alias("b"), F.col("component").alias("bc"), F.col("whole").alias("bw"), "main")
     met = _with_sets(other, sets, "a").join(_with_sets(every, sets, "b"), "key")
     apart = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("aw") | F.col("bw"))
-    return materialize(met.where(apart & _may_link(rule)).select("a", "b").distinct(), "across")
+    return materialize(met.where(apart & _may_link(rule, SKETCH_BITS)).select("a", "b").distinct(), "across")
 
 
 def component_ids(linked: Linked) -> DataFrame:
@@ -384,12 +403,12 @@ def component_ids(linked: Linked) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row of each component: that with its smallest doc_id. All rows without words stay. Columns are as given."""
     labels = materialize(component_ids(link(docs, rule)).where("component_rows > 1"), "groups")
-    likely, alone = split_by_id(docs, labels.select("doc_id"))
-    likely = with_fingerprints(likely.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row"), rule)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    likely, alone = split_by_id(rows, labels.select("doc_id"))
     marks = labels.select("doc_id", "f0", "f1", "component_id", "component").distinct().alias("m")
-    likely = likely.alias("d")
+    likely = with_fingerprints(likely, rule).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.f0") == F.col("m.f0")) & (F.col("d.f1") == F.col("m.f1"))
-    marked = likely.join(marks, same, "left").select("d._row", F.col("d.doc_id").alias("doc_id"), "m.component_id", "m.component", F.col("m.f0").alias("m0"))
-    single = marked.where("m0 is null").select("_row.*")
-    chosen = marked.where("m0 is not null and doc_id <=> component_id").dropDuplicates(["component"]).select("_row.*")
-    return alone.unionByName(single).unionByName(chosen)
+    marked = likely.join(marks, same, "left").select("d.row", F.col("d.doc_id").alias("doc_id"), "m.component_id", "m.component", F.col("m.f0").alias("m0"))
+    single = marked.where("m0 is null").select("row.*")
+    chosen = marked.where("m0 is not null and doc_id <=> component_id").dropDuplicates(["component"]).select("row.*")
+    return alone.select("row.*").unionByName(single).unionByName(chosen)
