@@ -6,7 +6,10 @@ Kinds, in order: assign, access, hex, and those the checksum in the secret itsel
 of the CRC-32 of the thirty before them), jwt (the header is a JSON object with "alg"), card (13 to 19 digits that pass Luhn's test).
 
 Matches of a kind are the leftmost that do not overlap; those of different kinds may. Spans are of code points, end exclusive.
-Null and empty texts have none. An input column named like the result is replaced. Nothing is shuffled.
+A card of whole groups of digits may follow others: where the
+longest candidate from one group fails the test, the next group is tried. Null and empty texts have none; empty tables give empty ones, and
+repeated rows are scanned each. Very long texts are handled whole, in time that grows with their length. An input column named like
+the result is replaced; others may have any name. Nothing is shuffled.
 """
 
 import base64
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merklake.llm.decontaminate import without_spans
-from merklake.llm.words import text_slices
+from merklake.llm.words import text_slices, unused
 
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "card")
 BASE_KINDS = KINDS[:3]
@@ -34,6 +37,8 @@ _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _TOKEN = re.compile(rb"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _JWT = re.compile(rb"eyJ([A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
+_GROUP = re.compile(rb"[0-9]+")
 _CARD = re.compile(rb"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # Keywords as they are in lower-cased text, and the kind each may begin.
@@ -61,7 +66,7 @@ def _is_header(match: re.Match) -> bool:
     raw = b"eyJ" + match[1]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(raw + b"=" * (-len(raw) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):  # the last for headers nested beyond all sense
         return False
 
 
@@ -114,11 +119,20 @@ def _by_keywords(raw: bytes) -> list[tuple[int, int, str]]:
             passed[kind] = match.end()  # what fails the check is passed over too
             if holds(match):
                 found.append((at, match.end(), kind))
+        elif kind == "jwt" and at >= passed[kind] and raw.startswith(b"eyJ", at):
+            passed[kind] = _JWT_RUN.match(raw, at).end()  # what follows the run fails every header that begins in it
     return found
 
 
 def _cards(raw: bytes) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "card") for m in _CARD.finditer(raw) if (m.start() == 0 or not 48 <= raw[m.start() - 1] <= 57) and _luhn(m)]
+    found, at = [], 0
+    while match := _CARD.search(raw, at):
+        if (match.start() == 0 or not 48 <= raw[match.start() - 1] <= 57) and _luhn(match):
+            found.append((match.start(), match.end(), "card"))
+            at = match.end()
+        else:
+            at = _GROUP.match(raw, match.start()).end()
+    return found
 
 
 def find_spans(data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
@@ -146,23 +160,25 @@ def find_spans(data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
 def find_secrets(docs: DataFrame, keep: list[str] | None = None, out: str = "secrets") -> DataFrame:
     """The columns `keep` of `docs` (all by default) and `out`: kind, start and end of every secret in `text`."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    rows = docs.select(*keep, docs["text"].alias("_text"))
+    text = unused("_text", [*keep, out])
+    rows = docs.select(*keep, docs["text"].alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [s for _, _, data, offsets in text_slices(batch.column("_text")) for s in find_spans(data, offsets)]
+            spans = [s for _, _, data, offsets in text_slices(batch.column(text)) for s in find_spans(data, offsets)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(spans, _SPANS)], [*keep, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(text).schema)
     return rows.mapInArrow(run, f"{schema}, `{out}` {_SPANS_DDL}")
 
 
 def redact(docs: DataFrame, filler: str = FILLER) -> DataFrame:
     """All documents, each stretch of secrets in the text replaced by `filler`. Columns are as given."""
-    found = find_secrets(docs, out="_secrets")
+    secrets, joined = unused("_secrets", docs.columns), unused("_stretches", docs.columns)
+    found = find_secrets(docs, out=secrets)
     # Spans that overlap or touch become one: each begins a stretch only if it lies past all before it.
     stretches = F.aggregate(
-        "_secrets",
+        secrets,
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
@@ -172,5 +188,5 @@ def redact(docs: DataFrame, filler: str = FILLER) -> DataFrame:
             ),
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    found = found.withColumn("_stretches", F.when(F.size("_secrets") > 0, stretches).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    return found.withColumn("text", without_spans(F.col("text"), F.col("_stretches"), filler)).select(*docs.columns)
+    found = found.withColumn(joined, F.when(F.size(secrets) > 0, stretches).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    return found.withColumn("text", without_spans(F.col("text"), F.col(joined), filler)).select(*docs.columns)
