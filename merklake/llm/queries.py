@@ -125,7 +125,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
     score = F.col("toxicity.score")
     predicted = (score >= toxicity.THRESHOLD).cast("int")
-    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), predicted.alias("predicted"))
+    return scored.select("doc_id", F.coalesce(toxicity.is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), predicted.alias("predicted"))
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,13 +198,18 @@ _URL_FILTER = f"""WITH p AS MATERIALIZED (SELECT page_id,
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 1 AND toxic = 0 THEN 0 ELSE 1 END) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY ALL),
 c AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN l USING (page_id) GROUP BY host),
-h AS MATERIALIZED (SELECT host, n, bad, array_to_string(w[-2:], '.') AS domain, w[-1] AS suffix FROM (SELECT *, string_split(host, '.') AS w FROM c)),
+named AS (SELECT *, string_split(name, '.') AS w, regexp_matches(name, '^[0-9.]+$') AS numeric
+  FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM c)),
+doubled AS (SELECT *, array_to_string(w[-2:], '.') AS two, len(w) > 2 AND array_to_string(w[-2:], '.') IN ('{"', '".join(url_filter.DOUBLE_SUFFIXES)}') AS twofold FROM named),
+h AS MATERIALIZED (SELECT host, n, bad,
+  CASE WHEN numeric OR len(w) < 2 THEN '' WHEN twofold THEN two ELSE w[-1] END AS suffix,
+  CASE WHEN numeric OR len(w) < 3 THEN name WHEN twofold THEN array_to_string(w[-3:], '.') ELSE two END AS domain FROM doubled),
 total AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS prior FROM h),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 {_posterior("s", ", total", "suffix", "ps")},
-{_posterior("d", "JOIN (SELECT suffix, a / (a + b) AS prior FROM ps) USING (suffix)", "domain", "pd")},
-{_posterior("h", "JOIN (SELECT domain, a / (a + b) AS prior FROM pd) USING (domain)", "host", "ph")},
+{_posterior("d", "JOIN (SELECT suffix, a / (a + b) AS prior FROM ps) USING (suffix)", "domain, suffix", "pd")},
+{_posterior("h", "JOIN (SELECT domain, suffix, a / (a + b) AS prior FROM pd) USING (domain, suffix)", "host", "ph")},
 bounds AS (SELECT host, a / (a + b) - {url_filter.BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ph),
 ruled AS (SELECT *, '.' || host AS h, CASE
     WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'allow example.net/en/'

@@ -9,7 +9,7 @@ posterior bound of its host's rate of bad pages (mean less `bound` standard devi
 Counts are summed before the shuffle, and the result joins pages and hosts, which adaptive execution may split, so a host
 may have any share of the pages. Null urls and urls without `://` have an empty host and path and are judged by what is
 known of such. Null outcomes, and outcomes of null ids, are left out; an id with several counts as bad when one is. Input
-columns named like the results are replaced; repeated rows are judged each.
+columns named like the results are replaced, others may have any name; repeated rows are judged each; empty tables give empty ones.
 """
 
 from dataclasses import dataclass
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merklake.llm.words import unused
 from merklake.sources.scratch import materialize
 
 LIMIT, BOUND = 0.5, 1.645
@@ -79,23 +80,23 @@ def reputations(hosts: DataFrame) -> DataFrame:
     hosts = hosts.select("host", *_levels(F.col("host")), F.col("n").cast("double"), F.col("bad").cast("double"))
     overall = hosts.agg((F.sum("bad") + 0.5) / (F.sum("n") + 1)).first()[0]
 
-    def posterior(groups: DataFrame, above: DataFrame | None, key: str, upper: str | None) -> DataFrame:
-        known = groups.withColumn("prior", F.lit(overall).cast("double")) if above is None else groups.join(above, upper)
+    def posterior(groups: DataFrame, above: DataFrame | None, key: str, *upper: str) -> DataFrame:
+        known = groups.withColumn("prior", F.lit(overall).cast("double")) if above is None else groups.join(above, list(upper))
         strength = F.lit(known.where("n > 0").agg(_strength()).first()[0])  # one number for the level
         return known.select(
-            key, *([upper] if upper else []),
+            key, *upper,
             (F.col("prior") * strength + F.col("bad")).alias("a"), ((1 - F.col("prior")) * strength + F.col("n") - F.col("bad")).alias("b"),
         )
 
-    def mean(level: DataFrame, key: str) -> DataFrame:
-        return level.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"))
+    def mean(level: DataFrame, *keys: str) -> DataFrame:
+        return level.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"))
 
     def sums(*keys: str) -> DataFrame:
         return hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    suffixes = mean(posterior(sums("suffix"), None, "suffix", None), "suffix")
-    domains = mean(posterior(sums("domain", "suffix"), suffixes, "domain", "suffix"), "domain")
-    own = posterior(hosts, domains, "host", "domain")
+    suffixes = mean(posterior(sums("suffix"), None, "suffix"), "suffix")
+    domains = mean(posterior(sums("domain", "suffix"), suffixes, "domain", "suffix"), "domain", "suffix")
+    own = posterior(hosts, domains, "host", "domain", "suffix")  # as a domain may have two suffixes: 1.2 alone is a number
     total = F.col("a") + F.col("b")
     deviation = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
     return own.select("host", (F.col("a") / total - BOUND * deviation).alias("bad_bound"))
@@ -109,9 +110,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], keep: list[s
     results = ["host", "path", "rule", "verdict", "bad_bound"]
     keep = [c for c in (pages.columns if keep is None else keep) if c not in results]
     rows = pages.select(*keep, host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
+    fits = unused("_rule", keep)
     known = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.max((~F.col("good")).cast("int")).alias("_bad"))
     seen = pages.select("page_id", host_of(pages["url"]).alias("host")).join(known, "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
-    rows = rows.join(reputations(materialize(hosts, "hosts")), "host").withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.join(reputations(materialize(hosts, "hosts")), "host").withColumn(fits, matching_rule(F.col("host"), F.col("path"), rules))
     by_host = F.when(F.col("bad_bound") > LIMIT, "block").otherwise("allow")
-    return rows.select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", by_host).alias("verdict"), "bad_bound")
+    return rows.select(*keep, "host", "path", F.col(fits)["rule"].alias("rule"), F.coalesce(F.col(fits)["verdict"], by_host).alias("verdict"), "bad_bound")
