@@ -212,8 +212,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
 
     known, wanted = usable(vectors), usable(queries)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    facts = known.agg(F.max(F.size("vector")).alias("dim"), F.max(norm).alias("largest")).first()
-    dim = facts["dim"] or 0
+    # Vectors of other lengths than the commonest (of two, the longer) have no inner product with the rest.
+    lengths = known.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("largest"))
+    facts = lengths.orderBy(F.desc("n"), F.desc("dim")).first() or {"dim": 0, "largest": None}
+    dim = facts["dim"]
     # Repeated rows go before they are hashed: in a cell or a piece they would take the places of others.
     known, wanted = (rows.where(F.size("vector") == dim).dropDuplicates(["id", "vector"]) for rows in (known, wanted))
     probes, every = settings.probes, 3**settings.hashes
