@@ -6,7 +6,7 @@ walking down both tokens' merges at the edge where they meet. Only pre-tokens wi
 
 Null and empty texts have no tokens. Strings of special tokens inside a text become these tokens. Decoding joins the tokens'
 bytes and writes U+FFFD for what isn't UTF-8; an unknown id or a null is left out; null ids decode to an empty text. An input
-column named like the result is replaced. Nothing is shuffled.
+column named like the result is replaced, others may have any name. Repeated rows are encoded each; empty tables give empty ones. Nothing is shuffled.
 """
 
 import heapq
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from merklake.llm.token_counts import Cache, merge_all, text_lists
 from merklake.llm.vocabulary import Vocabulary, load, pre_tokens
+from merklake.llm.words import unused
 
 _KNOWN = 100_000
 _KEPT_LENGTH = 64
@@ -172,19 +173,20 @@ def _rows(df: DataFrame, run, keep: list[str], out: str, kind: str) -> DataFrame
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, out: str = "ids") -> DataFrame:
     """The columns `keep` of `docs` (all by default) and `out`, the token ids of `text` under the vocabulary at `path`."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
+    text = unused("_text", [*keep, out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(load(path))
         for batch in batches:
             at = 0
-            for texts in text_lists(batch.column("_text")):
+            for texts in text_lists(batch.column(text)):
                 ids = encoder.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(at, len(texts)) for n in keep), lists], [*keep, out])
                 at += len(texts)
 
-    return _rows(docs.select(*keep, docs["text"].alias("_text")), run, keep, out, "array<int>")
+    return _rows(docs.select(*keep, docs["text"].alias(text)), run, keep, out, "array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:

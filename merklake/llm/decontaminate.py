@@ -6,7 +6,9 @@ documents each. A pass hashes all windows of whole texts, looks the hashes up, a
 Documents are never shuffled, so a source or a group of copies of any size needs no splitting.
 
 Null and empty texts have no words and are clean. Null texts of items have no windows; items with a null id hit but
-are not listed. Repeated rows, on either side, each count as they are. An input column named like the result is replaced.
+are not listed. Repeated rows, on either side, each count as they are. Very long texts are handled whole;
+empty documents give an empty table, and an empty benchmark hits nothing. An input column named like the result is replaced; others may have
+any name.
 """
 
 from collections.abc import Callable, Iterator
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merklake.llm.words import ALPHANUMERIC, find_words, ngram_hashes, text_slices
+from merklake.llm.words import ALPHANUMERIC, find_words, ngram_hashes, text_slices, unused
 from merklake.sources.scratch import materialize
 
 WINDOW = 10
@@ -120,26 +122,27 @@ def find_contamination(
     blocks = max(1, -(-windows.count() // block_rows))
     slot = F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks))
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    text = unused("_text", [*keep, out])
+    rows = docs.select(*keep, F.col("text").alias(text))
     for block in range(blocks):
         chosen = windows.where(slot == block).select("item_id", "n", "words").collect()
         shared = spark.sparkContext.broadcast([tuple(r) for r in chosen])
         last = block == blocks - 1
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(out, *(["_text"] if last else [])).schema)
-        rows = rows.mapInArrow(_pass(shared, out, drop_text=last), f"{schema}, `{out}` {_FOUND_DDL}")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(out, *([text] if last else [])).schema)
+        rows = rows.mapInArrow(_pass(shared, out, text, drop_text=last), f"{schema}, `{out}` {_FOUND_DDL}")
         if not last:
             rows = materialize(rows, "contamination")
     return rows
 
 
-def _pass(shared, out: str, drop_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pass(shared, out: str, text: str, drop_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = WindowSet(shared.value)
         for batch in batches:
             names = batch.schema.names
             before = batch.column(out) if out in names else None
-            found = _scan(windows, batch.column("_text"), before)
-            rest = [n for n in names if n != out and not (drop_text and n == "_text")]
+            found = _scan(windows, batch.column(text), before)
+            rest = [n for n in names if n != out and not (drop_text and n == text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), found], [*rest, out])
 
     return scan
@@ -155,12 +158,14 @@ def without_spans(text: Column, spans: Column, filler: str = "") -> Column:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without any hit word, unchanged."""
-    found = find_contamination(docs, benchmark, out="_contamination", window=window)
-    return found.where("_contamination.n_hit = 0").select(*docs.columns)
+    out = unused("_contamination", docs.columns)
+    found = find_contamination(docs, benchmark, out=out, window=window)
+    return found.where(F.col(out)["n_hit"] == 0).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents, their hit words and what lies between these taken out of the text."""
-    found = find_contamination(docs, benchmark, out="_contamination", window=window)
-    cleaned = without_spans(F.col("text"), F.col("_contamination.spans"))
+    out = unused("_contamination", docs.columns)
+    found = find_contamination(docs, benchmark, out=out, window=window)
+    cleaned = without_spans(F.col("text"), F.col(out)["spans"])
     return found.withColumn("text", cleaned).select(*docs.columns)

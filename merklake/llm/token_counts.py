@@ -5,7 +5,7 @@ its lowest-rank pair, and all its occurrences are merged, in all sequences at on
 the symbols that survive are counted. Counts of pre-tokens are kept in the task, the latest `_KNOWN` at least.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text count as one token each. An input column named
-like the result is replaced. Nothing is shuffled.
+like the result is replaced, others may have any name. Repeated rows are counted each; empty tables give empty ones. Nothing is shuffled.
 """
 
 from collections.abc import Iterator
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from merklake.llm.vocabulary import Vocabulary, load, pre_tokens
+from merklake.llm.words import unused
 
 _KNOWN = 250_000
 _KEPT_LENGTH = 64  # longer pre-tokens are counted anew where they recur
@@ -94,15 +95,16 @@ class Counter:
 def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None, out: str = "n_tokens") -> DataFrame:
     """The columns `keep` of `docs` (all by default) and `out`, the number of tokens of `text` under the vocabulary at `path`."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    rows = docs.select(*keep, docs["text"].alias("_text"))
+    text = unused("_text", [*keep, out])
+    rows = docs.select(*keep, docs["text"].alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(load(path))
         for batch in batches:
-            counts = [n for texts in text_lists(batch.column("_text")) for n in counter.count(texts)]
+            counts = [n for texts in text_lists(batch.column(text)) for n in counter.count(texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(counts, pa.int64())], [*keep, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(text).schema)
     return rows.mapInArrow(run, f"{schema}, `{out}` bigint")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merklake.llm.words import ALPHANUMERIC, Words, find_words, text_slices
+from merklake.llm.words import ALPHANUMERIC, Words, find_words, text_slices, unused
 from merklake.sources.scratch import materialize
 
 SAMPLE_ROWS = 20_000
@@ -263,21 +263,23 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str
     """The columns `keep` of `docs` (all by default) and `out`: score, and the neighbours it rests on."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    text = unused("_text", [*keep, out])
+    rows = docs.select(*keep, F.col("text").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             found = []
-            for counts, n in _counted(batch.column("_text"), own.counter):
+            for counts, n in _counted(batch.column(text), own.counter):
                 near = own.index.nearest(own.vector(counts, n), NEIGHBOURS) if counts else []
                 found.append({"score": own.score(near), "neighbours": [{"doc_id": i, "similarity": s, "toxic": y} for s, i, y in near]})
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(found, _FOUND)], [*keep, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(text).schema)
     return rows.mapInArrow(run, f"{schema}, `{out}` {_FOUND_DDL}")
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents scored under the threshold, unchanged."""
-    return score(docs, fit(docs, labels), out="_toxicity").where(F.col("_toxicity.score") < threshold).select(*docs.columns)
+    out = unused("_toxicity", docs.columns)
+    return score(docs, fit(docs, labels), out=out).where(F.col(out)["score"] < threshold).select(*docs.columns)

@@ -96,6 +96,14 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that is not among those taken, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row past the last, bytes, offsets) of consecutive texts; a null text is an empty one."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
