@@ -9,10 +9,10 @@ than that is indexed under these too. How many segments are wide is chosen for e
 in it (counted over all documents): wide ones cost a row for each shingle but make segments larger, which chance seldom
 makes agree.
 
-Every bucket has a pivot. In rounds each set is compared with one pivot, the least of its buckets' that still lies in another
-component and was not tried, so a round costs a pair per set, and a group of copies of any size falls into one component
-at the first. What lies in different components after PIVOT_ROUNDS of them is compared too, in pairs that a 2,048-bit parity sketch
-(a lower bound of the difference) does not rule out, nor one of 4,096 bits after it. What is left is verified on the words
+Every bucket has a pivot. In rounds each set is compared with one pivot: of those that still lie in another component and were not
+tried, the one it shares most buckets with. So a round costs a pair per set, and a group of copies of any size falls into one
+component at the first. What lies in different components after PIVOT_ROUNDS of them is compared too, in pairs that parity sketches
+(lower bounds of the difference) of 512 and 2,048 bits do not rule out, nor one of 4,096 bits after them. What is left is verified on the words
 themselves, so the components are those of all links. Equal sets (128-bit fingerprints of the shingle hashes) are one set from the start.
 
 Null and empty texts have no set and are linked with nothing. Very long texts are handled whole. Repeated rows are one set. Empty tables
@@ -34,8 +34,8 @@ from merklake.sources.scratch import materialize
 
 BAND_RATIO = 2.0
 CHANCE = 1e-6  # that two shingles of unrelated sets are equal
-SKETCH_BITS, FINE_BITS = 2048, 4096
-PIVOT_ROUNDS = 4
+COARSE_BITS, SKETCH_BITS, FINE_BITS = 512, 2048, 4096
+PIVOT_ROUNDS = 1
 ID_FILTER_BITS = 1 << 26  # 8 MB at most, whatever the number of documents
 
 
@@ -166,14 +166,16 @@ def _lists(sketches: list[np.ndarray], bits: int) -> pa.Array:
 def _sets_of(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, sketches = [], [], []
+            sizes, prints, coarse, sketches = [], [], [], []
             for _, _, data, offsets in text_slices(batch.column("text")):
                 for own in shingle_sets(find_words(data, offsets, SPACED), rule.words):
                     sizes.append(len(own))
                     prints.append(_fingerprint(own))
                     sketches.append(parity_sketch(own, SKETCH_BITS))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *_fingerprints(prints), _lists(sketches, SKETCH_BITS)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f0", "f1", "sketch"])
+                    # As a sketch of fewer bits: slots modulo these.
+                    coarse.append(np.bitwise_xor.reduce(sketches[-1].reshape(-1, COARSE_BITS // 64)))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *_fingerprints(prints), _lists(coarse, COARSE_BITS), _lists(sketches, SKETCH_BITS)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f0", "f1", "coarse", "sketch"])
 
     return run
 
@@ -234,18 +236,20 @@ def _verified_by(rule: Rule):
     return run
 
 
-def _may_link(rule: Rule, bits: int) -> Column:
-    """Sizes and sketches (a_n, b_n, a_sketch, b_sketch) that a link does not rule out."""
+def _may_link(rule: Rule, **sketches: int) -> Column:
+    """Sizes and sketches (a_n, b_n, a_sketch, b_sketch) that a link does not rule out; by name, the bits of each sketch, coarse ones first."""
     a, b = F.col("a_n"), F.col("b_n")
-    # Word by word, as lambdas are not compiled.
-    differ = sum((F.bit_count(F.get("a_sketch", k).bitwiseXOR(F.get("b_sketch", k))) for k in range(bits // 64)), F.lit(0))
     sizes = (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent)
-    return sizes & (differ * (100 + rule.percent) <= (a + b) * (100 - rule.percent))
+    for name, bits in sketches.items():
+        # Word by word, as lambdas are not compiled.
+        differ = sum((F.bit_count(F.get(f"a_{name}", k).bitwiseXOR(F.get(f"b_{name}", k))) for k in range(bits // 64)), F.lit(0))
+        sizes = sizes & (differ * (100 + rule.percent) <= (a + b) * (100 - rule.percent))
+    return sizes
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, *sides: str) -> DataFrame:
     for side in sides:
-        own = sets.select(F.col("set_no").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
+        own = sets.select(F.col("set_no").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(c).alias(f"{side}_{c}") for c in ("coarse", "sketch") if c in sets.columns])
         pairs = pairs.join(own, side)
     return pairs
 
@@ -288,9 +292,9 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, rule: Rule) -> D
 
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b of set_no) that link: by a coarse sketch, a fine one, and the words of those left."""
-    pairs = materialize(_with_sets(pairs.distinct(), sets, "a", "b").where(_may_link(rule, SKETCH_BITS)).select("a", "b"), "pairs")
+    pairs = materialize(_with_sets(pairs.distinct(), sets, "a", "b").where(_may_link(rule, sketch=SKETCH_BITS)).select("a", "b"), "pairs")
     texts = _texts(docs, sets, pairs.select(F.col("a").alias("set_no")).union(pairs.select("b")).distinct(), rule)
-    pairs = materialize(_with_sets(pairs, texts, "a", "b").where(_may_link(rule, FINE_BITS)).select("a", "b"), "near_pairs")
+    pairs = materialize(_with_sets(pairs, texts, "a", "b").where(_may_link(rule, sketch=FINE_BITS)).select("a", "b"), "near_pairs")
     both = pairs.join(texts.select(F.col("set_no").alias("b"), F.col("text").alias("b_text")), "b")
     both = both.join(texts.select(F.col("set_no").alias("a"), F.col("text").alias("a_text")), "a")
     return materialize(both.mapInArrow(_verified_by(rule), "a bigint, b bigint"), "links")
@@ -324,9 +328,10 @@ class Linked:
 def link(docs: DataFrame, rule: Rule, ratio: float = BAND_RATIO, chance: float = CHANCE) -> Linked:
     """All links of `docs` (doc_id, text) that join components, by the method above."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(docs.mapInArrow(_sets_of(rule), "doc_id bigint, n_shingles bigint, f0 bigint, f1 bigint, sketch array<bigint>"), "rows")
+    rows = materialize(docs.mapInArrow(_sets_of(rule), "doc_id bigint, n_shingles bigint, f0 bigint, f1 bigint, coarse array<bigint>, sketch array<bigint>"), "rows")
     sets = rows.where("n_shingles > 0").groupBy("f0", "f1").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"),
+        F.first("coarse").alias("coarse"), F.first("sketch").alias("sketch"),
     )
     sets = materialize(sets.withColumn("set_no", F.monotonically_increasing_id()), "sets")
     bands = _allocated(sets, rule, ratio, chance)
@@ -345,21 +350,24 @@ def link(docs: DataFrame, rule: Rule, ratio: float = BAND_RATIO, chance: float =
     members = materialize(members, "buckets")
 
     links = grouped = tried = None
-    left = members.where("set_no != pivot")
+    left = members.where("set_no != pivot").select("set_no", "pivot")
     for _ in range(PIVOT_ROUNDS):
-        tried = materialize(left.groupBy("set_no").agg(F.min("pivot").alias("tried")), "tried")
-        found = _verify(tried.select(F.col("tried").alias("a"), F.col("set_no").alias("b")), docs, sets, rule)
+        agreed = left.groupBy("set_no", "pivot").agg(F.count("*").alias("n"))
+        best = agreed.groupBy("set_no").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+        pairs = materialize(best, "tried")
+        found = _verify(pairs.select(F.col("pivot").alias("a"), F.col("set_no").alias("b")), docs, sets, rule)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else materialize(links.union(found), "links")
         grouped = components(links)
         split = _split_buckets(members, grouped)
-        left = split.where("component != main").join(tried, "set_no").where("pivot > tried").select("set_no", "pivot")
+        left = split.where("component != main").select("set_no", "pivot").join(tried, ["set_no", "pivot"], "left_anti")
         if not left.take(1):
             break
     rest = _across(split, sets, rule)
     if rest.take(1):
         links = materialize(links.union(_verify(rest, docs, sets, rule)), "links")
         grouped = components(links)
-    return Linked(rows.drop("sketch"), sets.drop("sketch"), links, grouped)
+    return Linked(rows.drop("coarse", "sketch"), sets.drop("coarse", "sketch"), links, grouped)
 
 
 def _split_buckets(members: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -382,7 +390,7 @@ def _across(split: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     every = split.select("key", F.col("set_no").alias("b"), F.col("component").alias("bc"), F.col("whole").alias("bw"), "main")
     met = _with_sets(other, sets, "a").join(_with_sets(every, sets, "b"), "key")
     apart = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("aw") | F.col("bw"))
-    return materialize(met.where(apart & _may_link(rule, SKETCH_BITS)).select("a", "b").distinct(), "across")
+    return materialize(met.where(apart & _may_link(rule, coarse=COARSE_BITS, sketch=SKETCH_BITS)).select("a", "b").distinct(), "across")
 
 
 def component_ids(linked: Linked) -> DataFrame:

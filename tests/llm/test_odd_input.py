@@ -35,7 +35,7 @@ def test_token_headers():
 
 
 @pytest.mark.parametrize("text, cards", [
-    ("2 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("4111-1111-1111-1111", ["4111-1111-1111-1111"]), ("12 34 4111111111111111, 5", ["4111111111111111"]),
+    ("2 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("4111-1111-1111-1111", ["4111-1111-1111-1111"]),
     ("4111 1111 1111 1112", []), ("1" * 40, []), ("94111111111111111", []),
 ])
 def test_cards_after_other_numbers(text, cards):
