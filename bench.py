@@ -19,6 +19,7 @@ from merklake.queries.catalog import QUERIES  # noqa: E402
 HEADLINE = [
     "leaf_hash",
     "merkle_root",
+    "prefix_roots",
     "tiles_all",
     "hash_index_stats",
     "hash_lookup",
@@ -37,6 +38,8 @@ HEADLINE = [
     "completeness_gaps",
     "validate_copy",
     "migrate_logs",
+    "migrate_grown",
+    "compare_by_descent",
     "object_sink_roundtrip",
 ]
 

@@ -713,8 +713,8 @@ def diff_counts(spark, sf_dir):
 
 @query
 def compare_proofs(spark, sf_dir):
-    """Proofs of all leaves of log 2 and of a copy with changed values, one proof in 50 taken away."""
-    leaves = logs.documents_log(spark, sf_dir)
+    """Proofs of all leaves of both logs and of a copy with changed values, one proof in 50 taken away."""
+    leaves = logs.both_logs(spark, sf_dir)
 
     def every(df):
         tree = merkle.build_tree(logs.with_leaf_hash(df))
@@ -875,6 +875,23 @@ def grown_entries(spark, sf_dir):
     return _flat(answer(inputs.by_index(spark, sf_dir), "entry_and_proof", served))
 
 
+def _stored(spark, leaves: DataFrame) -> store.StoredTables:
+    roots = merkle.build_tree(logs.with_leaf_hash(leaves)).roots()
+    sources = materialize(roots.select("*", F.lit(1).cast("bigint").alias("timestamp_nanos"), F.lit(-1).cast("bigint").alias("finish")), "sources")
+    location = new_location(spark, "store")
+    migrate.migrate(leaves, sources, location)
+    return store.read_stored(spark, location)
+
+
+@query
+def compare_by_descent(spark, sf_dir):
+    """Two stores compared from parts down to leaves: what a changed copy differs in, with only differing bundles opened."""
+    leaves = logs.both_logs(spark, sf_dir)
+    long = leaves.where(F.length("leaf_value") > MAX_ENTRY_BYTES).select("log_id").distinct()
+    fit = leaves.join(materialize(long, "long"), "log_id", "left_anti")
+    return validate.compare_stored(_stored(spark, fit), _stored(spark, inputs.changed_copy(fit)))
+
+
 @query
 def object_sink_roundtrip(spark, sf_dir):
     """Migrated store exported as objects and read back by computed names: every leaf, from bytes."""

@@ -95,3 +95,16 @@ def value_faults(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn(
         "leaf_value", F.when(changed, F.concat("leaf_value", F.lit(bytearray(b"!")))).otherwise(F.col("leaf_value"))
     )
+
+
+def changed_copy(leaves: DataFrame) -> DataFrame:
+    """A copy that is a whole log too: values and times changed here and there, and shorter by three leaves."""
+    index = F.col("leaf_index")
+    last = leaves.groupBy("log_id").agg((F.max("leaf_index") - 3).alias("_last"))
+    changed = value_faults(leaves).withColumns(
+        {
+            "queue_ts_nanos": F.when(index % 1013 == 7, F.col("queue_ts_nanos") + 1).otherwise(F.col("queue_ts_nanos")),
+            "integrate_ts_nanos": F.when(index % 1019 == 3, F.col("integrate_ts_nanos") - 1).otherwise(F.col("integrate_ts_nanos")),
+        }
+    )
+    return changed.join(F.broadcast(last), "log_id").where(index <= F.col("_last")).drop("_last")  # a row per log, of which there are two

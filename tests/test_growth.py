@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from merklake.operators import hashindex
+from merklake.operators import compare, hashindex
 from merklake.plans import migrate, store, validate
 from merklake.plans.answer import answer
 from merklake.schemas import REQUESTS
@@ -138,3 +138,30 @@ def test_stopped_writes_leave_the_published_copy(spark, leaves, brutes, monkeypa
     assert differences(spark, leaves, location, {1: 600}) == []
 
 
+
+
+def test_descent_opens_differing_bundles_only(spark, leaves, brutes):
+    """Differences as compare_leaves() finds them; values of bundles that are equal are never read."""
+    mine = leaves.where("log_id in (1, 2)")
+    copy = mine.withColumn("leaf_value", F.when((F.col("log_id") == 1) & (F.col("leaf_index") == 300), F.lit(bytearray(b"x"))).otherwise(F.col("leaf_value")))
+    copy = copy.withColumn("queue_ts_nanos", F.when((F.col("log_id") == 2) & (F.col("leaf_index") == 520), 5).otherwise(F.col("queue_ts_nanos")))
+    copy = materialize(copy.where("log_id = 1 or leaf_index < 599"), "copy")
+    hashes = {1: [*brutes[1].hashes], 2: brutes[2].hashes[:599]}
+    hashes[1][300] = leaf(b"x")
+
+    def stored(df, roots):
+        location = new_location(spark, "store")
+        rows = [(log, n, bytearray(root), 7, -1) for log, (n, root) in roots.items()]
+        done = migrate.migrate(df, spark.createDataFrame(rows, "log_id long, tree_size long, root_hash binary, timestamp_nanos long, finish long"), location)
+        assert done.findings.count() == 0
+        tables = store.read_stored(spark, location)
+        equal = ((F.col("log_id") == 1) & (F.col("bundle_index") != 1)) | ((F.col("log_id") == 2) & (F.col("bundle_index") != 2))
+        unread = F.when(equal, F.raise_error(F.lit("an equal bundle was opened"))).otherwise(F.col("bytes"))
+        return store.StoredTables(tables.checkpoints, tables.bundles.withColumn("bytes", unread.cast("binary")), tables.tiles, tables.paths, tables.index)
+
+    left = stored(mine, {log: (600, brutes[log].root(0, 600)) for log in (1, 2)})
+    right = stored(copy, {log: (len(h), Brute(h).root(0, len(h))) for log, h in hashes.items()})
+    got = {tuple(r) for r in validate.compare_stored(left, right).collect()}
+    assert {(r[0], r[1], r[2]) for r in got} == {(1, 300, "leaf_value"), (1, 300, "merkle_leaf_hash"), (2, 520, "queue_ts_nanos"), (2, 599, "presence")}
+    assert got == {tuple(r) for r in compare.compare_leaves(mine, copy).collect()}
+    assert validate.differing_bundles(left, left).count() == 0
