@@ -35,7 +35,7 @@ from merklake.sources.scratch import materialize
 BAND_RATIO = 2.0
 CHANCE = 1e-6  # that two shingles of unrelated sets are equal
 COARSE_BITS, SKETCH_BITS, FINE_BITS = 512, 2048, 4096
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS = 2
 ID_FILTER_BITS = 1 << 26  # 8 MB at most, whatever the number of documents
 
 
