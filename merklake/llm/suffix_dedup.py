@@ -10,12 +10,13 @@ context, the bytes of all windows that chose it:
 2. Of the rest, each distinct context and its smallest doc_id. A sample string with one context is settled: all its windows have
    that first document.
 3. Contexts of a string that has several overlap in part: their windows are compared, and each gets its first document.
-4. Every occurrence takes the first documents of its windows from its context; windows that have an earlier one are removed.
+4. Contexts that no document later than their first ones has drop out. Of the others, every occurrence takes the first documents
+   of its windows; windows that have an earlier one are removed.
 
 Steps are Spark aggregations and joins by content, whose sorts spill to disk, so nothing need fit into a task but one text and
 `group_rows` contexts of one sample string; strings with more have their windows aggregated by Spark (step 3). Sums are taken
-before each shuffle, so a passage in a third of all documents is one row a task. Sample strings that drop out in step 1 are kept
-from later steps by a bitmap of bounded size (16 MB), which only saves work. README says how this differs from sorting suffixes.
+before each shuffle, so a passage in a third of all documents is one row a task. Sample strings and contexts that drop out in
+steps 1 and 4 are kept from later ones by bitmaps of bounded size (16 MB each), which only save work. README says how this differs from sorting suffixes.
 
 Null and empty texts and those shorter than `span` stay whole. Rows of a null doc_id stay whole and are no one's earlier
 document. Rows of one doc_id are never earlier than each other, whether they repeat or not.
@@ -135,19 +136,25 @@ def _contexts(span: int, sample: int, shared):
     return run
 
 
-def _occurrences(span: int, sample: int, shared):
+def _occurrences(span: int, sample: int, shared, useful=None):
+    """Every flagged sample; with `useful`, those only whose context is flagged there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             for row, _, data, offsets in text_slices(batch.column("text")):
                 found = Samples(data, offsets, span, sample)
                 which = _flagged(found.string, flags)
+                hashes = context_hashes(data, found.first[which], found.last[which] + span)
+                if useful is not None:
+                    kept = _flagged(hashes, np.frombuffer(useful.value, dtype=np.uint8))
+                    which, hashes = which[kept], hashes[kept]
                 start, end = found.first[which], found.last[which] + 1
                 text = found.text[which]
                 docs = batch.column("doc_id").take(pa.array(row + text))
                 prints = text_prints(data, offsets)[text]
                 columns = [
-                    _signed(found.string[which]), _signed(context_hashes(data, start, end + span - 1)), docs, pa.array(prints),
+                    _signed(found.string[which]), _signed(hashes), docs, pa.array(prints),
                     pa.array(start - offsets[text]), pa.array((end - start).astype(np.int32)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["string", "hash", "doc_id", "print", "start", "n"])
@@ -163,7 +170,7 @@ def text_prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _settle(span: int):
     """First document of every window of the contexts of each sample string; strings come together and in order."""
 
-    def settled(rows: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    def settled(rows: list[tuple[int, int, bytes, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
         starts = np.cumsum([0] + [len(r[2]) for r in rows])
         data = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8)
         sizes = np.diff(starts) - span + 1
@@ -176,17 +183,19 @@ def _settle(span: int):
         least = np.empty(len(order), dtype=np.int64)
         least[order] = first[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
         for r, a, n in zip(rows, (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
-            yield r[0], r[1], least[a : a + n].tolist()
+            if least[a : a + n].min() < r[4]:
+                yield r[0], r[1], least[a : a + n].tolist()
 
     def batch_of(rows: list) -> pa.RecordBatch:
-        columns = zip(*settled(rows), strict=True)
+        found = list(settled(rows))
+        columns = ([r[i] for r in found] for i in range(3))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["string", "hash", "firsts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, int]] = []
+        held: list[tuple[int, int, bytes, int, int]] = []
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("string", "hash", "context", "first")), strict=True)
+            held += zip(*(batch.column(c).to_pylist() for c in ("string", "hash", "context", "first", "last")), strict=True)
             cut = len(held)
             while cut and held[cut - 1][0] == held[-1][0]:
                 cut -= 1
@@ -214,15 +223,19 @@ _FIRSTS = "string bigint, hash bigint, firsts array<bigint>"
 
 
 def _first_documents(sized: DataFrame, contexts: DataFrame, span: int, group_rows: int) -> DataFrame:
-    """string, hash, firsts: the first document of each window of every context; of all windows where there is but one.
+    """string, hash, firsts: the first document of each window of every context that a later document has too; of all windows
+    where there is but one.
 
-    sized: string, hash, first, n (contexts of the string); contexts: string, hash, context of strings with several, or more.
+    sized: string, hash, first, last (documents), n (contexts of the string); contexts: string, hash, context of strings with
+    several, or more. A context alone in its string and in one document has nothing to remove.
     """
-    alone = sized.where("n = 1").select("string", "hash", F.array("first").alias("firsts"))
+    alone = sized.where("n = 1 and first < last").select("string", "hash", F.array("first").alias("firsts"))
     several = contexts.join(sized.where("n > 1"), ["string", "hash"])
-    several = several.groupBy("string", "hash").agg(F.first("context").alias("context"), F.min("first").alias("first"), F.min("n").alias("n"))
+    several = several.groupBy("string", "hash").agg(
+        F.first("context").alias("context"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("n").alias("n")
+    )
     several = materialize(several, "several_contexts")
-    some = several.where(F.col("n") <= group_rows).select("string", "hash", "context", "first")
+    some = several.where(F.col("n") <= group_rows).select("string", "hash", "context", "first", "last")
     some = some.repartition("string").sortWithinPartitions("string").mapInArrow(_settle(span), _FIRSTS)
     windows = several.where(F.col("n") > group_rows).select("string", "hash", "context", "first")
     windows = windows.mapInArrow(_windows(span), "string bigint, hash bigint, first bigint, i int, window bigint")
@@ -231,9 +244,9 @@ def _first_documents(sized: DataFrame, contexts: DataFrame, span: int, group_row
     return alone.union(some).union(many.select("string", "hash", F.transform("w", lambda w: w["least"]).alias("firsts")))
 
 
-def _bitmap(shared: DataFrame) -> bytes:
-    """The upper 27 bits of the sample strings, as a bitmap of 16 MB whatever their number."""
-    slot = F.shiftrightunsigned("string", 37)
+def _bitmap(shared: DataFrame, hashed: str = "string") -> bytes:
+    """The upper 27 bits of the hashes in a column, as a bitmap of 16 MB whatever their number."""
+    slot = F.shiftrightunsigned(hashed, 37)
     parts = shared.select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit")).groupBy("part").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
     out = bytearray(FILTER_BITS // 8)
     for r in parts.toLocalIterator():
@@ -248,19 +261,23 @@ def find_repeats(docs: DataFrame, span: int = SPAN, sample: int = SAMPLE, group_
     strings = strings.groupBy("string").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("string")
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(materialize(strings, "shared_strings")))
     seen = texts.mapInArrow(_occurrences(span, sample, shared), "string bigint, hash bigint, doc_id bigint, print int, start bigint, n int")
-    first = materialize(seen.groupBy("string", "hash").agg(F.min("doc_id").alias("first")), "contexts")
+    first = seen.groupBy("string", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     sized = materialize(first.join(first.groupBy("string").agg(F.count("*").alias("n")), "string"), "sized_contexts")
     several = docs.sparkSession.sparkContext.broadcast(_bitmap(sized.where("n > 1")))
     contexts = texts.mapInArrow(_contexts(span, sample, several), "string bigint, hash bigint, context binary")
     firsts = materialize(_first_documents(sized, contexts, span, group_rows), "first_documents")
+    # Only occurrences in a context that some document can lose are sent to it.
+    useful = docs.sparkSession.sparkContext.broadcast(_bitmap(firsts, "hash"))
+    seen = texts.mapInArrow(_occurrences(span, sample, shared, useful), "string bigint, hash bigint, doc_id bigint, print int, start bigint, n int")
     met = seen.join(firsts, ["string", "hash"]).where(F.array_min("firsts") < F.col("doc_id"))
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") - 1 + span).alias("end")))
     earlier = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("firsts", i) < F.col("doc_id"))
     runs = F.when(F.array_max("firsts") < F.col("doc_id"), whole).otherwise(
         F.transform(earlier, lambda i: F.struct((F.col("start") + i).alias("start"), (F.col("start") + i + span).alias("end")))
     )
-    met = materialize(met.select("doc_id", "print", runs.alias("runs")), "repeats")
-    return met.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # A row that repeats has the same runs again; a set holds them once.
+    runs = met.select("doc_id", "print", runs.alias("runs"))
+    return runs.groupBy("doc_id", "print").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
