@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from merklake.constants import PREFIX_HEX, SUFFIX_BYTES
 from merklake.functions import digests
-from merklake.operators.joins import HOT_ROWS, lookup_join, small_join
+from merklake.operators.joins import HOT_ROWS, lookup_join, match_join, small_join
 from merklake.schemas import STORED_INDEX
 
 KEYS = ["log_id", "prefix", "suffix"]
@@ -55,16 +55,30 @@ def split_key(requests: DataFrame, digest: Column) -> DataFrame:
     return requests.withColumn("prefix", digests.prefix(digest)).withColumn("suffix", digests.suffix(digest))
 
 
-def lookup(requests: DataFrame, index: DataFrame, digest: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add `found_index` to requests (request_id, log_id, …); null where the hash is not in the log."""
+def _keyed(requests: DataFrame, index: DataFrame, digest: Column) -> tuple[DataFrame, list[str]]:
+    """Requests with the index's key columns, and the names of these."""
     keyed = split_key(requests, digest)
-    keys = list(KEYS)
-    if "prefix_dir" in index.columns:
-        # The directory is part of the key, so the scan reads only directories asked for.
-        keyed = keyed.withColumn("prefix_dir", F.substring("prefix", 1, DIRECTORY_DIGITS))
-        keys.append("prefix_dir")
+    if "prefix_dir" not in index.columns:
+        return keyed, list(KEYS)
+    # The directory is part of the key, so the scan reads only directories asked for.
+    return keyed.withColumn("prefix_dir", F.substring("prefix", 1, DIRECTORY_DIGITS)), [*KEYS, "prefix_dir"]
+
+
+def matches(requests: DataFrame, index: DataFrame, digest: Column, hot_pairs: int = HOT_ROWS) -> DataFrame:
+    """Requests, once for each leaf of the log that has the hash, with its `match_index`."""
+    keyed, keys = _keyed(requests, index, digest)
+    found = index.select(*keys, F.col("leaf_index").alias("match_index"))
+    return match_join(keyed, found, keys, F.col("request_id"), F.col("match_index"), hot_pairs).drop("prefix", "suffix", "prefix_dir")
+
+
+def lookup(requests: DataFrame, index: DataFrame, digest: Column, hot_rows: int = HOT_ROWS, copies: bool = False) -> DataFrame:
+    """Add `found_index` to requests (request_id, log_id, …); null where the hash is not in the log. With `copies`, also
+    `found_copies`, the number of leaves that have the hash."""
+    keyed, keys = _keyed(requests, index, digest)
 
     def answers(wanted: DataFrame) -> DataFrame:
+        if copies:
+            return wanted.groupBy(*keys).agg(F.min("leaf_index").alias("found_index"), F.count("*").alias("found_copies"))
         return smallest(wanted).withColumnRenamed("leaf_index", "found_index")
 
     return lookup_join(keyed, index, keys, hot_rows=hot_rows, prepare=answers).drop("prefix", "suffix", "prefix_dir")

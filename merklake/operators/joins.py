@@ -119,6 +119,37 @@ def split_join(
     return dealt.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_piece"], "left").drop("_piece")
 
 
+def match_join(many: DataFrame, other: DataFrame, on: list[str], spread: Column, other_spread: Column, hot_pairs: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which a key may have any number of rows on both sides.
+
+    Pairs are counted per key first. A key with more than `hot_pairs`, and more than a task's fair share of all pairs, becomes a grid: rows
+    of `many` are dealt over its lines and those of `other` over its columns, by `spread` and `other_spread`, and each row is repeated along
+    the other direction. So a cell has about `hot_pairs` pairs, whichever side is large, and rows are repeated far less often than they
+    have partners. Other keys are joined as they are. There are fewer hot keys than partitions, so their table is small.
+    """
+    wanted = wanted_keys(many, on)
+    other = keep_wanted(other, wanted, on)
+    partners = other.groupBy(*on).agg(F.count("*").alias("_partners"))
+    pairs = F.col("_rows").cast("double") * F.col("_partners")
+    counts = materialize(wanted.keys.join(partners, on).withColumn("_pairs", pairs), "pairs")
+    stats = counts.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0)).alias("n"), F.coalesce(F.max("_pairs"), F.lit(0.0)).alias("most")).first()
+    fair = max(float(hot_pairs), stats["n"] / _partitions(many))
+    if stats["most"] <= fair:
+        return many.join(other, on)
+    cells = F.ceil(F.col("_pairs") / fair)
+    lines = F.least(F.greatest(F.ceil(F.sqrt(cells * F.col("_rows") / F.col("_partners"))), F.lit(1)), cells)
+    hot = counts.where(F.col("_pairs") > fair).select(*on, lines.alias("_lines"), cells.alias("_cells"))
+    hot = F.broadcast(hot.select(*on, "_lines", F.ceil(F.col("_cells") / F.col("_lines")).alias("_columns")))
+
+    def dealt(rows: DataFrame, own: str, along: str, by: Column) -> DataFrame:
+        marked = rows.join(hot, on, "left").withColumns({c: F.coalesce(F.col(c), F.lit(1)).cast("bigint") for c in ("_lines", "_columns")})
+        marked = marked.withColumn(f"_{own}", F.pmod(F.xxhash64(by), F.col(f"_{own}s")))
+        return marked.withColumn(f"_{along}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{along}s") - 1))).drop("_lines", "_columns")
+
+    left, right = dealt(many, "line", "column", spread), dealt(other, "column", "line", other_spread)
+    return left.join(right, [*on, "_line", "_column"]).drop("_line", "_column")
+
+
 def _row_hash(rows: DataFrame) -> Column:
     if "request_id" in rows.columns:
         return F.col("request_id")

@@ -242,6 +242,21 @@ def _fold_left(nodes: Column) -> Column:
     return F.aggregate(nodes, F.lit(None).cast("binary"), step)
 
 
+def _left_within(slot: Column) -> Column:
+    """Perfect subtrees of a tile to the left of a slot, the smallest first."""
+
+    def node(k: Column) -> Column:
+        position = F.call_function("shiftright", slot, k)
+        return F.when(position % 2 == 1, F.get(F.element_at("levels", k + 1), position - 1))
+
+    return F.array_compact(F.transform(F.array(*[F.lit(k) for k in range(TILE_HEIGHT)]), node))
+
+
+def _left_above() -> Column:
+    """Perfect subtrees to the left of a whole tile, the smallest first."""
+    return F.transform(F.filter("upper", lambda s: _is_set(F.col("tile_index"), s["level"] - TILE_HEIGHT)), lambda s: s["sib"])
+
+
 def prefix_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(log_id, tree_size, root_hash) of every size from 1 to each log's own, straight from the tiles, without a join.
 
@@ -251,27 +266,65 @@ def prefix_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
     logs, which no leaf follows. A size whose tile is not whole has a null root.
     """
 
-    def left_of(slot: Column) -> Column:
-        def node(k: Column) -> Column:
-            position = F.call_function("shiftright", slot, k)
-            return F.when(position % 2 == 1, F.get(F.element_at("levels", k + 1), position - 1))
-
-        return F.array_compact(F.transform(F.array(*[F.lit(k) for k in range(TILE_HEIGHT)]), node))
-
-    above = F.transform(F.filter("upper", lambda s: _is_set(F.col("tile_index"), s["level"] - TILE_HEIGHT)), lambda s: s["sib"])
     whole = F.col("levels").isNotNull() & F.col("upper").isNotNull()
 
     def sizes(shared: Column) -> Column:
         def size(slot: Column) -> Column:
-            root = F.when(whole, _fold_left(F.concat(left_of(slot), shared)))
+            root = F.when(whole, _fold_left(F.concat(_left_within(slot), shared)))
             return F.struct(leaf_index(F.col("tile_index"), slot).alias("tree_size"), root.alias("root_hash"))
 
         return F.transform(F.sequence(F.lit(0), F.col("width") - 1), size)
 
-    within = paths.select("log_id", F.explode(let(above, sizes)).alias("at")).select("log_id", "at.*").where("tree_size > 0")
+    within = paths.select("log_id", F.explode(let(_left_above(), sizes)).alias("at")).select("log_id", "at.*").where("tree_size > 0")
     return within.unionByName(roots.where("tree_size > 0").select("log_id", "tree_size", "root_hash"))
 
 
+def adjacent_consistency(paths: DataFrame) -> DataFrame:
+    """(log_id, first_tree_size, second_tree_size, hashes): a proof from every size n to n + 1, straight from the tiles, without a join.
+
+    The tree of n leaves is the fold of its perfect subtrees, and the next one only adds leaf n to the right of the smallest. So a proof
+    is that subtree, the leaf, and the other subtrees; or the leaf alone where n is a power of two and so the old root is known.
+    There are as many proofs as leaves, not pairs of sizes, and as a chain they lead from any size to any other. The proof of a
+    tile that is not whole has null hashes.
+    """
+    whole = F.col("levels").isNotNull() & F.col("upper").isNotNull()
+
+    def proved(shared: Column) -> Column:
+        def at(slot: Column) -> Column:
+            leaf = F.array(F.get(F.element_at("levels", 1), slot))
+
+            def around(nodes: Column) -> Column:
+                rest = F.slice(nodes, F.lit(2), F.greatest(F.size(nodes) - 1, F.lit(0)))
+                return F.when(F.size(nodes) == 1, leaf).otherwise(F.concat(F.slice(nodes, 1, 1), leaf, rest))
+
+            size = leaf_index(F.col("tile_index"), slot)
+            hashes = F.when(whole, let(F.concat(_left_within(slot), shared), around))
+            return F.struct(size.alias("first_tree_size"), (size + 1).alias("second_tree_size"), hashes.alias("hashes"))
+
+        return F.transform(F.sequence(F.lit(0), F.col("width") - 1), at)
+
+    each = paths.select("log_id", F.explode(let(_left_above(), proved)).alias("at"))
+    return each.select("log_id", "at.*").where("first_tree_size > 0")
+
+
+def verify_adjacent(proved: DataFrame, known: DataFrame) -> DataFrame:
+    """Add `first_ok` and `second_ok` to adjacent proofs: whether they lead to the known roots (log_id, tree_size, root_hash) of both sizes.
+
+    Sizes of a log are joined once each, so no key is hot. A root that is not known, or a proof that is not there, is not ok.
+    """
+    roots = known.select("log_id", F.col("tree_size").alias("first_tree_size"), F.col("root_hash").alias("_first"))
+    # One join key for both roots: a root travels with the proof from its size, and with the one to it.
+    nexts = known.select("log_id", (F.col("tree_size") - 1).alias("first_tree_size"), F.col("root_hash").alias("_second"))
+    rows = proved.join(roots, ["log_id", "first_tree_size"], "left").join(nexts, ["log_id", "first_tree_size"], "left")
+    led = roots_from_consistency(F.col("first_tree_size"), F.col("second_tree_size"), F.col("_first"), F.col("hashes"))
+    checked = rows.withColumn("_led", led)
+    return checked.select(
+        *proved.columns,
+        F.coalesce(F.col("_led.first_root") == F.col("_first"), F.lit(False)).alias("first_ok"),
+        F.coalesce(F.col("_led.second_root") == F.col("_second"), F.lit(False)).alias("second_ok"),
+    )
+
+
 def roots_at(sizes: DataFrame, paths: DataFrame, roots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add `root_hash` to rows (log_id, tree_size); null where the log never had that size or the tile needed is missing."""
     size = F.col("tree_size")

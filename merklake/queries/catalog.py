@@ -377,6 +377,31 @@ def prefix_roots(spark, sf_dir):
     return every.select("log_id", "tree_size", hex_lower(F.col("root_hash")).alias("root_hash"))
 
 
+@query
+def adjacent_consistency(spark, sf_dir):
+    """A consistency proof from every size of both logs to the next, each verified against the roots of both sizes."""
+    tree = merkle.build_tree(_hashed(spark, sf_dir))
+    known = proofs.prefix_roots(tree.paths(), tree.roots())
+    verified = proofs.verify_adjacent(proofs.adjacent_consistency(tree.paths()), known)
+    return verified.withColumn("hashes", _hex_list(F.col("hashes")))
+
+
+@query
+def adjacent_consistency_faults(spark, sf_dir):
+    """Adjacent proofs of both logs against the roots of a copy with changed values: how many sizes fail, from which on.
+
+    A proof from a power of two builds on the old root it is given, so there it shows the added leaf alone, which the copy has too.
+    """
+    leaves = logs.both_logs(spark, sf_dir)
+    tree = merkle.build_tree(logs.with_leaf_hash(leaves))
+    copy = merkle.build_tree(logs.with_leaf_hash(inputs.value_faults(leaves)))
+    verified = proofs.verify_adjacent(proofs.adjacent_consistency(tree.paths()), proofs.prefix_roots(copy.paths(), copy.roots()))
+    failed = F.array_compact(F.array(F.when(~F.col("first_ok"), "FIRST_ROOT_DIFFERS"), F.when(~F.col("second_ok"), "SECOND_ROOT_DIFFERS")))
+    return verified.select("log_id", "first_tree_size", F.explode(failed).alias("error_code")).groupBy("log_id", "error_code").agg(
+        F.count("*").alias("sizes"), F.min("first_tree_size").alias("first_size")
+    )
+
+
 @query
 def prefix_root_lookup(spark, sf_dir):
     """Roots of the sizes that requests ask for; sizes no log had, and unknown logs, have none."""
@@ -544,6 +569,12 @@ def inclusion_proof_by_hash(spark, sf_dir):
     return _answered(spark, sf_dir, "inclusion_proof_by_hash", inputs.by_hash(spark, sf_dir), ("paths", "index"))
 
 
+@query
+def inclusion_proofs_all_matches(spark, sf_dir):
+    """A proof of every leaf that has the hash asked for, not of the first alone."""
+    return _answered(spark, sf_dir, "inclusion_proof_by_hash", inputs.by_hash(spark, sf_dir), ("paths", "index"), all_matches=True)
+
+
 @query
 def consistency_proof(spark, sf_dir):
     return _answered(spark, sf_dir, "consistency_proof", inputs.consistency(spark, sf_dir), ("paths",))
