@@ -37,7 +37,7 @@ SPAN, SAMPLE = 50, 20
 GROUP_ROWS = 100_000
 FILTER_BITS = 1 << 27
 _PLACE_BITS = 24
-_PIECE = 1 << 22  # longer texts are sampled in pieces
+_PIECE = 1 << 20  # longer texts are sampled in pieces
 _REMEMBERED = 300_000
 
 
@@ -262,7 +262,10 @@ def find_repeats(docs: DataFrame, span: int = SPAN, sample: int = SAMPLE, group_
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(materialize(strings, "shared_strings")))
     seen = texts.mapInArrow(_occurrences(span, sample, shared), "string bigint, hash bigint, doc_id bigint, print int, start bigint, n int")
     first = seen.groupBy("string", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    sized = materialize(first.join(first.groupBy("string").agg(F.count("*").alias("n")), "string"), "sized_contexts")
+    # Both sides of the join read the same columns of `first`, so they share its shuffle. A string of one document, let through by
+    # the bitmap, has no match.
+    strings = first.groupBy("string").agg(F.count("*").alias("n"), F.min("first").alias("least"), F.max("last").alias("most"))
+    sized = materialize(first.join(strings.where("least < most").select("string", "n"), "string"), "sized_contexts")
     several = docs.sparkSession.sparkContext.broadcast(_bitmap(sized.where("n > 1")))
     contexts = texts.mapInArrow(_contexts(span, sample, several), "string bigint, hash bigint, context binary")
     firsts = materialize(_first_documents(sized, contexts, span, group_rows), "first_documents")
