@@ -1,5 +1,7 @@
 """All registered queries: name to (spark, sf_dir) -> DataFrame."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from merklake.queries import inputs
 from merklake.schemas import LEAVES, REQUESTS
 from merklake.sources import logs, objects, registry
 from merklake.sources.scratch import materialize, new_location
+from merklake.streaming import arrivals
 
 QUERIES = {}
 
@@ -742,6 +745,24 @@ def diff_counts(spark, sf_dir):
     return compare.difference_counts(compare.compare_leaves(leaves, inputs.faulty_copy(leaves)))
 
 
+@query
+def growing_completeness(spark, sf_dir):
+    """Both logs as a stream: progress when some leaves are late, when these have come too, and after a start without news."""
+    leaves = logs.both_logs(spark, sf_dir).select("log_id", "leaf_index")
+    source, seen, place = (new_location(spark, name) for name in ("arrivals", "arrived", "arrivals_place"))
+    expected = materialize(checks.completeness(leaves).select("log_id", "tree_size"), "expected")
+    late = F.col("leaf_index") % 1009 == 1000
+    steps = []
+    for step, come in enumerate([leaves.where(~late), leaves.where(late), None]):
+        if come is not None:
+            come.write.mode("append").parquet(source)
+        arrivals.watch(spark.readStream.schema(leaves.schema).parquet(source), seen, place)
+        # Written out, as the next step adds to what it reads.
+        now = materialize(arrivals.progress(spark, seen, expected), "progress")
+        steps.append(now.select(F.lit(step).alias("step"), *now.columns))
+    return reduce(DataFrame.unionByName, steps)
+
+
 @query
 def compare_proofs(spark, sf_dir):
     """Proofs of all leaves of both logs and of a copy with changed values, one proof in 50 taken away."""
