@@ -30,31 +30,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merklake.llm.jaccard import split_by_id
-from merklake.llm.words import _MIX, _powers, mixed, text_slices
+from merklake.llm.words import _BASE, _MIX, _powers, mixed, text_slices
 from merklake.sources.scratch import materialize
 
 SPAN, SAMPLE = 50, 20
 GROUP_ROWS = 100_000
 FILTER_BITS = 1 << 27
 _PLACE_BITS = 24
-_PIECE = 1 << 20  # longer texts are sampled in pieces
+_PIECE = 1 << 18  # longer texts are sampled and hashed in pieces
 _REMEMBERED = 300_000
 
 
 class Samples:
-    """Sampled suffixes of some texts: which text, the first and last window that chose it, hash of the sample string."""
+    """Sampled suffixes of some texts: which text, the first and last window that chose it, hashes of the sample string and the context."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, span: int, sample: int):
         self.data, self.offsets, self.span = data, offsets, span
         found = [self._piece(at, min(at + _PIECE + span - 1, len(data)), sample) for at in range(0, max(1, len(data) - span + 1), _PIECE)]
-        self.first, self.last, self.string = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.first, self.last, self.string, self.context = (np.concatenate(x) for x in zip(*found, strict=True))
         self.text = np.searchsorted(offsets, self.first, side="right") - 1
 
-    def _piece(self, begin: int, end: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _piece(self, begin: int, end: int, k: int) -> tuple[np.ndarray, ...]:
         data, span = self.data[begin:end], self.span
+        none = (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
         if len(data) < span:
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-        hashes, low = window_hashes(data, k), np.uint64((1 << _PLACE_BITS) - 1)
+            return none
+        sums, down = _sums(data)
+        hashes, low = _hashes_of_windows(sums, down, k), np.uint64((1 << _PLACE_BITS) - 1)
         least, size, windows = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1, span - k + 1
         while 2 * size <= windows:
             least, size = np.minimum(least[:-size], least[size:]), 2 * size
@@ -65,12 +67,12 @@ class Samples:
         ends = self.offsets[np.searchsorted(self.offsets, np.arange(begin, begin + len(chosen)), side="right")] if len(self.offsets) > 2 else self.offsets[-1]
         window = np.flatnonzero(np.arange(begin, begin + len(chosen)) + span <= ends)
         if not len(window):
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+            return none
         new = np.ones(len(window), dtype=bool)
         new[1:] = (np.diff(chosen[window]) != 0) | (np.diff(window) != 1)
         at = np.flatnonzero(new)
         first, last = window[at], window[np.append(at[1:], len(window)) - 1]
-        return first + begin, last + begin, hashes[chosen[first]]
+        return first + begin, last + begin, hashes[chosen[first]], _hashes_between(sums, down, first, last + span)
 
     def bytes_of(self, which: np.ndarray) -> list[bytes]:
         """Bytes of all windows of the chosen samples."""
@@ -79,23 +81,33 @@ class Samples:
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(12, len(data).bit_length()))
+    up, down = _powers(max(2 * _PIECE, 1 << len(data).bit_length()))  # one table for all pieces
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_MIX[data] * up[: len(data)], out=sums[1:])
     return sums, down
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    sums, down = _sums(data)
-    count = len(data) - size + 1
+def _hashes_of_windows(sums: np.ndarray, down: np.ndarray, size: int) -> np.ndarray:
+    count = len(sums) - size
     return mixed((sums[size:] - sums[:count]) * down[:count])
 
 
-def context_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums, down = _sums(data)
+def _hashes_between(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64))
 
 
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    return _hashes_of_windows(*_sums(data), size)
+
+
+def _whole_hash(data: np.ndarray) -> int:
+    """As between the ends of `data`, a piece at a time."""
+    up, _ = _powers(2 * _PIECE)
+    pieces = [(at, data[at : at + _PIECE]) for at in range(0, len(data), _PIECE)]
+    total = sum(int((_MIX[piece] * up[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64) for at, piece in pieces)
+    return int(mixed(np.array([total % (1 << 64) ^ len(data)], dtype=np.uint64))[0])
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -103,7 +115,7 @@ def _signed(values: np.ndarray) -> pa.Array:
 def _strings(span: int, sample: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, data, offsets in text_slices(batch.column("text")):
+            for row, _, data, offsets in text_slices(batch.column("text"), _PIECE):
                 found = Samples(data, offsets, span, sample)
                 docs = batch.column("doc_id").take(pa.array(row + found.text))
                 yield pa.RecordBatch.from_arrays([_signed(found.string), docs], ["string", "doc_id"])
@@ -122,10 +134,10 @@ def _contexts(span: int, sample: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, known = np.frombuffer(shared.value, dtype=np.uint8), set()
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in text_slices(batch.column("text"), _PIECE):
                 found = Samples(data, offsets, span, sample)
                 which = _flagged(found.string, flags)
-                hashes = context_hashes(data, found.first[which], found.last[which] + span)
+                hashes = found.context[which]
                 fresh = np.unique(hashes, return_index=True)[1]
                 fresh = fresh[[h not in known for h in hashes[fresh].tolist()]] if len(fresh) else fresh
                 known = known if len(known) < _REMEMBERED else set()
@@ -136,26 +148,38 @@ def _contexts(span: int, sample: int, shared):
     return run
 
 
-def _occurrences(span: int, sample: int, shared, useful=None):
-    """Every flagged sample; with `useful`, those only whose context is flagged there."""
+def _seen(span: int, sample: int, shared):
+    """Every flagged sample: its string, its context, and the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
-            for row, _, data, offsets in text_slices(batch.column("text")):
+            for row, _, data, offsets in text_slices(batch.column("text"), _PIECE):
                 found = Samples(data, offsets, span, sample)
                 which = _flagged(found.string, flags)
-                hashes = context_hashes(data, found.first[which], found.last[which] + span)
-                if useful is not None:
-                    kept = _flagged(hashes, np.frombuffer(useful.value, dtype=np.uint8))
-                    which, hashes = which[kept], hashes[kept]
+                docs = batch.column("doc_id").take(pa.array(row + found.text[which]))
+                yield pa.RecordBatch.from_arrays([_signed(found.string[which]), _signed(found.context[which]), docs], ["string", "hash", "doc_id"])
+
+    return run
+
+
+def _occurrences(span: int, sample: int, shared, useful):
+    """Every flagged sample whose context is flagged too, with the text it lies in, its first window and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings, contexts = (np.frombuffer(x.value, dtype=np.uint8) for x in (shared, useful))
+        for batch in batches:
+            for row, _, data, offsets in text_slices(batch.column("text"), _PIECE):
+                found = Samples(data, offsets, span, sample)
+                which = _flagged(found.string, strings)
+                which = which[_flagged(found.context[which], contexts)]
+                if not len(which):
+                    continue
                 start, end = found.first[which], found.last[which] + 1
                 text = found.text[which]
-                docs = batch.column("doc_id").take(pa.array(row + text))
-                prints = text_prints(data, offsets)[text]
                 columns = [
-                    _signed(found.string[which]), _signed(hashes), docs, pa.array(prints),
-                    pa.array(start - offsets[text]), pa.array((end - start).astype(np.int32)),
+                    _signed(found.string[which]), _signed(found.context[which]), batch.column("doc_id").take(pa.array(row + text)),
+                    pa.array(text_prints(data, offsets)[text]), pa.array(start - offsets[text]), pa.array((end - start).astype(np.int32)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["string", "hash", "doc_id", "print", "start", "n"])
 
@@ -164,7 +188,11 @@ def _occurrences(span: int, sample: int, shared, useful=None):
 
 def text_prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """31 bits that tell texts of one doc_id apart."""
-    return (context_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(33)).astype(np.int32)
+    if len(data) <= 2 * _PIECE:
+        hashes = _hashes_between(*_sums(data), offsets[:-1], offsets[1:])
+    else:
+        hashes = np.array([_whole_hash(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64)
+    return (hashes >> np.uint64(33)).astype(np.int32)
 
 
 def _settle(span: int):
@@ -260,7 +288,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, sample: int = SAMPLE, group_
     strings = texts.mapInArrow(_strings(span, sample), "string bigint, doc_id bigint")
     strings = strings.groupBy("string").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("string")
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(materialize(strings, "shared_strings")))
-    seen = texts.mapInArrow(_occurrences(span, sample, shared), "string bigint, hash bigint, doc_id bigint, print int, start bigint, n int")
+    seen = texts.mapInArrow(_seen(span, sample, shared), "string bigint, hash bigint, doc_id bigint")
     first = seen.groupBy("string", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # Both sides of the join read the same columns of `first`, so they share its shuffle. A string of one document, let through by
     # the bitmap, has no match.
@@ -287,7 +315,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         spans, kept = [], []
-        for row, stop, data, offsets in text_slices(batch.column("text")):
+        for row, stop, data, offsets in text_slices(batch.column("text"), _PIECE):
             for t in range(stop - row):
                 own = data[offsets[t] : offsets[t + 1]]
                 runs = batch.column("runs").slice(row + t, 1).flatten() if "runs" in batch.schema.names else []
@@ -304,7 +332,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [p for _, _, data, offsets in text_slices(batch.column("text")) for p in text_prints(data, offsets).tolist()]
+        prints = [p for _, _, data, offsets in text_slices(batch.column("text"), _PIECE) for p in text_prints(data, offsets).tolist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(prints, pa.int32())], ["doc_id", "text", "print"])
 
 
