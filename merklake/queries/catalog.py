@@ -4,15 +4,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from merklake.constants import MAX_ENTRY_BYTES, METADATA_LIMIT_BYTES
 from merklake.functions import base36, checkpoints, paths, timestamps
 from merklake.functions.hashing import hex_lower, hex_preview, leaf_hash, leaf_hash_hex
 from merklake.operators import bundles, checks, compare, hashindex, joins, merkle, proofs
-from merklake.plans import migrate, store, validate
+from merklake.plans import migrate, selfcheck, store, validate
 from merklake.plans.answer import answer
 from merklake.queries import inputs
-from merklake.schemas import LEAVES, REQUESTS
+from merklake.schemas import LEAVES, RECORDS, REQUESTS
 from merklake.sources import logs, objects, registry
 from merklake.sources.scratch import materialize, new_location
 from merklake.streaming import arrivals
@@ -944,6 +945,22 @@ def compare_by_descent(spark, sf_dir):
     return validate.compare_stored(_stored(spark, fit), _stored(spark, inputs.changed_copy(fit)))
 
 
+@query
+def store_self_check(spark, sf_dir):
+    """A migrated store against its own records, after faults in a copy of its files: bundles lost, index entries doubled, tiles
+    changed, one log's paths gone, a directory that no one recorded."""
+    _, location = _migrated(spark, sf_dir)
+    selfcheck.record(spark, location)
+    faulty = new_location(spark, "faulty_store")
+    for table, faults in inputs.STORE_FAULTS.items():
+        rows = spark.read.schema(StructType([*store.TABLES[table].fields, RECORDS["generation"]])).parquet(f"{location}/{table}")
+        named = selfcheck.DIRECTORY[table]
+        faults(rows).write.partitionBy("generation", "log_id", *([named] if named else [])).parquet(f"{faulty}/{table}")
+    for table in ("manifest", "records"):
+        spark.read.parquet(f"{location}/{table}").write.parquet(f"{faulty}/{table}")
+    return selfcheck.self_check(spark, faulty).drop("generation")
+
+
 @query
 def object_sink_roundtrip(spark, sf_dir):
     """Migrated store exported as objects and read back by computed names: every leaf, from bytes."""

@@ -108,3 +108,24 @@ def changed_copy(leaves: DataFrame) -> DataFrame:
         }
     )
     return changed.join(F.broadcast(last), "log_id").where(index <= F.col("_last")).drop("_last")  # a row per log, of which there are two
+
+
+def _doubled_entries(index: DataFrame) -> DataFrame:
+    return index.unionByName(index.where("leaf_index % 97 = 5"))
+
+
+def _changed_tiles(tiles: DataFrame) -> DataFrame:
+    """Some hashes of the lowest level changed, and a level too many."""
+    changed = (F.col("tile_level") == 0) & (F.col("tile_index") % 3 == 2)
+    more = tiles.where("tile_level = 0 and tile_index = 0").withColumn("tile_level", F.lit(7))
+    return tiles.withColumn("hashes", F.when(changed, F.reverse(F.hex("hashes")).cast("binary")).otherwise(F.col("hashes"))).unionByName(more)
+
+
+# Faults for the tables of a store, as they are stored.
+STORE_FAULTS = {
+    "bundles": lambda bundles: bundles.where("bundle_index % 5 != 1"),
+    "tiles": _changed_tiles,
+    "paths": lambda paths: paths.where("log_id != 1"),
+    "hash_index": _doubled_entries,
+    "frontier": lambda frontier: frontier,
+}

@@ -61,6 +61,11 @@ _GENERATION = _struct(("generation", _STR), ("until", _LONG), ("patch", _CHAIN))
 MANIFEST = T.StructType(
     [*CHECKPOINTS.fields, T.StructField("version", _LONG), T.StructField("generations", T.ArrayType(_GENERATION))]
 )
+# What a directory of a generation holds: rows, and sums of two hashes of each.
+RECORDS = _struct(
+    ("log_id", _LONG), ("generation", _STR), ("stored_table", _STR), ("directory", _STR), ("rows", _LONG),
+    ("sum_a", T.DecimalType(30, 0)), ("sum_b", T.DecimalType(30, 0)),
+)
 # Hashes of the incomplete tiles at the right edge, one row per tile level of a log.
 FRONTIER = _struct(("tile_level", _INT), ("width", _INT), ("hashes", _BIN), ("log_id", _LONG))
 
