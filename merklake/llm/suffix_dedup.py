@@ -36,6 +36,7 @@ from merklake.sources.scratch import materialize
 SPAN, SAMPLE = 50, 20
 GROUP_ROWS = 100_000
 FILTER_BITS = 1 << 27
+_SLOTS = (37, 10)  # a hash has two bits in the bitmap, by its upper 27 bits and the 27 below
 _PLACE_BITS = 24
 _PIECE = 1 << 18  # longer texts are sampled and hashed in pieces
 _REMEMBERED = 300_000
@@ -124,8 +125,11 @@ def _strings(span: int, sample: int):
 
 
 def _flagged(strings: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    slot = (strings >> np.uint64(37)).astype(np.int64)  # the upper 27 bits
-    return np.flatnonzero(flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+    kept = np.arange(len(strings))
+    for shift in _SLOTS:
+        slot = (strings[kept] >> np.uint64(shift)).astype(np.int64) & (FILTER_BITS - 1)
+        kept = kept[np.flatnonzero(flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)]
+    return kept
 
 
 def _contexts(span: int, sample: int, shared):
@@ -273,9 +277,10 @@ def _first_documents(sized: DataFrame, contexts: DataFrame, span: int, group_row
 
 
 def _bitmap(shared: DataFrame, hashed: str = "string") -> bytes:
-    """The upper 27 bits of the hashes in a column, as a bitmap of 16 MB whatever their number."""
-    slot = F.shiftrightunsigned(hashed, 37)
-    parts = shared.select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit")).groupBy("part").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    """The hashes in a column, two bits each, as a bitmap of 16 MB whatever their number."""
+    slots = F.array(*[F.shiftrightunsigned(hashed, shift).bitwiseAND(F.lit(FILTER_BITS - 1)) for shift in _SLOTS])
+    slot = F.col("slot")
+    parts = shared.select(F.explode(slots).alias("slot")).select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit")).groupBy("part").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
     out = bytearray(FILTER_BITS // 8)
     for r in parts.toLocalIterator():
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
