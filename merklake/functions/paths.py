@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from merklake.constants import ENTRIES_DIR, TILE_DIR, TILE_HEIGHT, TILE_WIDTH
 
 PART_BITS = 12
+WIDE = "decimal(38,0)"
 
 # Three-digit groups, an x before all but the last, and the width of a partial object.
 INDEX_PATTERN = r"^((?:x[0-9]{3}/)*[0-9]{3})(?:\.p/([0-9]{1,3}))?$"
@@ -15,6 +16,12 @@ def bundle_of(index: Column) -> Column:
     return F.shiftright(index, TILE_HEIGHT)
 
 
+def wide_bundle_of(index: Column) -> Column:
+    """As `bundle_of`, exact for decimal numbers too, which 64 bits need not hold."""
+    index = index.cast(WIDE)
+    return ((index - F.pmod(index, F.lit(TILE_WIDTH))) / TILE_WIDTH).cast(WIDE)
+
+
 def part_of(bundle: Column) -> Column:
     """Directory of a stored bundle or tile: one per 4,096 of them, about a million leaves."""
     return F.shiftright(bundle, PART_BITS)
@@ -33,6 +40,11 @@ def partial_width(bundle: Column, size: Column) -> Column:
     return F.when(bundle == F.shiftright(size, TILE_HEIGHT), size % TILE_WIDTH).otherwise(F.lit(0)).cast("int")
 
 
+def wide_partial_width(bundle: Column, size: Column) -> Column:
+    """As `partial_width`, for a bundle of `wide_bundle_of`."""
+    return F.when(bundle == wide_bundle_of(size), size % TILE_WIDTH).otherwise(F.lit(0)).cast("int")
+
+
 def expected_width(bundle: Column, size: Column) -> Column:
     """Rows an object must hold in a log of that size; 0 when the log does not reach it."""
     return F.greatest(F.lit(0), F.least(F.lit(TILE_WIDTH), size - bundle * TILE_WIDTH)).cast("int")
@@ -51,8 +63,9 @@ def entries_path(bundle: Column, partial: Column) -> Column:
 
 
 def entries_path_for_leaf(index: Column, size: Column) -> Column:
-    bundle = bundle_of(index)
-    return entries_path(bundle, partial_width(bundle, size))
+    """Of a leaf index and a log size of any integer or decimal type."""
+    bundle = wide_bundle_of(index)
+    return entries_path(bundle, wide_partial_width(bundle, size))
 
 
 def tile_path(level: Column, index: Column, partial: Column) -> Column:

@@ -157,15 +157,17 @@ def bundle_offsets(spark, sf_dir):
 
 @query
 def object_paths(spark, sf_dir):
-    """Names of bundles and tiles for indices up to many groups of digits, with full and partial widths."""
+    """Names of bundles and tiles for indices up to many groups of digits, with full and partial widths. Indices are decimals,
+    as in a large table 64 bits do not hold them."""
     orders = logs.read_table(spark, sf_dir, "orders")
-    index = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")
+    key = F.col("o_orderkey").cast(paths.WIDE)
+    index = key * key * F.col("o_custkey")
     size = index + F.col("o_custkey") % 300 + 1
-    bundle = paths.bundle_of(index)
+    bundle = paths.wide_bundle_of(index)
     return orders.select(
         "o_orderkey",
         paths.entries_path_for_leaf(index, size).alias("entries_path"),
-        paths.tile_path(F.col("o_custkey") % 6, bundle, paths.partial_width(bundle, size)).alias("tile_path"),
+        paths.tile_path(F.col("o_custkey") % 6, bundle, paths.wide_partial_width(bundle, size)).alias("tile_path"),
     )
 
 

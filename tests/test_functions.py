@@ -105,6 +105,32 @@ def test_partial_width(spark):
     assert got == [(0, 256), (44, 44), (0, 256), (0, 0), (44, 44)]
 
 
+def test_names_of_indices_past_64_bits(spark):
+    index = 9_000_000**2 * 900_000 + 255  # more than 2^63
+    bundle = index // 256
+    digits = str(bundle).zfill(-(-len(str(bundle)) // 3) * 3)
+    name = "/".join(f"x{digits[i : i + 3]}" for i in range(0, len(digits) - 3, 3)) + "/" + digits[-3:]
+    df = spark.createDataFrame([(str(index), str(index + 1), ""), (str(bundle * 256 + 7), str(bundle * 256 + 8), ".p/8")], "i string, n string, part string")
+    wide = df.select("part", F.col("i").cast(paths.WIDE).alias("i"), F.col("n").cast(paths.WIDE).alias("n"))
+    for r in wide.select("part", paths.entries_path_for_leaf(F.col("i"), F.col("n")).alias("got")).collect():
+        assert r.got == f"tile/entries/{name}{r.part}"
+    narrow = spark.createDataFrame([(i, n) for i in (-1, 0, 255, 256, 2**63 - 1) for n in (1, 256, 300, 2**63 - 1)], "i long, n long")
+    bundles = [(paths.bundle_of(F.col("i")), paths.partial_width), (paths.wide_bundle_of(F.col("i")), paths.wide_partial_width)]
+    for r in narrow.select(*[F.struct(b.cast("string"), width(b, F.col("n"))) for b, width in bundles]).collect():
+        assert r[0][0] == r[1][0] and r[0][1] == r[1][1]
+
+
+def test_object_paths_of_large_keys(spark, tmp_path):
+    from merklake.queries.catalog import QUERIES
+
+    spark.createDataFrame([(8_999_999, 899_999), (3, 2), (None, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    index = 8_999_999**2 * 899_999
+    rows = {r.o_orderkey: r for r in QUERIES["object_paths"](spark, str(tmp_path)).collect()}
+    digits = rows[8_999_999].entries_path.removeprefix("tile/entries/").split(".p/")[0].replace("x", "").replace("/", "")
+    assert int(digits) == index // 256
+    assert rows[3].entries_path == "tile/entries/000.p/21" and rows[None].entries_path is None
+
+
 def test_checkpoint(spark):
     root = bytes(range(32))
     text = one(spark, checkpoints.render(F.lit("o/1"), F.lit(5), F.lit(bytearray(root))))
