@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from merklake.llm.words import SPACED, find_words, mixed, text_slices
 from merklake.sources.scratch import materialize, new_location
 
-SHARE = 1 << 21  # token places of a bucket, words of a shard
+SHARE = 1 << 20  # token places of a bucket, words of a shard
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where a corpus is too small to estimate them
-_SLICE = 4 << 20
+_SLICE = 2 << 20  # bytes of texts handled at once
 _END = np.uint64(0x5DEECE66D)  # stands for the hash of the end
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -1,9 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +133,24 @@ def test_query_against_brute_force(spark, sf_dir):
         assert (r.base_score, r.score) == (pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-6))
         ahead += (score - base) if held_out else 0
     assert ahead > 0
+
+
+def test_a_full_bucket_and_a_slice_stay_small(tmp_path):
+    """What a worker holds at most for a bucket's lower order and for the words of a slice."""
+    words, numbers = 50_000, np.random.default_rng(5)
+    before = np.arange(words + 1, dtype="<i8") * 100
+    (tmp_path / "words").mkdir()
+    (tmp_path / "words" / "0").write_bytes(np.arange(words, dtype="<u8").tobytes() + before.tobytes())
+    vocabulary = language_model.Vocabulary(str(tmp_path), np.array([0, words]), np.array([0, 100 * words]), 1000)
+    layout = language_model.Layout(vocabulary, 2, language_model.SHARE)
+    ids = numbers.integers(0, words, (2, language_model.SHARE))
+    text = pa.array([" ".join(map(str, numbers.integers(0, words, 5000))) for _ in range(400)])
+    peaks = []
+    for work in (lambda: language_model._lower(layout, ids, np.ones(ids.shape[1], dtype=np.int64)), lambda: language_model._slices(text)):
+        tracemalloc.start()
+        for _ in work():
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    print(peaks)
+    assert peaks[0] < 150 and peaks[1] < 150
