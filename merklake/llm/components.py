@@ -33,3 +33,17 @@ def components(links: DataFrame) -> DataFrame:
     nodes = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.union(roots)
+
+
+def extend(grouped: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`components` of the links behind `grouped` (node, component) and of more: only links between different components are
+    followed, each component as one node."""
+    if grouped is None:
+        return components(links)
+    known = grouped.withColumnRenamed("component", "known")
+    for side in ("a", "b"):
+        links = links.join(known.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("known", side)).drop("known")
+    merged = materialize(components(links.where("a != b").select("a", "b")), "merged")
+    renamed = merged.select(F.col("node").alias("known"), "component")
+    old = known.join(renamed, "known", "left").select("node", F.coalesce("component", "known").alias("component"))
+    return old.unionByName(merged.join(grouped, "node", "left_anti"))

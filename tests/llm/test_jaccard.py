@@ -107,3 +107,20 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a bigint, b bigint")
     got = dict(map(tuple, components(links).collect()))
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100}
+
+
+def test_components_extended_follow_new_links_only(spark, monkeypatch):
+    """Links in batches give the components of all; a star that is known does not go through the rounds again."""
+    from merklake.llm import components as module
+
+    def frame(links):
+        return spark.createDataFrame(links, "a long, b long")
+
+    first = [(0, k) for k in range(1, 200)] + [(500, 501), (700, 701)]
+    more = [(3, 150), (199, 501), (900, 901), (901, 700), (42, 43)]
+    known = components(frame(first)).localCheckpoint()
+    seen, whole = [], module.components
+    monkeypatch.setattr(module, "components", lambda links: seen.append(links.count()) or whole(links))
+    got = dict(map(tuple, module.extend(known, frame(more)).collect()))
+    assert got == dict(map(tuple, whole(frame(first + more)).collect()))
+    assert seen == [3]
