@@ -103,6 +103,47 @@ def test_empty_table(spark, documents):
     assert keep_one(documents([]), Rule(3, 90)).count() == 0
 
 
+def varied(n):
+    """Texts of one group, a link between some of them: each has a few words of its own."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(90), rng.randrange(1, 5)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+def test_large_group_leaves_few_pairs(spark, documents, monkeypatch):
+    """Most of a group is one component before all its pairs are looked at."""
+    seen, whole, pairs, rule = [], jaccard._across, varied(150), Rule(5, 80)
+    monkeypatch.setattr(jaccard, "_across", lambda *args: seen.append(whole(*args)) or seen[0])
+    got = component_ids(link(documents(pairs), rule)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute(pairs, rule)
+    assert seen[0].count() < len(pairs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_of_many_buckets_meet_once(spark, seed):
+    """Every pair of different components that shares a bucket in which one is whole; once, if both are whole in all."""
+    rng = random.Random(seed)
+    component, wide = {s: s % 7 if s < 14 else s for s in range(24)}, seed == 2
+    buckets = {key: rng.sample(range(24), rng.randrange(2, 12)) for key in range(-40, 40)}
+    buckets |= {key + 1000: held for key, held in list(buckets.items())[:30]}
+    rows = [(key, min(held), s, s == min(held) or not wide or rng.random() < 0.5, component[s], component[min(held)], len(held)) for key, held in buckets.items() for s in held]
+    split = spark.createDataFrame(rows, "key bigint, pivot bigint, set_no bigint, whole boolean, component bigint, main bigint, n bigint")
+    sets = spark.createDataFrame([(s, 50, [0] * (jaccard.COARSE_BITS // 64), [0] * (jaccard.SKETCH_BITS // 64)) for s in range(24)], "set_no bigint, n_shingles bigint, coarse array<bigint>, sketch array<bigint>")
+    held = {}
+    for key, _, s, whole, *_ in rows:
+        held.setdefault(key, []).append((s, whole))
+    expected = {frozenset((a, b)) for own in held.values() for a, x in own for b, y in own if component[a] != component[b] and (x or y)}
+    met = [frozenset(r) for r in jaccard._meetings(jaccard._one_of_each(split), sets, Rule(5, 80)).collect()]
+    assert set(met) == expected and (wide or len(met) <= 1.2 * len(expected))
+    assert {frozenset(r) for r in jaccard._across(split, sets, Rule(5, 80)).collect()} == expected
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a bigint, b bigint")
     got = dict(map(tuple, components(links).collect()))
