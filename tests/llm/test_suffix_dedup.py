@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from merklake.llm import queries
-from merklake.llm.suffix_dedup import remove_repeats
+from merklake.llm import queries, suffix_dedup
+from merklake.llm.suffix_dedup import Samples, remove_repeats
 
 
 def brute(pairs, span):
@@ -73,3 +74,18 @@ def test_query(spark, sf_dir):
     truth = [(d, sizes[d], n, s, hashlib.sha256(k).hexdigest()) for d, n, s, k in brute(pairs, 50)]
     got = queries.op6_suffix_dedup(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(truth)
+
+
+def test_windows_are_found_by_text(monkeypatch):
+    """Samples cover the windows of each text and no other, also past the end of a piece, without a search for each byte."""
+    rng = random.Random(9)
+    texts = ["", "x" * 49, "x" * 50, "", *("".join(rng.choice("abcd") for _ in range(rng.randrange(200))) for _ in range(60)), "y" * 700, "", "z" * 10]
+    data, offsets = np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 256)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args, **more: searched.append(np.size(v)) or search(a, v, *args, **more))
+    found = Samples(data, offsets, 50, 20)
+    covered = sorted(w for a, b in zip(found.first.tolist(), found.last.tolist(), strict=True) for w in range(a, b + 1))
+    assert covered == [int(o) + w for t, o in zip(texts, offsets) for w in range(len(t) - 49)]
+    assert [int(search(offsets, f, side="right")) - 1 for f in found.first] == found.text.tolist()
+    assert max(searched) < len(data) / 5 and sum(searched) < len(data) / 2
