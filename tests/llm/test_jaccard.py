@@ -122,7 +122,7 @@ def test_large_group_leaves_few_pairs(spark, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "_across", lambda *args: seen.append(whole(*args)) or seen[0])
     got = component_ids(link(documents(pairs), rule)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute(pairs, rule)
-    assert seen[0].count() < len(pairs)
+    assert seen[0].count() < 180  # 209 by two rounds of single pivots, 150 with further ones
 
 
 @pytest.mark.parametrize("seed", range(3))
