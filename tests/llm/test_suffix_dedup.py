@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from merklake.llm import queries, suffix_dedup
@@ -89,3 +90,36 @@ def test_windows_are_found_by_text(monkeypatch):
     assert covered == [int(o) + w for t, o in zip(texts, offsets) for w in range(len(t) - 49)]
     assert [int(search(offsets, f, side="right")) - 1 for f in found.first] == found.text.tolist()
     assert max(searched) < len(data) / 5 and sum(searched) < len(data) / 2
+
+
+@pytest.mark.parametrize("span,sample", [(50, 20), (20, 6), (9, 8), (6, 3)])
+def test_hashes_tell_strings_and_contexts_apart(span, sample, monkeypatch):
+    """Hashes are equal where the bytes are, and no byte is hashed of which no sample tells."""
+    rng = random.Random(span)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(400))) for _ in range(40)]
+    texts += [t[: rng.randrange(len(t) + 1)] + t for t in texts]
+    data, offsets = np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    hashed, mix = [], suffix_dedup.mixed
+    monkeypatch.setattr(suffix_dedup, "mixed", lambda values: hashed.append(len(values)) or mix(values))
+    found = Samples(data, offsets, span, sample)
+    assert max(hashed) == len(found.first) < len(data)
+    raw = data.tobytes()
+    contexts = [raw[a : b + span] for a, b in zip(found.first.tolist(), found.last.tolist(), strict=True)]
+    everything = found.contexts(np.arange(len(found.first)))
+    assert len(set(contexts)) == len(set(everything.tolist())) == len(set(zip(contexts, everything.tolist(), strict=True)))
+    # The string lies in all windows of its context, at one place.
+    by_string: dict[int, list[bytes]] = {}
+    for string, context in zip(found.string.tolist(), contexts, strict=True):
+        by_string.setdefault(string, []).append(context)
+    for several in by_string.values():
+        assert any(all(several[0][i : i + sample] in c for c in several) for i in range(len(several[0]) - sample + 1))
+
+
+def test_cut_keeps_texts_apart():
+    """A run up to the end of a text and one at the start of the next are two, also with empty texts and rows without runs between."""
+    texts, runs = ["abcdef", "", "ghij", None, "klm"], [[(4 << 32) + 2, (3 << 32) + 2], None, [4], None, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "text", "runs"])
+    (out,) = suffix_dedup._cut(iter([batch]))
+    spans = [[(s["start"], s["end"]) for s in row] for row in out.column("spans").to_pylist()]
+    assert spans == [[(3, 6)], [], [(0, 4)], [], []]
+    assert out.column("kept").to_pylist() == [b"abc", b"", b"", b"", b"klm"]
