@@ -144,6 +144,41 @@ def test_pairs_of_many_buckets_meet_once(spark, seed):
     assert {frozenset(r) for r in jaccard._across(split, sets, Rule(5, 80)).collect()} == expected
 
 
+def test_rows_in_doubt_alone_go_on_whole(spark, documents, monkeypatch):
+    """Which row of a group stays is told without its other columns; only a doc_id with rows of both kinds needs them."""
+    seen, whole = [], jaccard.with_fingerprints
+    monkeypatch.setattr(jaccard, "with_fingerprints", lambda docs, rule: seen.append(docs.count() if "row" in docs.columns else 0) or whole(docs, rule))
+    pairs, rule = varied(40) + [(100, "a text of its own here")], Rule(5, 80)
+    heads = sorted({component for _, _, component in brute(pairs, rule)})
+    assert sorted(r.doc_id for r in keep_one(documents(pairs), rule).collect()) == heads
+    assert sum(seen) == 0
+    both = [(1, "a b c d e f"), (9, "a b c d e f"), (9, "other text of five words"), (9, "other text of five words but longer"), (9, "nothing at all like these words")]
+    kept = keep_one(documents(both), rule).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([both[0], *both[2:]])
+    assert sum(seen) == 4
+
+
+def test_one_row_of_a_repeated_head(spark, documents):
+    """Rows of the smallest doc_id that are alike, or not alike but of one group, are one row."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(["x", *base[1:]])
+    pairs = [(2, " ".join(base)), (2, " ".join(base)), (2, near), (2, near), (7, near), (2, "far from all of these"), (2, "")]
+    kept = sorted((r.doc_id, r.text) for r in keep_one(documents(pairs), Rule(5, 80)).collect())
+    assert len(kept) == 3 and kept[:2] == [(2, ""), (2, "far from all of these")] and kept[2] in pairs[:3]
+
+
+def test_texts_are_dealt_out_once(spark, documents, monkeypatch, capsys):
+    """Texts to compare meet their sets where one of each is chosen, and pairs from the join across components aren't sketched again."""
+    plans, write = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: plans.setdefault(name, []).append(df) or write(df, name))
+    link(documents(varied(60)), Rule(5, 80))
+    assert plans["across"] and len(plans["pairs"]) == len(plans["texts"]) - 1
+    for df in plans["texts"]:
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "hashpartitioning(f0" in plan and "hashpartitioning(set_no" not in plan
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a bigint, b bigint")
     got = dict(map(tuple, components(links).collect()))
