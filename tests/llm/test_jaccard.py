@@ -75,6 +75,55 @@ def test_linked_sets_share_a_key(percent, chance):
         assert full[0] & full[1] or full[0] & gone[1] or full[1] & gone[0], (size, other)
 
 
+@pytest.mark.parametrize("percent,chance", [(90, 1e-6), (80, 1e-6), (70, 0.01)])
+def test_linked_sets_share_a_key_without_spares(percent, chance):
+    """Whatever keys are common, linked sets that drop as many of each lot as they may, the commonest first, share a key still."""
+    rng, rule = np.random.default_rng(percent), Rule(5, percent)
+    bands = cut_bands(rule, {k: 10**6 for k in range(14)}, chance=chance)
+    dropped = 0
+
+    def kept(own, common):
+        keys, lots = jaccard.keys_and_lots(own, rule, bands)
+        gone = set()
+        for lot in set(lots[lots > 0].tolist()):
+            of_lot = [k for k in keys[lots == lot].tolist() if common(k)]
+            assert all(k % 2 == 0 for k in of_lot)
+            gone |= set(sorted(of_lot, key=lambda k: (common(k), k))[-(lot % (1 << jaccard.SPARE_BITS)) :])
+        nonlocal dropped
+        dropped += len(gone)
+        return [k for k in keys.tolist() if k not in gone]
+
+    for size in [1, 2, 3, 5, 8, 13, 40, 99, 128, 300, 1000] * 4:
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        other = int(rng.integers(size, rule.largest_partner(size) + 1))
+        cut = (int(rule.most_different(size, other)) - (other - size)) // 2
+        b = np.concatenate((a[max(cut, 0) :], rng.integers(0, 1 << 63, other - size + max(cut, 0), dtype=np.uint64)))
+        both = set(index_keys(np.unique(a), rule, bands).tolist()) & set(index_keys(np.unique(b), rule, bands).tolist())
+        for common in (lambda k: k % 101, lambda k: k % 3, lambda k, both=both: 1 + k % 7 if k in both else 0):
+            x, y = (kept(np.unique(s), common) for s in (a, b))
+            full = [{k for k in own if k % 2 == 0} for own in (x, y)]
+            gone = [{k - 1 for k in own if k % 2 == 1} for own in (x, y)]
+            assert full[0] & full[1] or full[0] & gone[1] or full[1] & gone[0], (size, other)
+    assert dropped
+
+
+def test_common_passage_is_no_large_bucket(spark, documents, monkeypatch):
+    """Texts that share a passage and nothing else do not all meet in the buckets of it; copies among them are found."""
+    rng, rule = random.Random(3), Rule(5, 80)
+    passage, texts = [f"p{k}" for k in range(24)], []
+    for _ in range(120):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(250)]
+        at = rng.randrange(250)
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+    texts += [text.replace(text.split()[40], "other") for text in texts[:6]]
+    tables, write = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: tables.setdefault(name, write(df, name)))
+    got = component_ids(link(documents(texts), rule)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute(list(enumerate(texts)), rule)
+    before, after = (max(r["count"] for r in tables[t].groupBy("key").count().collect()) for t in ("all_buckets", "buckets"))
+    assert after <= jaccard.COMMON < before
+
+
 def test_repeated_rows_and_ids(spark, documents):
     docs = documents([(5, "a b c d e f"), (5, "a b c d e f"), (5, "other text of five words"), (9, "a b c d e f"), (3, ""), (3, "")])
     docs = docs.withColumn("f0", docs.lang).withColumn("component_id", docs.lang)
