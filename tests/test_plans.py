@@ -141,6 +141,21 @@ def test_ranges(spark, served, hot_rows):
                 assert bytes(r.merkle_leaf_hash) == leaf(bytes(r.leaf_value)) and r.status == "OK"
 
 
+@pytest.mark.parametrize("dealt_from", [1, 256])
+def test_ranges_are_dealt_out_by_bundle(spark, served, monkeypatch, dealt_from):
+    """A range goes to the shuffle as a row per bundle, not per leaf, whether it is dealt out on the way or not."""
+    from merklake.plans import answer as module
+
+    seen, whole = [], module.split_join
+    monkeypatch.setattr(module, "split_join", lambda many, *args: seen.append(many.count()) or whole(many, *args))
+    monkeypatch.setattr(module, "WIDE_RANGE", dealt_from, raising=False)
+    asked = [(1, 0, 300), (1, 10, 10**7), (1, 256, 44), (2, 1, 3), (2, 0, 10**7), (1, 255, 2)]
+    got = ask(spark, served, "leaves_by_range", *asked)
+    assert [(r.request_id, r.leaf_index) for r in got] == [(i, k) for i, (log, start, count) in enumerate(asked) for k in range(start, min(start + count, N[log]))]
+    assert all(r.leaf_value == rows_of(r.log_id)[r.leaf_index][2] for r in got)
+    assert seen == [9]
+
+
 def test_ordered_answers(spark, served):
     requests = spark.createDataFrame([(2, 1, 250, 10), (1, 1, 298, 9), (3, 2, 0, 5)], REQUESTS["leaves_by_range"])
     got = [(r.request_id, r.leaf_index) for r in answer(requests, "leaves_by_range", served, ordered=True).collect()]
@@ -160,6 +175,16 @@ def test_bad_bundles_answer_with_internal(spark, served):
     assert [(r.leaf_index, r.status) for r in got] == [(4, "OK"), (5, "INTERNAL"), (6, "OK")]
 
 
+def test_ranges_over_a_bundle_that_is_lost(spark, served):
+    """Each leaf of a bundle that is not there, or cannot be read, has its row."""
+    for lost in (served.bundles.where("bundle_index != 1"), served.bundles.withColumn("bytes", F.when(F.col("bundle_index") != 1, F.col("bytes")))):
+        bad = store.LogStore(served.logs, served.paths, lost, served.index)
+        got = ask(spark, bad, "leaves_by_range", (1, 255, 3))
+        assert [(r.leaf_index, r.status, r.reason, r.leaf_value is None) for r in got] == [
+            (255, "OK", None, False), (256, "INTERNAL", "LEAF_UNREADABLE", True), (257, "INTERNAL", "LEAF_UNREADABLE", True),
+        ]
+
+
 def test_migrating_a_prefix(spark, leaves, brute):
     location = new_location(spark, "store")
     one = sources(spark, brute).where("log_id = 1").withColumn("finish", F.lit(257).cast("long"))
